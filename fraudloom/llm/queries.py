@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-from fraudloom.llm import simhash
+from fraudloom.llm import html_text, quality, secrets, simhash, toxicity, warc
 
 QUERIES = {
+    "op1_toxicity": toxicity.query,
+    "op3_quality_rules": quality.query,
     "op4_simhash": simhash.query,
+    "op8_warc": warc.query,
+    "op9_secrets": secrets.query,
+    "op10_html_text": html_text.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op3_quality_rules": quality.SQL,
+    "op8_warc": warc.SQL,
+}
