@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from fraudloom.llm import html_text, quality, secrets, simhash, toxicity, warc
+from fraudloom.llm import ann, html_text, mixing, quality, secrets, simhash, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
     "op3_quality_rules": quality.query,
     "op4_simhash": simhash.query,
+    "op5_mixing": mixing.query,
+    "op6_ann": ann.query,
     "op8_warc": warc.query,
     "op9_secrets": secrets.query,
     "op10_html_text": html_text.query,
