@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from fraudloom.llm import ann, html_text, mixing, quality, secrets, simhash, toxicity, warc
+from fraudloom.llm import ann, html_text, lines, mixing, quality, secrets, simhash, spm, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
+    "op2_line_dedup": lines.query,
     "op3_quality_rules": quality.query,
     "op4_simhash": simhash.query,
     "op5_mixing": mixing.query,
     "op6_ann": ann.query,
+    "op7_sentencepiece": spm.query,
     "op8_warc": warc.query,
     "op9_secrets": secrets.query,
     "op10_html_text": html_text.query,
