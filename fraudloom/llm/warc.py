@@ -155,12 +155,13 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(F.col("value").cast("binary").alias("value")).mapInArrow(_parse, _RECORD)
 
 
-def transactions(rec: DataFrame) -> DataFrame:
+def transactions(rec: DataFrame, payload: bool = True) -> DataFrame:
     """Records -> one nested row a capture: response or revisit with its request and metadata.
 
     Keys are record identifiers, one capture has a handful of records, so no
     group is large. A capture without request or metadata has null there; a
     request or metadata record whose capture is missing has a null main.
+    Without payload the bodies of responses stay out of the shuffle.
     """
     key = F.coalesce("concurrent_to", "id")
     body = lambda t: F.max(F.when(F.col("type") == t, F.col("body")))
@@ -169,15 +170,15 @@ def transactions(rec: DataFrame) -> DataFrame:
     r = rec.withColumn("payload_sha256", F.when(is_main, F.sha2("body", 256))).withColumn("body_bytes", F.when(is_main, F.octet_length("body").cast("long")))
     g = r.groupBy(key.alias("capture")).agg(
         main("type").alias("record_type"), main("url").alias("url"), main("refers_to").alias("refers_to_record"), main("payload_digest").alias("payload_digest"),
-        main("payload_sha256").alias("payload_sha256"), main("body_bytes").alias("body_bytes"), F.max(F.when(is_main, F.col("body"))).alias("payload"), body("request").alias("request"), body("metadata").alias("metadata"))
-    return g.select("capture", F.struct("record_type", "url", "refers_to_record", "payload_digest", "payload_sha256", "body_bytes", "payload").alias("main"),
+        main("payload_sha256").alias("payload_sha256"), main("body_bytes").alias("body_bytes"), *([main("body").alias("payload")] if payload else []), body("request").alias("request"), body("metadata").alias("metadata"))
+    return g.select("capture", F.struct("record_type", "url", "refers_to_record", "payload_digest", "payload_sha256", "body_bytes", *(["payload"] if payload else [])).alias("main"),
                     F.struct(F.col("request").cast("string").alias("head")).alias("request"),
                     F.expr("str_to_map(trim(both '\\r\\n' from cast(metadata as string)), '\\r\\n', ': ')").alias("metadata"))
 
 
 def captures(spark: SparkSession, path: str) -> DataFrame:
     """Reads archives back into a row for each page; a payload that doesn't match its digest is an error."""
-    t = transactions(read(spark, path)).filter("main.record_type is not null")
+    t = transactions(read(spark, path), payload=False).filter("main.record_type is not null")
     sound = (F.col("main.record_type") == "revisit") | (F.col("main.payload_sha256") == F.col("main.payload_digest"))
     return t.select(
         F.col("metadata")["page-id"].cast("long").alias("page_id"),
