@@ -26,6 +26,7 @@ THRESHOLD = 2
 MIN_CHARS = 20
 BLOCK = 512
 PAIRS = 4096
+CHECK = 16
 
 
 def cuts(length: int, t: int) -> list[tuple[int, int]]:
@@ -72,34 +73,56 @@ def edits_within(a: list[str], b: list[str], t: int) -> np.ndarray:
     Bit-parallel over a band of 2t + 1 cells along the diagonal: bit k of a
     column's words stands for the row column + k - t. The vertical deltas
     move up one row a column; the score is followed on the band's lowest row
-    and led back up to the pair's own row by the last deltas.
+    and led back up to the pair's own row by the last deltas. Every CHECK
+    columns pairs whose whole band is over t are given up; a band's least
+    value never falls from column to column.
     """
     n = len(a)
     la, lb = np.array([len(x) for x in a]), np.array([len(x) for x in b])
-    out = np.abs(la - lb) <= t
-    if not n or not out.any():
+    out = np.zeros(n, bool)
+    at = np.flatnonzero(np.abs(la - lb) <= t)
+    if not len(at):
         return out
+    la, lb = la[at], lb[at]
     width = 2 * t + 1
-    wa, wb = int(la.max()), int(lb.max())
-    # Rows of `a`, t cells of padding before and enough after; padding equals nothing.
-    A = np.full((n, wa + wb + 2 * width), 0xFFFFFFFE, np.uint32)
-    B = np.full((n, wb), 0xFFFFFFFF, np.uint32)
-    for k in range(n):
-        A[k, t : t + la[k]] = np.frombuffer(a[k].encode("utf-32-le", "surrogatepass"), np.uint32)
-        B[k, : lb[k]] = np.frombuffer(b[k].encode("utf-32-le", "surrogatepass"), np.uint32)
+    # Rows of `a`, t cells of padding before and enough after; padding equals nothing. Columns are stored one after another.
+    A = np.full((len(at), int(lb.max()) + 2 * width), 0xFFFFFFFE, np.uint32)
+    B = np.full((len(at), int(lb.max())), 0xFFFFFFFF, np.uint32)
+    for k, i in enumerate(at.tolist()):
+        A[k, t : t + la[k]] = np.frombuffer(a[i].encode("utf-32-le", "surrogatepass"), np.uint32)
+        B[k, : lb[k]] = np.frombuffer(b[i].encode("utf-32-le", "surrogatepass"), np.uint32)
+    A, B = np.ascontiguousarray(A.T), np.ascontiguousarray(B.T)
     one, full = np.uint64(1), np.uint64((1 << width) - 1)
     low = np.uint64(1 << (width - 1))
+    bits = [np.uint64(1 << k) for k in range(width)]
     # Column 0: row r has value r for r >= 0; rows above the table don't count, their deltas are 0.
-    vp = np.full(n, sum(1 << k for k in range(t + 1, width)), np.uint64)
-    vn = np.zeros(n, np.uint64)
-    score = np.full(n, t, np.int64)
-    final_vp, final_vn, final = vp.copy(), vn.copy(), score.copy()
-    for j in range(wb):
-        # Column j + 1 covers rows j + 1 - t .. j + 1 + t, characters j - t .. j + t of a, thus A[:, j : j + width].
-        x = np.zeros(n, np.uint64)
-        c = B[:, j]
-        for k in range(width):
-            x |= (A[:, j + k] == c).astype(np.uint64) << np.uint64(k)
+    vp = np.full(len(at), sum(1 << k for k in range(t + 1, width)), np.uint64)
+    vn = np.zeros(len(at), np.uint64)
+    score = np.full(len(at), t, np.int64)
+    columns, wide = np.sort(np.unique(lb)), len(B)
+    ends = set(columns.tolist())
+
+    def at_row(k: int) -> np.ndarray:
+        """Values of the band's row k: from the lowest row upwards."""
+        v = score.copy()
+        for x in bits[k + 1 :]:
+            v -= ((vp & x) != 0).astype(np.int64) - ((vn & x) != 0).astype(np.int64)
+        return v
+
+    def settle(done: np.ndarray, j: int) -> None:
+        for d in range(-t, t + 1):
+            mine = done & (la - lb == d)
+            if mine.any():
+                out[at[mine]] = at_row(t + d)[mine] <= t
+
+    if 0 in ends:
+        out[at[lb == 0]] = la[lb == 0] <= t
+    for j in range(wide):
+        # Column j + 1 covers rows j + 1 - t .. j + 1 + t, characters j - t .. j + t of a, thus A[j : j + width].
+        c = B[j]
+        x = (A[j] == c).astype(np.uint64)
+        for k in range(1, width):
+            x |= np.where(A[j + k] == c, bits[k], np.uint64(0))
         # Deltas of column j, in the rows of column j + 1: one row further down; the new lowest row comes in as +1.
         p = (vp >> one) | low
         m = vn >> one
@@ -107,19 +130,28 @@ def edits_within(a: list[str], b: list[str], t: int) -> np.ndarray:
         hp = m | (~(d0 | p) & full)
         hn = d0 & p
         # On the lowest row the diagonal step costs one unless d0 is set there.
-        score += ((d0 & low) == 0).astype(np.int64)
+        score += (d0 & low) == 0
         hp1, hn1 = ((hp << one) | one) & full, (hn << one) & full
         vp = hn1 | (~(d0 | hp1) & full)
         vn = hp1 & d0
-        done = lb == j + 1
-        if done.any():
-            final_vp[done], final_vn[done], final[done] = vp[done], vn[done], score[done]
-    # From the lowest row lb + t up to row la.
-    for k in range(width - 1, 0, -1):
-        bit = np.uint64(1 << k)
-        above = (lb - t + k) > la
-        final -= np.where(above, ((final_vp & bit) != 0).astype(np.int64) - ((final_vn & bit) != 0).astype(np.int64), 0)
-    return out & (final <= t)
+        stop = j + 1 in ends
+        if stop:
+            settle(lb == j + 1, j)
+        if stop or (j + 1) % CHECK == 0:
+            alive = lb > j + 1
+            v = score.copy()
+            least = v.copy()
+            for y in bits[:0:-1]:
+                v -= ((vp & y) != 0).astype(np.int64) - ((vn & y) != 0).astype(np.int64)
+                np.minimum(least, v, out=least)
+            alive &= least <= t
+            left = int(alive.sum())
+            if not left:
+                break
+            if left <= 0.8 * len(at):
+                at, la, lb, vp, vn, score = at[alive], la[alive], lb[alive], vp[alive], vn[alive], score[alive]
+                A, B = np.ascontiguousarray(A[:, alive]), np.ascontiguousarray(B[:, alive])
+    return out
 
 
 # ASCII white space that may stand at a line's ends.
@@ -226,6 +258,7 @@ def _verify(t: int):
                     small += [(p, q) for i, p in enumerate(rows) for q in rows[i + 1 :] if (one or p[2] != q[2]) and p[0] != q[0] and abs(len(p[1]) - len(q[1])) <= t]
                 else:
                     found.extend(_large(rows, one, t))
+            small.sort(key=lambda x: len(x[1][1]))  # pairs of a run have about the same length
             for a in range(0, len(small), PAIRS):
                 part = small[a : a + PAIRS]
                 ok = edits_within([p[1] for p, _ in part], [q[1] for _, q in part], t)
@@ -265,22 +298,33 @@ def _links(found: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def _large(rows: list, one: bool, t: int) -> list[tuple[int, int]]:
-    """A large unit: pairs in runs; those whose lines are connected by then aren't compared."""
+    """A large unit: pairs in runs of PAIRS; those whose lines are connected by then aren't compared."""
     rows = sorted(rows, key=lambda r: len(r[1]))
-    size = np.array([len(r[1]) for r in rows])
+    size, side, line = np.array([len(r[1]) for r in rows]), np.array([r[2] for r in rows]), np.array([r[0] for r in rows])
     group = np.arange(len(rows))
-    out = []
+    out: list[tuple[int, int]] = []
+
+    def compare(i: np.ndarray, j: np.ndarray) -> None:
+        apart = group[i] != group[j]
+        i, j = i[apart], j[apart]
+        ok = edits_within([rows[x][1] for x in i.tolist()], [rows[x][1] for x in j.tolist()], t)
+        for x, y in zip(i[ok].tolist(), j[ok].tolist()):
+            if group[x] != group[y]:
+                out.append((rows[x][0], rows[y][0]))
+                group[group == group[y]] = group[x]
+
+    left, right, held = [], [], 0
     for i in range(len(rows) - 1):
         js = np.arange(i + 1, int(np.searchsorted(size, size[i] + t, "right")))
-        js = js[group[js] != group[i]]
-        js = np.array([j for j in js.tolist() if (one or rows[j][2] != rows[i][2]) and rows[j][0] != rows[i][0]], np.int64)
-        if not len(js):
-            continue
-        ok = edits_within([rows[i][1]] * len(js), [rows[j][1] for j in js], t)
-        for j in js[ok].tolist():
-            if group[j] != group[i]:
-                out.append((rows[i][0], rows[j][0]))
-                group[group == group[j]] = group[i]
+        js = js[(group[js] != group[i]) & (line[js] != line[i]) & (one | (side[js] != side[i]))]
+        left.append(np.full(len(js), i))
+        right.append(js)
+        held += len(js)
+        if held >= PAIRS:
+            compare(np.concatenate(left), np.concatenate(right))
+            left, right, held = [], [], 0
+    if held:
+        compare(np.concatenate(left), np.concatenate(right))
     return out
 
 
