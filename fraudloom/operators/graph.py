@@ -145,10 +145,10 @@ def temporal_rings(e: DataFrame, max_len: int = 4) -> DataFrame:
     path = p.filter("src < dst").select(F.col("src").alias("head"), F.array("src", "dst").alias("nodes"), F.array("t").alias("times"), F.col("dst").alias("tail"))
     found = None
     for k in range(2, max_len + 1):
-        close = path.join(p, (path.tail == p.src) & (path.head == p.dst)).select("nodes", F.concat("times", F.array("t")).alias("times"))
+        close = path.join(p, (path["tail"] == p["src"]) & (path["head"] == p["dst"])).select("nodes", F.concat("times", F.array("t")).alias("times"))
         found = close if found is None else found.unionByName(close)
         if k < max_len:
-            path = path.join(p, path.tail == p.src).filter((F.col("dst") > F.col("head")) & ~F.array_contains("nodes", F.col("dst"))).select("head", F.concat("nodes", F.array("dst")).alias("nodes"), F.concat("times", F.array("t")).alias("times"), F.col("dst").alias("tail"))
+            path = path.join(p, path["tail"] == p["src"]).filter((F.col("dst") > F.col("head")) & ~F.array_contains("nodes", F.col("dst"))).select("head", F.concat("nodes", F.array("dst")).alias("nodes"), F.concat("times", F.array("t")).alias("times"), F.col("dst").alias("tail"))
     # A rotation is non-decreasing exactly if the cyclic sequence falls at most once.
     falls = F.aggregate(F.zip_with("times", F.concat(F.slice(F.col("times"), 2, F.greatest(F.size("times") - 1, F.lit(0))), F.slice("times", 1, 1)), lambda a, b: (a > b).cast("int")), F.lit(0), lambda x, y: x + y)
     return found.filter(falls <= 1).select(F.array_join("nodes", ">").alias("ring"), F.array_sort("nodes").alias("members"), F.size("nodes").alias("length"))
