@@ -71,36 +71,37 @@ class Model:
     bias: float
 
 
-def fit(features: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, prior: float, alpha: float = 1.0, l2: float = 1e-5, rounds: int = 300) -> Model:
-    """Naive Bayes log-count ratios from presence counts, then logistic regression on r * value.
+def ratios(p: np.ndarray, q: np.ndarray, n1: int, n0: int, alpha: float = 1.0) -> np.ndarray:
+    """Naive Bayes log-count ratio of each bucket from the texts of either class that hold it; 0 where it says nothing.
 
-    N-grams in fewer than 5 sampled texts, or whose ratio is within three
-    standard errors of none, get no weight. prior: share of label 1 among all
-    training rows; the sample is balanced, so the bias is moved to it.
+    Buckets in fewer than 5 texts, or whose ratio is within three standard
+    errors of none, say nothing.
     """
-    size = 1 << BITS
-    if not len(y) or y.min() == y.max():
-        p = min(max(prior, 1e-3), 1 - 1e-3)
-        return Model(np.zeros(size), float(np.log(p / (1 - p))))
-    p, q = np.full(size, alpha), np.full(size, alpha)
-    for (b, _), t in zip(features, y):
-        (p if t else q)[b] += 1
-    n1, n0 = y.sum() + 2 * alpha, (1 - y).sum() + 2 * alpha
-    r = np.log(p / n1) - np.log(q / n0)
-    error = np.sqrt(1 / p + 1 / q)
-    use = (p + q >= 5 + 2 * alpha) & (np.abs(r) > 3 * error)
-    r = np.where(use, r, 0.0)
-    kept = np.flatnonzero(use)
+    p, q = p + alpha, q + alpha
+    r = np.log(p / (n1 + 2 * alpha)) - np.log(q / (n0 + 2 * alpha))
+    return np.where((p + q >= 5 + 2 * alpha) & (np.abs(r) > 3 * np.sqrt(1 / p + 1 / q)), r, 0.0)
+
+
+def fit(features: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, r: np.ndarray, prior: float, l2: float = 1e-5, rounds: int = 300) -> Model:
+    """Logistic regression on count * r over the buckets with a ratio, by full-batch Adam.
+
+    prior: share of label 1 among all training rows; the sample is balanced,
+    so the bias is moved to it.
+    """
+    size, prior = len(r), min(max(prior, 1e-3), 1 - 1e-3)
+    shift = float(np.log(prior / (1 - prior)))
+    kept = np.flatnonzero(r)
+    if not len(y) or y.min() == y.max() or not len(kept):
+        return Model(np.zeros(size), shift)
     place = np.full(size, -1)
     place[kept] = np.arange(len(kept))
-    cols, vals, ptr = [], [], [0]
-    for b, n in features:
-        at = place[b]
-        cols.append(at[at >= 0])
-        vals.append(n[at >= 0] * r[b[at >= 0]])
-        ptr.append(ptr[-1] + len(cols[-1]))
-    cols, vals = np.concatenate(cols), np.concatenate(vals)
-    row = np.repeat(np.arange(len(y)), np.diff(ptr))
+    cols, vals, row = [], [], []
+    for k, (b, n) in enumerate(features):
+        on = place[b] >= 0
+        cols.append(place[b[on]])
+        vals.append(n[on] * r[b[on]])
+        row.append(np.full(int(on.sum()), k))
+    cols, vals, row = np.concatenate(cols), np.concatenate(vals), np.concatenate(row)
     w, b0 = np.zeros(len(kept)), 0.0
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     weight = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
@@ -115,8 +116,7 @@ def fit(features: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, prior: flo
         b0 -= 0.02 * (mb / c1) / (np.sqrt(vb / c2) + 1e-9)
     full = np.zeros(size)
     full[kept] = w * r[kept]
-    prior = min(max(prior, 1e-3), 1 - 1e-3)
-    return Model(full, float(b0 + np.log(prior / (1 - prior))))
+    return Model(full, float(b0 + shift))
 
 
 def train(docs: DataFrame, labels: DataFrame, learn, target: str = "toxic", sample: int = SAMPLE) -> Model:
@@ -131,20 +131,42 @@ def train(docs: DataFrame, labels: DataFrame, learn, target: str = "toxic", samp
     known = labels.filter(F.col(target).isNotNull() & F.col("doc_id").isNotNull() & learn).groupBy("doc_id").agg(F.min(F.col(target).cast("int")).alias("y"))
     share = known.agg(F.count("*").alias("n"), F.sum("y").alias("p")).first()
     if not share.n:
-        return fit([], np.zeros(0), 0.5)
+        return fit([], np.zeros(0), np.zeros(1 << BITS), 0.5)
     picked = [known.filter(F.col("y") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for k in (0, 1)]
     chosen = F.broadcast(picked[0].unionByName(picked[1]))  # at most 2 * sample rows
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(chosen, "doc_id").select("doc_id", "y", "text")
-    rows = rows.mapInArrow(_featurise, "doc_id long, y int, bucket binary, n binary").collect()
-    rows.sort(key=lambda r: (r.doc_id, r.bucket, r.n))
-    features = [(np.frombuffer(r.bucket, np.int32), np.frombuffer(r.n, np.int32)) for r in rows]
-    return fit(features, np.array([r.y for r in rows], float), share.p / share.n)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(chosen.select(F.col("doc_id").cast("long").alias("doc_id"), "y"), "doc_id").select("doc_id", "y", "text")
+    rows = common.Scratch(spark, "toxicity").table(rows, "sample")
+    # Only totals by bucket and the buckets with a ratio come to the driver.
+    totals = rows.mapInArrow(_presence, "bucket int, p long, q long").groupBy("bucket").agg(F.sum("p").alias("p"), F.sum("q").alias("q")).toArrow()
+    p, q = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    at = totals["bucket"].to_numpy()
+    p[at], q[at] = totals["p"].to_numpy(), totals["q"].to_numpy()
+    n = {r.y: r["count"] for r in rows.groupBy("y").count().collect()}
+    r = ratios(p, q, n.get(1, 0), n.get(0, 0))
+    got = rows.mapInArrow(_featurise(r != 0), "doc_id long, y int, bucket binary, n binary").collect()
+    got.sort(key=lambda x: (x.doc_id, bytes(x.bucket), bytes(x.n)))
+    features = [(np.frombuffer(x.bucket, np.int32), np.frombuffer(x.n, np.int32)) for x in got]
+    return fit(features, np.array([x.y for x in got], float), r, share.p / share.n)
+
+
+def _presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts of either class that hold a bucket, a task's sums."""
+    held = np.zeros((2, 1 << BITS), np.int64)
+    for b in batches:
+        for t, y in zip(b.column("text").to_pylist(), b.column("y").to_pylist()):
+            held[1 if y == 1 else 0][doc_features(t)[0]] += 1
+    at = np.flatnonzero(held.any(axis=0))
+    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(held[1][at]), pa.array(held[0][at])], ["bucket", "p", "q"])
 
 
-def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        f = [doc_features(t) for t in b.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), b.column("y"), pa.array([x.tobytes() for x, _ in f], pa.binary()), pa.array([n.tobytes() for _, n in f], pa.binary())], ["doc_id", "y", "bucket", "n"])
+def _featurise(use: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            f = [doc_features(t) for t in b.column("text").to_pylist()]
+            f = [(x[use[x]], n[use[x]]) for x, n in f]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array([x.tobytes() for x, _ in f], pa.binary()), pa.array([n.tobytes() for _, n in f], pa.binary())], ["doc_id", "y", "bucket", "n"])
+
+    return run
 
 
 class _Scorer:
