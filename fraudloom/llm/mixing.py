@@ -192,7 +192,8 @@ def account(docs: DataFrame, block: int = BLOCK) -> DataFrame:
 def _times(spark: SparkSession, packed: DataFrame, p: Plan) -> DataFrame:
     """Joins blocks with the number of slots that took them."""
     drawn = slots(spark, p).groupBy("key", "index").agg(F.count("*").alias("times"))
-    return packed.join(drawn, ["key", "index"])
+    # Made from a few runs, slots look small to the planner; they are as many as the blocks.
+    return packed.join(drawn.hint("merge"), ["key", "index"])
 
 
 def mix(docs: DataFrame, block: int = BLOCK) -> DataFrame:
