@@ -12,7 +12,6 @@ held. Transactions are joined by the identifiers into one nested row a capture.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -56,6 +55,7 @@ def records(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     p = p.withColumn("bytes", F.octet_length("html").cast("long")).withColumn("digest", F.sha2("html", 256))
     p = p.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
+    p = p.repartition("digest", "salt")  # serves the window and the join, so payloads are dealt once
     p = p.withColumn("n", F.row_number().over(Window.partitionBy("digest", "salt", "page_id").orderBy("url")))
     same = (pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
             .filter(F.octet_length("html") >= min_revisit).groupBy(F.sha2("html", 256).alias("digest"))
