@@ -33,6 +33,7 @@ BOILER = re.compile(
 )
 BOILER_ROLE = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 SPACE = re.compile(r"\s+")
+_CUT = re.compile(r"<[!/?a-zA-Z][^<>]*\Z")  # a tag that the page's end cuts off
 SIGMA, SHARE = 1.0, 0.6
 
 
@@ -171,7 +172,7 @@ def region(lines: list[tuple[str, int, tuple[int, ...]]]) -> tuple[int, ...]:
 
 def main_text(html: str | None) -> str:
     p = _Blocks()
-    p.feed(html or "")
+    p.feed(_CUT.sub("", html or ""))
     p.close()
     p.flush()
     if not p.lines:

@@ -1,6 +1,6 @@
 """Line dedup (operator 2): segment-partition edit join of lines.
 
-Lines of MIN_CHARS code points or more are compared after trimming. Two lines
+Lines of MIN_CHARS code points or more are compared, blanks at their ends apart. Two lines
 within THRESHOLD edits share one of the THRESHOLD + 1 even segments of the
 shorter one, at a place that length and segment number bound. So each distinct
 line is posted under (length, segment number, segment) and probes the postings
@@ -27,6 +27,7 @@ MIN_CHARS = 20
 BLOCK = 512
 PAIRS = 4096
 CHECK = 16
+CELLS = 1_000_000
 
 
 def cuts(length: int, t: int) -> list[tuple[int, int]]:
@@ -154,15 +155,30 @@ def edits_within(a: list[str], b: list[str], t: int) -> np.ndarray:
     return out
 
 
-# ASCII white space that may stand at a line's ends.
-ENDS = " \t\r\x0b\x0c"
+def near_pairs(a: list[str], b: list[str], t: int) -> np.ndarray:
+    """edits_within in runs of pairs of like length, of at most PAIRS pairs and about CELLS characters."""
+    out = np.zeros(len(a), bool)
+    size = np.array([max(len(x), len(y)) for x, y in zip(a, b)], np.int64)
+    by = np.argsort(size, kind="stable")
+    at = 0
+    while at < len(by):
+        n = min(PAIRS, len(by) - at)
+        while n > 1 and n * size[by[at + n - 1]] > CELLS:
+            n = max(1, min(n // 2, n - 1))
+        run = by[at : at + n].tolist()
+        out[run] = edits_within([a[i] for i in run], [b[i] for i in run], t)
+        at += n
+    return out
+
+
 SEEN = 100_000
+_POST, _LOW = 1 << 63, (1 << 63) - 1
 BROADCAST_LINES = 100_000
-_EVEN = np.int64(-2)
+_LINE = np.int64(0x7FFFFFFFFFFFFFFF)
 
 
 def _post(t: int, least: int):
-    """Texts -> (key, v): v the line's hash, its lowest bit 0 for a posting and 1 for a probe."""
+    """Texts -> (key, v): v the 63 low bits of the line's hash, negative for a posting, so postings come first in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -170,10 +186,10 @@ def _post(t: int, least: int):
             k_out, v_out = [], []
             for text in b.column("text").to_pylist():
                 for raw in (text or "").split("\n"):
-                    line = raw.strip(ENDS)
+                    line = raw.strip(" ")
                     if len(line) < least:
                         continue
-                    h = xxhash.xxh64_intdigest(line.encode("utf-8", "surrogatepass"), 42) & ~1
+                    h = xxhash.xxh64_intdigest(line.encode("utf-8", "surrogatepass"), 42) & _LOW
                     if h in seen:
                         continue
                     if len(seen) < SEEN:
@@ -181,15 +197,15 @@ def _post(t: int, least: int):
                     posts, probes = keys(line, t)
                     k_out += posts
                     k_out += probes
-                    v_out += [h] * len(posts)
-                    v_out += [h | 1] * len(probes)
+                    v_out += [h | _POST] * len(posts)
+                    v_out += [h] * len(probes)
             yield pa.RecordBatch.from_arrays([pa.array(np.array(k_out, np.uint64).view(np.int64)), pa.array(np.array(v_out, np.uint64).view(np.int64))], ["key", "v"])
 
     return run
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (key, role, v) -> (key, line) of keys with a posting and two lines or more.
+    """Rows sorted by (key, v), postings first -> (key, line) of keys with a posting and two lines or more.
 
     Holds one batch and the rows of one key; a key with more rows than a batch is passed on as it comes.
     """
@@ -204,7 +220,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             other = bk != passing[0]
             n = int(np.argmax(other)) if other.any() else len(bk)
             if passing[1] and n:
-                yield emit(bk[:n], bv[:n] & _EVEN)
+                yield emit(bk[:n], bv[:n] & _LINE)
             bk, bv = bk[n:], bv[n:]
             if not len(bk):
                 continue
@@ -220,9 +236,9 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield emit(*got)
             k, v = k[last:], v[last:]
         if len(k) > 65_536:
-            live = not v[0] & 1 and len(np.unique(v & _EVEN)) > 1
+            live = v[0] < 0 and len(np.unique(v & _LINE)) > 1
             if live:
-                yield emit(k, v & _EVEN)
+                yield emit(k, v & _LINE)
             passing = (int(k[0]), bool(live))
             k, v = k[:0], v[:0]
     if len(k):
@@ -233,10 +249,10 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _live(k: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Whole keys, sorted with postings first: rows of those with a posting and two different lines."""
-    line = v & _EVEN
+    line = v & _LINE
     start = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
     low, high = np.minimum.reduceat(line, start), np.maximum.reduceat(line, start)
-    good = ((v[start] & 1) == 0) & (low != high)
+    good = (v[start] < 0) & (low != high)
     rows = np.repeat(good, np.diff(np.concatenate([start, [len(k)]])))
     return k[rows], line[rows]
 
@@ -258,11 +274,8 @@ def _verify(t: int):
                     small += [(p, q) for i, p in enumerate(rows) for q in rows[i + 1 :] if (one or p[2] != q[2]) and p[0] != q[0] and abs(len(p[1]) - len(q[1])) <= t]
                 else:
                     found.extend(_large(rows, one, t))
-            small.sort(key=lambda x: len(x[1][1]))  # pairs of a run have about the same length
-            for a in range(0, len(small), PAIRS):
-                part = small[a : a + PAIRS]
-                ok = edits_within([p[1] for p, _ in part], [q[1] for _, q in part], t)
-                found.extend((p[0], q[0]) for (p, q), x in zip(part, ok) if x)
+            ok = near_pairs([p[1] for p, _ in small], [q[1] for _, q in small], t)
+            found.extend((p[0], q[0]) for (p, q), x in zip(small, ok) if x)
             todo.clear()
             pending = 0
 
@@ -270,7 +283,7 @@ def _verify(t: int):
             nonlocal pending
             if len(rows) > 1:
                 todo.append((list(rows), unit[1] == unit[2]))
-                pending += len(rows) * len(rows)
+                pending += len(rows) * len(rows) + sum(len(r[1]) for r in rows) // 64
                 if pending > 4 * PAIRS:
                     flush()
             rows.clear()
@@ -307,7 +320,7 @@ def _large(rows: list, one: bool, t: int) -> list[tuple[int, int]]:
     def compare(i: np.ndarray, j: np.ndarray) -> None:
         apart = group[i] != group[j]
         i, j = i[apart], j[apart]
-        ok = edits_within([rows[x][1] for x in i.tolist()], [rows[x][1] for x in j.tolist()], t)
+        ok = near_pairs([rows[x][1] for x in i.tolist()], [rows[x][1] for x in j.tolist()], t)
         for x, y in zip(i[ok].tolist(), j[ok].tolist()):
             if group[x] != group[y]:
                 out.append((rows[x][0], rows[y][0]))
@@ -331,17 +344,16 @@ def _large(rows: list, one: bool, t: int) -> list[tuple[int, int]]:
 def _occurrences(docs: DataFrame, least: int) -> DataFrame:
     """(doc_id, dk, pos, line, other, text) of each line long enough; line as in _post, other a second hash."""
     d = docs.select("doc_id", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("dk"), F.posexplode(F.split(F.col("text").cast("string"), "\n")).alias("pos", "raw"))
-    d = d.withColumn("text", F.btrim("raw", F.lit(ENDS))).filter(F.length("text") >= least)
-    return d.select("doc_id", "dk", "pos", F.xxhash64("text").bitwiseAND(F.lit(-2).cast("long")).alias("line"), F.xxhash64(F.lit(7), F.col("text")).alias("other"), "text")
+    d = d.withColumn("text", F.trim("raw")).filter(F.length("text") >= least)
+    return d.select("doc_id", "dk", "pos", F.xxhash64("text").bitwiseAND(F.lit((1 << 63) - 1).cast("long")).alias("line"), F.xxhash64(F.lit(7), F.col("text")).alias("other"), "text")
 
 
 def links(docs: DataFrame, scratch: common.Scratch, threshold: int = THRESHOLD, least: int = MIN_CHARS) -> DataFrame:
     """Links (u, v) between different lines within the threshold, enough to connect each class; as a written table."""
     spark = docs.sparkSession
     n = common.tasks(spark)
-    role = F.col("v").bitwiseAND(F.lit(1).cast("long"))
     posted = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_post(threshold, least), "key long, v long")
-    met = posted.repartition(n, "key").sortWithinPartitions("key", role, "v").mapInArrow(_meet, "key long, line long")
+    met = posted.repartition(n, "key").sortWithinPartitions("key", "v").mapInArrow(_meet, "key long, line long")
     met = scratch.table(met.distinct(), "met")
     wanted = scratch.table(met.select("line").distinct(), "wanted")
     few = wanted.count() <= BROADCAST_LINES

@@ -42,7 +42,7 @@ def test_edit_distance_and_segments():
 
 
 def brute(docs, t=2, least=20):
-    occ = sorted((d, k, s.strip(lines.ENDS)) for d, text in docs for k, s in enumerate((text or "").split("\n")) if len(s.strip(lines.ENDS)) >= least)
+    occ = sorted((d, k, s.strip(" ")) for d, text in docs for k, s in enumerate((text or "").split("\n")) if len(s.strip(" ")) >= least)
     texts = sorted({s for *_, s in occ})
     root = {s: s for s in texts}
     linked = set()
@@ -60,7 +60,7 @@ def brute(docs, t=2, least=20):
         seen.add(root[s])
     for d, text in docs:
         parts = (text or "").split("\n")
-        out[d] = ("\n".join(x for k, x in enumerate(parts) if (d, k) not in gone), sum((d, k) in gone for k in range(len(parts))), sum(x.strip(lines.ENDS) in linked for x in parts))
+        out[d] = ("\n".join(x for k, x in enumerate(parts) if (d, k) not in gone), sum((d, k) in gone for k in range(len(parts))), sum(x.strip(" ") in linked for x in parts))
     return out
 
 

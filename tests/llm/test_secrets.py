@@ -1,0 +1,54 @@
+import hashlib
+import random
+import re
+
+from pyspark.sql import functions as F
+
+from fraudloom.llm import secrets as S
+
+ASSIGN = re.compile(r"""((?:[pP][aA][sS][sS][wW](?:[oO][rR])?[dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+
+
+def base(t):
+    out = [(m.start(), "assign", m.end()) for m in ASSIGN.finditer(t) if len(m[2]) >= 8]
+    out += [(m.start(), "access", m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", t) if len(m[0]) >= 16]
+    out += [(m.start(), "hex", m.end()) for m in re.finditer(r"[0-9a-f]+", t) if len(m[0]) >= 32]
+    return sorted(out, key=lambda s: (s[0], S.KINDS.index(s[1])))
+
+
+def test_base_spans_against_plain_search():
+    r = random.Random(3)
+    bits = ["password", "PassWD", "secret", "ToKen", "api_key", "APIKEY", "=", ":", ' = "', "'", " ", "AKIA", "akia", "ABCD1234", "deadbeef" * 4, "0f" * 20, "x9/+_.-", "İ", "ſecret", "K", "é", "\n", "token=token=abcdefgh", "😀"]
+    for _ in range(3000):
+        t = "".join(r.choice(bits) for _ in range(r.randrange(1, 14)))
+        assert [s for s in S.scan(t) if s[1] in S.BASE] == base(t), t
+
+
+def test_checksums():
+    body = "abcdefghij0123456789ABCDEFGHIJ"
+    good = body + S.crc_base62(body)
+    assert S.scan("x ghp_" + good + " y") == [(2, "github", 42)]
+    assert S.scan("npm_" + good)[0][1] == "npm"
+    assert S.scan("ghp_" + body + "000000") == [] and S.scan("ghp_" + good + "Z") == []
+    assert [s[1] for s in S.scan("eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxIn0.abc_-1")] == ["jwt"] and S.scan("eyJub3QganNvbg.eyJzdWIiOiIxIn0.abc") == []
+    assert [s[1] for s in S.scan("-----BEGIN RSA PRIVATE KEY-----")] == ["pem"]
+
+
+def test_redact():
+    assert S.redact("a password=abcdefgh1 b") == "a [assign] b" and S.redact(None) is None
+    assert S.redact("token = " + "0a" * 20) == "[assign]"
+
+
+def test_query_and_edge_rows(spark):
+    rows = [(1, None), (2, ""), (2, ""), (None, "secret: abcdefgh"), (3, "z " * 40_000 + "AKIA" + "Q" * 16)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("spans", F.lit("clash"))
+    got = sorted((str(r.doc_id), r.n_assign, r.n_access, r.n_hex, r.spans, r.base_sha256) for r in S.find(df).collect())
+    h = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    assert got == sorted([("1", 0, 0, 0, "", h("")), ("2", 0, 0, 0, "", h("")), ("2", 0, 0, 0, "", h("")), ("None", 1, 0, 0, "assign:0:16", h("assign:0:16")), ("3", 0, 1, 0, "access:80000:80020", h("access:80000:80020"))])
+    assert S.find(df.limit(0)).count() == 0
+
+
+def test_whole_table(spark, sf_dir):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    for r in S.query(spark, sf_dir).collect():
+        assert r.base_sha256 == hashlib.sha256(S.joined(base(docs[r.doc_id])).encode()).hexdigest()
