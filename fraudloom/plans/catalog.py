@@ -22,6 +22,8 @@ from fraudloom.operators import p2p as P
 from fraudloom.operators import rules as R
 from fraudloom.operators import windows as W
 from fraudloom.plans import sql as Q
+from fraudloom.sources import requests as RQ
+from fraudloom.sources import simulator as SIM
 from fraudloom.sources import tables as T
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -478,3 +480,86 @@ def money_formats(spark, sf):
 def risk_tiers(spark, sf):
     s = T.scored(spark, sf)
     return s.select("doc_id", S.risk_tier(F.col("score")).alias("tier"), S.risk_band(F.col("score")).alias("band"), S.valid_score(F.col("score") * 2).isNotNull().alias("valid"))
+
+
+@query(Q.REQUESTS)
+def requests_normalised(spark, sf):
+    k, e = F.get_json_object("props", "$.k").cast("int"), T.load(spark, sf, "events")
+    r = e.withColumn("k", k).select(
+        F.col("event_id").cast("string").alias("idempotency_key"), F.col("event_id").cast("string").alias("transaction_id"), T.minor("value").alias("amount_minor_units"),
+        F.when(F.col("k") % 5 == 0, "EUR").when(F.col("k") % 5 == 1, "XXX").when(F.col("k") % 5 == 2, "JPY").otherwise("").alias("currency"), F.when(F.col("k") % 3 == 0, "P2P").otherwise("card").alias("vertical"), F.when(F.col("k") % 4 == 0, "CARD_PRESENT").otherwise("").alias("channel"),
+        F.when(F.col("k") % 6 == 0, "").when(F.col("k") % 6 == 1, "123").otherwise(F.concat(F.lit("41111100"), F.lpad(F.col("user_id").cast("string"), 8, "0"))).alias("pan"), F.lit("").alias("merchant"), F.concat(F.lit("d"), "k").alias("device"),
+        F.when(F.col("k") % 50 == 0, F.lit(2**60)).otherwise(F.unix_millis(F.col("ts").cast("timestamp"))).alias("occurred_at_unix_ms"), (F.col("k") % 2 * 5411).cast("int").alias("mcc"), F.lit(None).cast("boolean").alias("avs_match"), F.lit(None).cast("boolean").alias("cvv_match"),
+        F.when(F.col("k") % 7 == 0, F.concat(F.lit("10.0.0."), "k")).when(F.col("k") % 7 == 1, "300.1.1.1").otherwise("").alias("ip"), F.when(F.col("k") % 2 == 0, "US").otherwise("").alias("geo_country"), F.lit(1.5).alias("geo_lat"), F.lit(2.5).alias("geo_lon"))
+    return RQ.normalise(r).select("txn_id", "us", "currency", "vertical", "channel", "bin", "card_token", "merchant", "device", "ip", "mcc", "lat")
+
+
+@query(Q.TELEMETRY)
+def telemetry(spark, sf):
+    c = spark.range(160).select(F.element_at(F.array(*[F.lit(x) for x in ("baseline", "fraud-surge", "card-testing", "degrade")]), (F.col("id") % 4 + 1).cast("int")).alias("scenario"), (F.col("id") * 160).cast("double").alias("target_tps"), (F.col("id") % 5 == 0).alias("fault"))
+    return SIM.telemetry(c).select("scenario", "target_tps", "fault", "offered", "admitted", "shed", F.round("rho", 6).alias("rho"), "p99", "degrade", "wall_tps", F.round("approve_share", 3).alias("approve_share"))
+
+
+@query()
+def seed_trail(spark, sf):
+    return SIM.seed_trail(spark, "baseline", 20_000.0)
+
+
+@query()
+def sim_metrics(spark, sf):
+    return SIM.run_scenario(spark, "high_amount", 200)
+
+
+@query(Q.SIM_TOTALS)
+def sim_scenario_totals(spark, sf):
+    out = None
+    for s in SIM.SCENARIOS:
+        d = SIM.run_scenario(spark, s, 100).filter("type = 'metrics'").agg(F.max_by(F.struct("processed", "approved", "declined", "alerts"), F.struct("seq", "ord")).alias("m")).select(F.lit(s).alias("scenario"), "m.*")
+        out = d if out is None else out.unionByName(d)
+    return out
+
+
+@query()
+def simulated_transactions(spark, sf):
+    return SIM.transactions(spark, 20_000)
+
+
+@query()
+def training_metrics(spark, sf):
+    """Trains, scores held-out rows and evaluates: one row."""
+    from fraudloom.operators import model as ML
+
+    a, b = ML.split(SIM.training_data(spark, 8_000, 0.03))
+    s = ML.raw_score(ML.train(a, trees=10, depth=4), b).select("y", F.col("model_score").alias("score"))
+    return M.average_precision(s).crossJoin(M.recall_at_fpr(s))  # one row each
+
+
+@query()
+def reject_inferred(spark, sf):
+    from fraudloom.operators import model as ML
+
+    d = SIM.training_data(spark, 4_000, 0.1)
+    return ML.reject_inference(d.filter("id % 3 <> 0"), d.filter("id % 3 = 0")).select("id", F.round("p", 6).alias("p"))
+
+
+@query()
+def graph_features(spark, sf):
+    return G.feature_rows(T.edges(spark, sf, 20_000), G.bad_nodes(spark, "n1", "n2", "n3"), rounds=30, tolerance=1e-6)
+
+
+@query(Q.HOPS)
+def hop_windows(spark, sf):
+    w = F.window(F.col("ts").cast("timestamp"), "1 day", "12 hours")
+    return T.load(spark, sf, "events").groupBy(w.alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")).select(F.unix_micros("w.start").alias("start_us"), "event_type", "n", "total")
+
+
+@query(Q.SESSIONS)
+def sessions(spark, sf):
+    s = F.session_window(F.col("ts").cast("timestamp"), "6 hours")
+    return T.load(spark, sf, "events").groupBy(s.alias("s"), "user_id").agg(F.count("*").alias("n")).select(F.unix_micros("s.start").alias("start_us"), "user_id", "n")
+
+
+@query(Q.MOMENTS)
+def window_moments(spark, sf):
+    g = T.txn(spark, sf).groupBy("card_token").agg(F.count("*").alias("n"), F.sum("amount_minor").alias("t"), F.sum(F.col("amount_minor").cast("decimal(19,0)") * F.col("amount_minor").cast("decimal(19,0)")).alias("q"))
+    return g.select("card_token", F.round(S.window_mean(F.col("n"), F.col("t")), 6).alias("mean"), F.round(S.window_std(F.col("n"), F.col("t"), F.col("q")), 4).alias("std"))

@@ -256,3 +256,24 @@ SELECT txn_id, CASE WHEN m < 0 THEN '-' ELSE '' END || CASE WHEN ccy = 'JPY' THE
   CAST(CASE WHEN ccy = 'JPY' THEN CASE WHEN mi < 1 THEN ma END WHEN mi < 100 THEN ma * 100 + CASE WHEN ma < 0 THEN -mi ELSE mi END END AS BIGINT) AS built FROM c"""
 TIERS = f"""WITH {SCORED} SELECT doc_id, CASE WHEN score >= 0.85 THEN 'VERY HIGH' WHEN score >= 0.6 THEN 'HIGH' WHEN score >= 0.3 THEN 'MEDIUM' ELSE 'LOW' END AS tier,
   CASE WHEN score < 0.3 THEN 'LOW' WHEN score < 0.6 THEN 'MEDIUM' WHEN score < 0.85 THEN 'HIGH' ELSE 'VERY_HIGH' END AS band, score * 2 <= 1 AS valid FROM scored"""
+
+REQUESTS = """WITH r AS (SELECT *, CAST(json_extract(props, '$.k') AS INT) AS k FROM events), p AS (SELECT *, CASE WHEN k % 6 = 0 THEN NULL WHEN k % 6 = 1 THEN '123' ELSE '41111100' || lpad(CAST(user_id AS VARCHAR), 8, '0') END AS pan FROM r)
+SELECT CAST(event_id AS VARCHAR) AS txn_id, CASE WHEN k % 50 = 0 THEN 0 ELSE epoch_us(ts) // 1000 * 1000 END AS us, CASE k % 5 WHEN 0 THEN 'EUR' WHEN 2 THEN 'JPY' ELSE 'USD' END AS currency, CASE WHEN k % 3 = 0 THEN 'P2P' ELSE 'CARD' END AS vertical,
+  CASE WHEN k % 4 = 0 THEN 'CARD_PRESENT' ELSE 'CARD_NOT_PRESENT' END AS channel, CASE WHEN length(pan) >= 6 THEN left(pan, 6) END AS bin, CASE WHEN pan IS NOT NULL THEN coalesce(CASE WHEN length(pan) >= 6 THEN left(pan, 6) END, '') || '****' || right(pan, 4) END AS card_token,
+  CAST(NULL AS VARCHAR) AS merchant, 'd' || k AS device, CASE WHEN k % 7 = 0 THEN '10.0.0.' || k END AS ip, CASE WHEN k % 2 = 1 THEN 5411 END AS mcc, CASE WHEN k % 2 = 0 THEN CAST(1.5 AS DOUBLE) END AS lat FROM p"""
+TELEMETRY = """WITH c AS (SELECT ['baseline', 'fraud-surge', 'card-testing', 'degrade'][id % 4 + 1] AS scenario, CAST(id * 160 AS DOUBLE) AS target_tps, id % 5 = 0 AS fault FROM range(160) t(id)),
+d AS (SELECT *, CAST(CASE scenario WHEN 'baseline' THEN 23000 WHEN 'fraud-surge' THEN 20500 WHEN 'card-testing' THEN 21500 ELSE 14000 END * CASE WHEN fault THEN 0.6 ELSE 1.0 END AS DOUBLE) AS cap, CAST(target_tps AS BIGINT) AS offered,
+  CASE scenario WHEN 'baseline' THEN 0.932 WHEN 'fraud-surge' THEN 0.69 WHEN 'card-testing' THEN 0.7 ELSE 0.9 END AS approve_share, (-(16 / 2.4::DOUBLE) + sqrt(pow(16 / 2.4::DOUBLE, 2) + 4 * 16 / 2.4::DOUBLE)) / 2 AS r19, (-(17 / 2.4::DOUBLE) + sqrt(pow(17 / 2.4::DOUBLE, 2) + 4 * 17 / 2.4::DOUBLE)) / 2 AS r20 FROM c),
+e AS (SELECT *, CASE WHEN offered > cap * r19 THEN CAST(round(cap * r19) AS BIGINT) ELSE offered END AS admitted FROM d)
+SELECT scenario, target_tps, fault, offered, admitted, offered - admitted AS shed, round(admitted / cap, 6) AS rho, least(30.0::DOUBLE, round(3 + 2.4::DOUBLE * pow(least(0.97, admitted / cap), 2) / (1 - least(0.97, admitted / cap)), 1)) AS p99, offered > cap * r19 AS degrade,
+  CAST(round(cap * r20) AS BIGINT) AS wall_tps, CAST(approve_share AS DOUBLE) AS approve_share FROM e"""
+SIM_TOTALS = """SELECT * FROM (VALUES ('legitimate', 100::BIGINT, 100::BIGINT, 0::BIGINT, 0::BIGINT), ('card_testing', 100, 5, 95, 95), ('high_amount', 100, 5 + 0, 0, 0), ('blocklisted_bin', 100, 0, 100, 100)) t(scenario, processed, approved, declined, alerts) WHERE scenario <> 'high_amount'
+UNION ALL (WITH RECURSIVE h AS (SELECT 0::BIGINT AS i, 0::BIGINT AS hits, 0.0::DOUBLE AS mean UNION ALL
+  SELECT i + 1, hits + CASE WHEN i >= 5 AND (CASE WHEN i < 5 THEN 5000 ELSE 900000 END) > 10 * mean THEN 1 ELSE 0 END, mean + ((CASE WHEN i < 5 THEN 5000 ELSE 900000 END) - mean) / (i + 1) FROM h WHERE i < 100)
+  SELECT 'high_amount', 100, 100 - hits, 0, hits FROM h WHERE i = 100)"""
+HOPS = """WITH w AS (SELECT *, unnest([0, 1]) AS j FROM events), s AS (SELECT (epoch_us(ts) // 43200000000 - j) * 43200000000 AS start_us, event_type, value FROM w)
+SELECT start_us, event_type, count(*) AS n, round(sum(value), 4) AS total FROM s GROUP BY ALL"""
+SESSIONS = """WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT epoch_us(min(ts)) AS start_us, user_id, count(*) AS n FROM s GROUP BY user_id, k"""
+MOMENTS = f"""WITH {TXN}, g AS (SELECT card_token, count(*) AS n, CAST(sum(amount_minor) AS DOUBLE) AS t, CAST(sum(CAST(amount_minor AS HUGEINT) * amount_minor) AS DOUBLE) AS q FROM txn GROUP BY card_token)
+SELECT card_token, round(t / n, 6) AS mean, round(CASE WHEN n >= 2 THEN sqrt(greatest(0, q / n - (t / n) * (t / n))) ELSE 0 END, 4) AS std FROM g"""
