@@ -55,11 +55,10 @@ def screen(subjects: DataFrame, watchlist: DataFrame, threshold: float = SCREEN_
 
     Names match by Jaro-Winkler or equal Soundex; an alert needs a secondary
     identifier in common (both known), or an OFAC_SDN entry with a score of
-    `strong`. Blocking is lossless in two parts: pairs that share an
-    identifier meet on it; the others can only alert on the strong score,
-    where names of lengths m <= n need m / n >= 0.5 and share a character, so
-    they meet on the distinct names, which are few beside the rows. Scores are
-    computed once for a pair of distinct names.
+    `strong`. Only distinct names are paired, and only where the lengths (Jaro
+    is at most (2 + m/n) / 3) or an equal Soundex allow a match, which loses
+    nothing; the score of a pair of names is computed once and joined back to
+    rows on both sides by equality.
     """
     s = subjects.select("subject_id", S.person_name(F.col("name")).alias("sn"), *[F.col(c).alias(f"s_{c}") for c in ("dob", "nationality", "national_id")])
     w = watchlist.select("entry_id", F.col("name").alias("matched_name"), S.person_name(F.col("name")).alias("wn"), "list", *[F.col(c).alias(f"w_{c}") for c in ("dob", "nationality", "national_id")])

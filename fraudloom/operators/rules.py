@@ -94,8 +94,8 @@ def with_history(txn: DataFrame, seq: str = "txn_id") -> DataFrame:
 
 def evaluate(txn: DataFrame, rules: Rules, seq: str = "txn_id") -> DataFrame:
     """Adds hits: stateless ones, then the velocity rules, speed and amount anomaly; all are evaluated whatever fired before."""
-    d = with_history(with_speed(txn, seq), seq)
-    d = d.withColumn("_ct", card_testing(rules)).withColumn("_ba", bin_attack(rules)).withColumn("_dr", decline_retry(rules))
+    d = with_history(with_speed(txn, seq), seq).withColumn("_dr", decline_retry(rules))  # all by card: one shuffle
+    d = d.withColumn("_ct", card_testing(rules)).withColumn("_ba", bin_attack(rules))
     anomaly = F.col("card_token").isNotNull() & (F.col("prior_n") >= rules.anomaly_min_samples) & (F.col("amount_minor") > rules.anomaly_factor * F.col("prior_mean"))
     state = [
         F.when(F.col("_ct"), hit("velocity.card_testing", "VELOCITY_CARD_TESTING", "card-testing", HARD)),
