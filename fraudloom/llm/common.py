@@ -1,37 +1,30 @@
-"""Shared pieces of the training-data operators: scratch tables in the folder
-the cluster shares, code shipping, connected components and bounded blocks."""
+"""Shared pieces of the training-data operators: code shipping and bounded blocks,
+with the library's written tables and connected components."""
 
 from __future__ import annotations
 
 import io
 import os
 import tempfile
-import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-WORD = r"[^\x20\x09-\x0D]+"
-ARROW_ROWS = 1000
-
-_local_dirs: dict[str, str] = {}
+from fraudloom.operators.components import connected_components
+from fraudloom.scratch import Scratch, shared_dir
 
+__all__ = ["Scratch", "connected_components", "in_blocks", "prepare", "shared_dir", "table", "tasks"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is unset (tests on a local master) a folder of our own."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    sc = spark.sparkContext
-    if not sc.master.startswith("local[") and sc.master != "local":
-        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return _local_dirs.setdefault(sc.applicationId, "file://" + tempfile.mkdtemp(prefix="fraudloom-"))
+WORD = r"[^\x20\x09-\x0D]+"
+ARROW_ROWS = 1000
+ARROW_BYTES = 32 << 20
 
 
 def prepare(spark: SparkSession) -> None:
     """Small Arrow batches, so that rows of very long texts don't meet in one batch; ships the package once."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     sc = spark.sparkContext
     if getattr(sc, "_fraudloom_shipped", False):
         return
@@ -51,67 +44,6 @@ def prepare(spark: SparkSession) -> None:
     sc._fraudloom_shipped = True
 
 
-class Scratch:
-    """Written tables that cut lineage: a lost executor rereads them instead of recomputing."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.base = f"{shared_dir(spark)}/fraudloom-{name}-{uuid.uuid4().hex}"
-        self.n = 0
-
-    def path(self, tag: str) -> str:
-        self.n += 1
-        return f"{self.base}/{self.n}-{tag}"
-
-    def table(self, df: DataFrame, tag: str) -> DataFrame:
-        p = self.path(tag)
-        df.write.parquet(p)
-        out = self.spark.read.schema(df.schema).parquet(p)
-        out._scratch_path = p
-        return out
-
-    def drop(self, df: DataFrame) -> None:
-        p = getattr(df, "_scratch_path", None)
-        if p:
-            hp = self.spark._jvm.org.apache.hadoop.fs.Path(p)
-            hp.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(hp, True)
-
-
-def connected_components(scratch: Scratch, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """edges (u, v: long, any order, no nulls) -> (node, root), root the smallest node reachable.
-
-    Alternating large-star and small-star steps: every step is a min
-    aggregate (combined map-side) and an equi-join that AQE may split, so a
-    hub never gathers in one task. Each round is a written table.
-    """
-    def norm(e: DataFrame) -> DataFrame:
-        return e.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-
-    def sign(e: DataFrame):
-        return tuple(e.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first())
-
-    cur = scratch.table(norm(edges), "edges")
-    seen = sign(cur)
-    for _ in range(max_rounds):
-        if not seen[0]:
-            break
-        both = cur.select("u", "v").union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = norm(large)
-        m2 = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(m2, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(m2.select("u", F.col("m").alias("v")))
-        nxt = scratch.table(norm(small), "edges")
-        now = sign(nxt)
-        scratch.drop(cur)
-        cur, same, seen = nxt, now == seen, now
-        if same:
-            break
-    else:
-        raise RuntimeError("connected components did not settle")
-    return cur.select(F.col("u").alias("node"), F.col("v").alias("root")).union(cur.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-
-
 def in_blocks(rows: DataFrame, key: str, spread: str, block: int) -> DataFrame:
     """Rows of keys with two rows or more, as (bi, bj, side, ...) of block pairs.
 
