@@ -195,12 +195,11 @@ class Encoder:
         new, old = self.new, self.old
         unseen: set[str] = set()
         for d in docs:
-            for w in set(d):
-                if w not in new:
-                    if w in old:
-                        new[w] = old[w]
-                    else:
-                        unseen.add(w)
+            unseen.update(set(d).difference(new))
+        known = unseen.intersection(old)
+        for w in known:
+            new[w] = old[w]
+        unseen -= known
         for w, parts in self.walk(list(unseen)).items():
             new[w] = self.ids(parts)
         out = [b"".join(map(new.__getitem__, d)) for d in docs]
@@ -214,10 +213,15 @@ class Decoder:
         self.text = {i: s.replace(MARK, " ").encode("utf-8", "surrogatepass") for s, (i, _) in pieces.piece.items()}
         self.text |= {i: bytes([b]) for b, i in enumerate(pieces.byte)}
         self.text.setdefault(pieces.unknown, " ⁇ ".encode())
+        self.table = [self.text.get(i, b"") for i in range(max(self.text) + 1)]
 
     def __call__(self, ids: list[int] | None) -> str:
         """Control ids (of no piece) say nothing; bytes that make no UTF-8 become U+FFFD; the blank of the dummy prefix goes."""
-        raw = b"".join([self.text.get(i, b"") for i in ids or []])
+        ids = ids or []
+        if None not in ids and 0 <= min(ids, default=0) <= max(ids, default=0) < len(self.table):
+            raw = b"".join(map(self.table.__getitem__, ids))
+        else:  # ids outside the vocabulary, nulls
+            raw = b"".join([self.text.get(i, b"") for i in ids])
         return raw.decode("utf-8", "replace").removeprefix(" ")
 
 
