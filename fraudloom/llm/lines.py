@@ -386,6 +386,7 @@ def dedup(docs: DataFrame, threshold: int = THRESHOLD, least: int = MIN_CHARS) -
     classed = s.table(classed, "classed")
     at = F.struct("doc_id", "dk", "pos")
     first = classed.groupBy("class", "other").agg(F.min(at).alias("first"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
+    first = s.table(first, "first")  # a plain table, so that AQE can split a line that very many documents share
     gone = classed.join(first, ["class", "other"]).filter(~F.col("first").eqNullSafe(at)).select("doc_id", "dk", "pos", F.lit(True).alias("gone"), F.lit(False).alias("linked"))
     linked = classed.filter("linked").select("doc_id", "dk", "pos", F.lit(False).alias("gone"), "linked")
     marks = gone.unionByName(linked).groupBy(F.col("doc_id").alias("_id"), F.col("dk").alias("_dk")).agg(
