@@ -121,7 +121,8 @@ def permuted(index: Column, n: Column, key: Column) -> Column:
             hi, lo = lo, F.pmod(hi + F.pmod(F.xxhash64(lo, key, F.lit(r)), side), side)
         return hi * side + lo
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), rounds(index), lambda x, _: F.when(x >= n, rounds(x)).otherwise(x))
+    first = rounds(index)  # inside for nearly all; only the others walk
+    return F.when(first < n, first).otherwise(F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), first, lambda x, _: F.when(x >= n, rounds(x)).otherwise(x)))
 
 
 def pack(docs: DataFrame, block: int = BLOCK) -> DataFrame:
