@@ -3,7 +3,7 @@
 The standard library's parser streams events; each block of text is a line
 with a text-to-tag ratio. Ratios are smoothed with a Gaussian and clustered by
 a threshold; the containers are then descended as long as one child holds
-nearly all of the text in content lines, which selects the content region.
+most of the page's text in content lines, which selects the content region.
 All blocks of that region are the main text, menus, headers, footers,
 sidebars, notices, adverts, forms, scripts, styles and comments left out.
 """
@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -34,7 +35,7 @@ BOILER = re.compile(
 BOILER_ROLE = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 SPACE = re.compile(r"\s+")
 _CUT = re.compile(r"<[!/?a-zA-Z][^<>]*\Z")  # a tag that the page's end cuts off
-SIGMA, SHARE = 1.0, 0.6
+SIGMA, SHARE, DEPTH = 1.0, 0.6, 128
 
 
 class _Blocks(HTMLParser):
@@ -43,7 +44,8 @@ class _Blocks(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.stack: list[tuple[str, bool, bool]] = []  # tag, skipped from here, container
-        self.path: tuple[int, ...] = ()
+        self.open: Counter[str] = Counter()
+        self.path: tuple[int, ...] = ()  # containers beyond DEPTH levels count as their ancestor
         self.n = 0
         self.skip = 0
         self.text: list[str] = []
@@ -68,7 +70,7 @@ class _Blocks(HTMLParser):
             return
         if tag in BLOCK:
             self.flush()
-            if tag in CLOSES_P and any(s[0] == "p" for s in self.stack):
+            if tag in CLOSES_P and self.open["p"]:
                 self._close("p")
             elif tag == "li" and self._open_above("li", ("ul", "ol", "menu", "dir")):
                 self._close("li")
@@ -83,19 +85,19 @@ class _Blocks(HTMLParser):
             if not self.skip:
                 self.flush()
             self.skip += 1
-        held = tag in CONTAINER
+        held = tag in CONTAINER and len(self.path) < DEPTH
         if held:
             self.n += 1
             self.path = (*self.path, self.n)
         self.stack.append((tag, skipped, held))
+        self.open[tag] += 1
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
-        if tag in VOID:
-            self.handle_starttag(tag, attrs)
-        else:
-            self.handle_starttag(tag, attrs)  # HTML ignores the slash
+        self.handle_starttag(tag, attrs)  # HTML ignores the slash
 
     def _open_above(self, tag: str, stop: tuple) -> str | None:
+        if not self.open[tag]:
+            return None
         for t, _, _ in reversed(self.stack):
             if t == tag:
                 return tag
@@ -107,6 +109,7 @@ class _Blocks(HTMLParser):
         self.flush()
         while self.stack:
             t, skipped, held = self.stack.pop()
+            self.open[t] -= 1
             self.skip -= skipped
             if held:
                 self.path = self.path[:-1]
@@ -115,14 +118,15 @@ class _Blocks(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
-        if not any(s[0] == tag for s in self.stack):
+        if not self.open[tag]:
             return
         if tag in BLOCK or tag in SKIP:
             self._close(tag)
             return
         for k in range(len(self.stack) - 1, -1, -1):  # an inline element ends alone, blocks opened inside it stay
             if self.stack[k][0] == tag:
-                _, skipped, held = self.stack.pop(k)
+                _, skipped, _ = self.stack.pop(k)
+                self.open[tag] -= 1
                 self.skip -= skipped
                 return
             if self.stack[k][0] in BLOCK:
@@ -151,23 +155,22 @@ def smooth(x: list[float], sigma: float = SIGMA) -> list[float]:
 
 
 def region(lines: list[tuple[str, int, tuple[int, ...]]]) -> tuple[int, ...]:
-    """Path of the content container: descends while one child holds SHARE of the text in content lines."""
+    """Path of the content container: the smallest that holds SHARE of the page's text in content lines."""
     s = smooth(ratios(lines))
     mean = sum(s) / len(s)
     spread = math.sqrt(sum((v - mean) ** 2 for v in s) / len(s))
     content = [(len(t), p) for (t, _, p), v in zip(lines, s) if v >= mean - spread]
-    path: tuple[int, ...] = ()
+    total, path = sum(n for n, _ in content), ()
     while True:
-        inside = [(n, p) for n, p in content if p[: len(path)] == path]
-        total = sum(n for n, _ in inside)
         by: dict[int, int] = {}
-        for n, p in inside:
+        for n, p in content:
             if len(p) > len(path):
                 by[p[len(path)]] = by.get(p[len(path)], 0) + n
         best = max(by, key=by.get, default=None)
         if best is None or by[best] < SHARE * total:
             return path
         path = (*path, best)
+        content = [(n, p) for n, p in content if p[: len(path)] == path]
 
 
 def main_text(html: str | None) -> str:

@@ -33,6 +33,8 @@ def test_blocks_and_space():
     assert H.main_text("just text &lt;here&gt; &#x41;") == "just text <here> A"
     assert H.main_text("<article><p>one<!-- hidden --> two</p></article") == "one two"
     assert H.main_text("<p>" + "word " * 50_000 + "</p>") == ("word " * 50_000).strip()
+    assert H.main_text("<div>x" * 20_000).count("x") >= 0.6 * 20_000
+    assert H.main_text("<section>" * 500 + "<p>x</p>" * 500).count("x") == 500
     assert H.main_text("<div>" * 3000 + "deep" + "</div>" * 3000) == "deep"
 
 
