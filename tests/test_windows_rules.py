@@ -128,3 +128,12 @@ def test_config(tmp_path):
         raise AssertionError("a missing field passed")
     except ConfigError:
         pass
+
+
+def test_golden_point_in_time(spark):
+    """Five events 10 s, 120 s, 2 h and 40 d before and 60 s after the moment; 30 d sees three."""
+    now = 1_750_000_000 * S
+    ages = {10: 100, 120: 200, 7_200: 1_000, 40 * 86_400: 5_000, -60: 9_999}
+    d = txn(spark, [dict(us=now - a * S, amount_minor=v) for a, v in ages.items()])
+    r = W.point_in_time(d, spark.createDataFrame([("c", now)], "card_token string, as_of_us long"), "card_token").first()
+    assert [(r[f"cnt_{h}"], r[f"sum_{h}"], int(r[f"sq_{h}"])) for h in ("1m", "5m", "24h", "30d")] == [(1, 100, 10_000), (2, 300, 50_000), (3, 1_300, 1_050_000), (3, 1_300, 1_050_000)]
