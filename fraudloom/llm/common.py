@@ -44,14 +44,16 @@ def prepare(spark: SparkSession) -> None:
     sc._fraudloom_shipped = True
 
 
-def in_blocks(rows: DataFrame, key: str, spread: str, block: int) -> DataFrame:
+def in_blocks(scratch: Scratch, rows: DataFrame, key: str, spread: str, block: int) -> DataFrame:
     """Rows of keys with two rows or more, as (bi, bj, side, ...) of block pairs.
 
     A key with n rows is cut into ceil(n / block) blocks by the hash of
     `spread`; each pair of blocks (bi <= bj) is a unit of work of at most about
-    2 * block rows, so any hot key is split and still compared in full.
+    2 * block rows, so any hot key is split and still compared in full. The
+    counts are a written table: the join back is between plain sides, so the
+    planner may broadcast it while it is small and AQE may split a hot key.
     """
-    n = rows.groupBy(key).agg(F.count("*").alias("_n")).filter("_n > 1")
+    n = scratch.table(rows.groupBy(key).agg(F.count("*").alias("_n")).filter("_n > 1"), "counts")
     nb = F.expr(f"cast(ceil(_n / {float(block)}D) as int)")
     own = F.pmod(F.xxhash64(spread), F.col("_nb")).cast("int")
     return (rows.join(n, key).withColumn("_nb", nb).withColumn("_own", own)

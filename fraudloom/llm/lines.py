@@ -359,7 +359,7 @@ def links(docs: DataFrame, scratch: common.Scratch, threshold: int = THRESHOLD,
     few = wanted.count() <= BROADCAST_LINES
     lines = _occurrences(docs, least).select("line", "text")
     texts = lines.join(F.broadcast(wanted) if few else wanted, "line", "left_semi").groupBy("line").agg(F.min("text").alias("text"))
-    units = common.in_blocks(met, "key", "line", BLOCK).join(texts, "line")
+    units = common.in_blocks(scratch, met, "key", "line", BLOCK).join(texts, "line")
     units = units.select("key", "bi", "bj", "side", "line", "text").repartition(n, "key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
     return scratch.table(units.mapInArrow(_verify(threshold), "u long, v long"), "links")
 

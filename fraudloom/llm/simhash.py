@@ -178,7 +178,7 @@ def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield solve(r)
 
 
-def links(nodes: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS, block: int = BLOCK) -> DataFrame:
+def links(scratch: common.Scratch, nodes: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS, block: int = BLOCK) -> DataFrame:
     """nodes (node long, fp long; distinct fp) -> links (u, v) that connect what lies within the radius."""
     width = 64 // segments
     keys = []
@@ -187,7 +187,7 @@ def links(nodes: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS, bloc
         mask -= (1 << 64) if mask >> 63 else 0
         keys.append(F.xxhash64(F.lit(n), F.col("fp").bitwiseAND(F.lit(mask).cast("long"))))
     rows = nodes.select("node", "fp", F.explode(F.array(*keys)).alias("key"))
-    units = common.in_blocks(rows, "key", "fp", block)
+    units = common.in_blocks(scratch, rows, "key", "fp", block)
     spread = units.repartition(common.tasks(nodes.sparkSession), "key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
     return spread.select("key", "bi", "bj", "side", "fp", "node").mapInArrow(_link, "u long, v long")
 
@@ -205,8 +205,8 @@ def components(docs: DataFrame) -> DataFrame:
     s = common.Scratch(spark, "simhash")
     fps = s.table(fingerprints(docs), "fp")
     group = fps.groupBy("fp").agg(F.min("doc_id").alias("low"))
-    nodes = group.select(F.coalesce("low", F.lit(9223372036854775807)).alias("low"), "fp")
-    edges = s.table(links(nodes.select(F.col("fp").alias("node"), "fp")), "links")
+    nodes = s.table(group.select(F.coalesce("low", F.lit(9223372036854775807)).alias("low"), "fp"), "nodes")
+    edges = s.table(links(s, nodes.select(F.col("fp").alias("node"), "fp")), "links")
     comp = common.connected_components(s, edges)
     named = nodes.join(comp, nodes.fp == comp.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     named = s.table(named, "named")

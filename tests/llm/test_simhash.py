@@ -65,7 +65,8 @@ def test_links_find_every_component(spark):
     s64 = lambda x: x - (1 << 64) if x >> 63 else x
     for block in (4096, 7):
         df = spark.createDataFrame([(k, s64(v)) for k, v in fps.items()], "node long, fp long").dropDuplicates(["fp"])
-        got = {r.node: r.root for r in common.connected_components(common.Scratch(spark, "t"), simhash.links(df, block=block)).collect()}
+        scratch = common.Scratch(spark, "t")
+        got = {r.node: r.root for r in common.connected_components(scratch, simhash.links(scratch, df, block=block)).collect()}
         want = slow_components(fps)
         distinct = [r.node for r in df.collect()]
         for a in distinct:
