@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from fraudloom.llm import common, lines, mixing, simhash, spm, toxicity
+from fraudloom.scratch import OPENED
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,11 +49,15 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies STAGES to documents."""
+    """Applies STAGES to documents; what a stage wrote on its way is deleted once its result is written."""
     scratch = common.Scratch(spark, "pipeline")
     docs = common.table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = scratch.table(stage(spark, docs, sf_dir), name)
+        before, opened = docs, list(OPENED)
+        docs = scratch.table(stage(spark, before, sf_dir), name)
+        scratch.drop(before)
+        for s in [x for x in OPENED if x not in opened]:
+            s.remove()
     return docs
 
 

@@ -21,13 +21,22 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_dirs.setdefault(sc.applicationId, "file://" + tempfile.mkdtemp(prefix="fraudloom-"))
 
 
+#: Every folder opened by this process, in order; remove() those whose results are written elsewhere.
+OPENED: list[Scratch] = []
+
+
 class Scratch:
-    """A folder of written tables under the shared one."""
+    """A folder of written tables under the shared one.
+
+    An operator's result may read them lazily, so it can't remove them
+    itself: its caller does, after writing the result.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.base = f"{shared_dir(spark)}/fraudloom-{name}-{uuid.uuid4().hex}"
         self.n = 0
+        OPENED.append(self)
 
     def path(self, tag: str) -> str:
         self.n += 1
@@ -40,8 +49,17 @@ class Scratch:
         out._scratch_path = p
         return out
 
+    def _delete(self, path: str) -> None:
+        hp = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        hp.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(hp, True)
+
     def drop(self, df: DataFrame) -> None:
-        p = getattr(df, "_scratch_path", None)
-        if p:
-            hp = self.spark._jvm.org.apache.hadoop.fs.Path(p)
-            hp.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(hp, True)
+        """Deletes one table, if df is one of ours."""
+        if p := getattr(df, "_scratch_path", None):
+            self._delete(p)
+
+    def remove(self) -> None:
+        """Deletes the folder."""
+        self._delete(self.base)
+        if self in OPENED:
+            OPENED.remove(self)
