@@ -42,5 +42,8 @@ def test_every_stage_against_brute_force(spark, sf_dir):
 
 
 def test_run(spark, sf_dir):
-    assert P.run(spark, sf_dir).count() > 0
+    from fraudloom.scratch import OPENED
+
+    before = len(OPENED)
+    assert P.run(spark, sf_dir).count() > 0 and len(OPENED) == before + 1
     assert P.ORACLE_SQL is None
