@@ -46,7 +46,10 @@ _places: dict[tuple[int, int], list] = {}
 
 
 def places(length: int, t: int) -> list[tuple[int, int, int, int]]:
-    """What a line of this length probes: (posted length, segment, start, size), by the multi-match-aware bounds."""
+    """What a line of this length probes: (posted length, segment, start, size), by the multi-match-aware bounds.
+
+    Its own postings are left out: lines of equal length with an equal segment meet in them anyway.
+    """
     got = _places.get((length, t))
     if got is None:
         got = []
@@ -55,7 +58,7 @@ def places(length: int, t: int) -> list[tuple[int, int, int, int]]:
             for i, (p, z) in enumerate(cuts(shorter, t)):
                 lo = max(0, p - i, p + d - (t - i))
                 hi = min(length - z, p + i, p + d + (t - i))
-                got += [(shorter, i, a, z) for a in range(lo, hi + 1)]
+                got += [(shorter, i, a, z) for a in range(lo, hi + 1) if d or a != p]
         _places[(length, t)] = got
     return got
 
