@@ -48,6 +48,23 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def graph_query(sql: str, least: int = 15_000, whole: str | None = None) -> Callable[[Callable[[SparkSession, DataFrame], DataFrame]], Callable]:
+    """Registers f(spark, edges) twice: over the rows that its SQL takes, and as NAME_all over every transfer, there beside `whole` if SQL can follow."""
+    def add(f: Callable[[SparkSession, DataFrame], DataFrame]) -> Callable:
+        QUERIES[f.__name__], SQL[f.__name__] = lambda spark, sf: f(spark, T.edges(spark, sf, least)), sql
+        QUERIES[f"{f.__name__}_all"] = lambda spark, sf: f(spark, T.edges(spark, sf, None))
+        if whole is not None:
+            SQL[f"{f.__name__}_all"] = whole
+        return f
+
+    return add
+
+
+def _every(sql: str) -> str:
+    """A query's SQL without the condition that picks its rows."""
+    return sql.replace(" WHERE amount_minor >= 15000", "").replace(" WHERE l_orderkey % 100 = 0", "")
+
+
 @query(Q.WINDOWS_SIX)
 def windows_six(spark, sf):
     d = W.six_windows(T.txn(spark, sf), "card_token")
@@ -274,44 +291,44 @@ def disposition_labels(spark, sf):
     return C.disposition_labels(last).select("case_id", "state", "value")
 
 
-@query(Q.EDGES)
-def graph_edges(spark, sf):
-    return G.aggregate_edges(T.edges(spark, sf)).select("src", "dst", "n", "total_minor", "last_seen")
+@graph_query(Q.EDGES, whole=_every(Q.EDGES))
+def graph_edges(spark, e):
+    return G.aggregate_edges(e).select("src", "dst", "n", "total_minor", "last_seen")
 
 
-@query(Q.DEGREES)
-def graph_degrees(spark, sf):
-    return G.degrees(T.edges(spark, sf))
+@graph_query(Q.DEGREES, whole=_every(Q.DEGREES))
+def graph_degrees(spark, e):
+    return G.degrees(e)
 
 
-@query(Q.COUNTS)
-def graph_counts(spark, sf):
-    return G.graph_counts(T.edges(spark, sf))
+@graph_query(Q.COUNTS, whole=_every(Q.COUNTS))
+def graph_counts(spark, e):
+    return G.graph_counts(e)
 
 
-@query(Q.COMPONENTS)
-def graph_components(spark, sf):
-    return G.components(T.edges(spark, sf, 25_000))
+@graph_query(Q.COMPONENTS, 25_000)
+def graph_components(spark, e):
+    return G.components(e)
 
 
-@query(Q.HUBS)
-def fan_in_fan_out(spark, sf):
-    return G.hubs(T.edges(spark, sf)).select("node", "n_sources", F.array_join("members", ",").alias("members"))
+@graph_query(Q.HUBS, whole=_every(Q.HUBS))
+def fan_in_fan_out(spark, e):
+    return G.hubs(e).select("node", "n_sources", F.array_join("members", ",").alias("members"))
 
 
-@query(Q.SCATTER)
-def scatter_gather(spark, sf):
-    return G.scatter_gather(T.edges(spark, sf))
+@graph_query(Q.SCATTER, whole=_every(Q.SCATTER))
+def scatter_gather(spark, e):
+    return G.scatter_gather(e)
 
 
-@query(Q.RINGS)
-def temporal_rings_k4(spark, sf):
-    return G.temporal_rings(T.edges(spark, sf), 4).select("ring", F.col("length").cast("long").alias("length"))
+@graph_query(Q.RINGS, whole=_every(Q.RINGS))
+def temporal_rings_k4(spark, e):
+    return G.temporal_rings(e, 4).select("ring", F.col("length").cast("long").alias("length"))
 
 
-@query(Q.DISTANCE)
-def dist_to_bad(spark, sf):
-    return G.distance_to_bad(T.edges(spark, sf, 25_000), G.bad_nodes(spark, "n1", "n2", "n3"))
+@graph_query(Q.DISTANCE, 25_000)
+def dist_to_bad(spark, e):
+    return G.distance_to_bad(e, G.bad_nodes(spark, "n1", "n2", "n3"))
 
 
 def _records(spark, sf):
@@ -339,19 +356,29 @@ def ppr_bad_n(spark, sf):
     return G.pagerank(T.edges(spark, sf), F.col("amount_minor"), "seq", personal=G.bad_nodes(spark, "n1", "n2", "n3"), directed=False, rounds=5).select("node", F.round("rank", 8).alias("rank"))
 
 
+@query()
+def pagerank_n_all(spark, sf):
+    return G.pagerank(T.edges(spark, sf, None), F.col("amount_minor"), "seq")
+
+
+@query()
+def ppr_bad_n_all(spark, sf):
+    return G.pagerank(T.edges(spark, sf, None), F.col("amount_minor"), "seq", personal=G.bad_nodes(spark, "n1", "n2", "n3"), directed=False)
+
+
 @query()
 def communities(spark, sf):
-    return G.communities(T.edges(spark, sf, 20_000))
+    return G.communities(T.edges(spark, sf, None))
 
 
 @query()
 def label_propagation(spark, sf):
-    return G.label_propagation(T.edges(spark, sf))
+    return G.label_propagation(T.edges(spark, sf, None))
 
 
-@query(Q.MULE)
-def mule_scores(spark, sf):
-    m = G.mule_scores(G.account_activity(T.edges(spark, sf)))
+@graph_query(Q.MULE, whole=_every(Q.MULE))
+def mule_scores(spark, e):
+    m = G.mule_scores(G.account_activity(e))
     return m.select("account", F.round("mule_score", 6).alias("mule_score"), F.array_join("signals", ",").alias("signals"), "alert")
 
 
@@ -366,9 +393,9 @@ def coercion(spark, sf):
     return P.coercion(t).filter("coercion").select("txn_id", "action", "show_warning")
 
 
-@query(Q.FREEZE)
-def recipient_freeze(spark, sf):
-    return P.recipient_freeze(G.mule_scores(G.account_activity(T.edges(spark, sf)))).select("account", "freeze", "disposition", "file_sar")
+@graph_query(Q.FREEZE, whole=_every(Q.FREEZE))
+def recipient_freeze(spark, e):
+    return P.recipient_freeze(G.mule_scores(G.account_activity(e))).select("account", "freeze", "disposition", "file_sar")
 
 
 @query(Q.ADDRESS_CLUSTERS)
@@ -376,18 +403,28 @@ def address_clusters(spark, sf):
     return X.address_clusters(T.ledger(spark, sf))
 
 
+@query()
+def address_clusters_all(spark, sf):
+    return X.address_clusters(T.ledger(spark, sf, whole=True))
+
+
 @query(Q.LEDGER_VALUE)
 def coinjoins(spark, sf):
     return X.coinjoins(X.output_value(T.ledger(spark, sf))).select("txid", "output_minor", "coinjoin")
 
 
-def _transfers(spark, sf):
-    return T.edges(spark, sf).select("seq", "src", "dst", F.col("amount_minor").alias("value"))
+@query(_every(Q.LEDGER_VALUE))
+def coinjoins_all(spark, sf):
+    return X.coinjoins(X.output_value(T.ledger(spark, sf, whole=True))).select("txid", "output_minor", "coinjoin")
+
+
+def _transfers(spark, sf, least=15_000):
+    return T.edges(spark, sf, least).select("seq", "src", "dst", F.col("amount_minor").alias("value"))
 
 
 @query()
 def taint_exposure(spark, sf):
-    return X.exposure(_transfers(spark, sf), G.bad_nodes(spark, "n1", "n2", "n3"))
+    return X.exposure(_transfers(spark, sf, None), G.bad_nodes(spark, "n1", "n2", "n3"))
 
 
 @query(Q.PEEL)
@@ -395,6 +432,11 @@ def peel_chains(spark, sf):
     return X.peel_chains(_transfers(spark, sf), G.bad_nodes(spark, "n1", "n2", "n3"), ratio=0.5, hops=1).select("start", F.col("length").cast("long").alias("length"))
 
 
+@query()
+def peel_chains_all(spark, sf):
+    return X.peel_chains(_transfers(spark, sf, None), G.bad_nodes(spark, "n1", "n2", "n3")).select("start", F.col("length").cast("long").alias("length"))
+
+
 @query(Q.SANCTIONS)
 def sanctions_asof(spark, sf):
     o = T.load(spark, sf, "orders")
@@ -544,7 +586,7 @@ def reject_inferred(spark, sf):
 
 @query()
 def graph_features(spark, sf):
-    return G.feature_rows(T.edges(spark, sf, 20_000), G.bad_nodes(spark, "n1", "n2", "n3"), rounds=30, tolerance=1e-6)
+    return G.feature_rows(T.edges(spark, sf, None), G.bad_nodes(spark, "n1", "n2", "n3"))
 
 
 @query(Q.HOPS)
