@@ -2,8 +2,9 @@
 
 The standard library's parser streams events; each block of text is a line
 with a text-to-tag ratio. Ratios are smoothed with a Gaussian and clustered by
-a threshold; the containers are then descended as long as one child holds
-most of the page's text in content lines, which selects the content region.
+a threshold; the containers are then descended as long as one child leaves no
+content outside it (content lines, headings, paragraphs; where article or main
+hold most of the text, these and headings). An article or main isn't left.
 All blocks of that region are the main text, menus, headers, footers,
 sidebars, notices, adverts, forms, scripts, styles and comments left out.
 """
@@ -27,6 +28,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead title tr ul".split())
 SKIP = frozenset("script style template noscript head title nav header footer aside form fieldset button select option textarea iframe object svg math canvas audio video dialog menu search label input".split())
 CONTAINER = frozenset("article main section div td body html blockquote center".split())
+HEADING, PROSE = ("h1", "h2", "h3", "h4", "h5", "h6"), ("p", "blockquote", "pre")
 CLOSES_P = BLOCK - frozenset("body html caption tbody td tfoot th thead tr title legend summary dt dd".split())
 BOILER = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|header|masthead|footer|sidebar|side|aside|widget\w*|related|recommend\w*|share|sharing|social|cookies?|consent|notice\w*|gdpr|popup|modal|overlay|newsletter|subscribe|signup|login|comments?|comment\w*|replies|reply|disqus|respond|pagination|pager|toolbar|skip|legal|copyright)(?:$|[\s_-])",
@@ -51,12 +53,15 @@ class _Blocks(HTMLParser):
         self.text: list[str] = []
         self.tags = 0
         self.lines: list[tuple[str, int, tuple[int, ...]]] = []
+        self.kinds: list[str] = []  # of each line, see region()
+        self.whole: set[int] = set()  # article and main
 
     def flush(self) -> None:
         if self.text:
             t = SPACE.sub(" ", "".join(self.text)).strip()
             if t:
                 self.lines.append((t, self.tags, self.path))
+                self.kinds.append("h" if any(self.open[x] for x in HEADING) else "p" if any(self.open[x] for x in PROSE) else "")
                 self.tags = 0
             self.text = []
 
@@ -89,6 +94,8 @@ class _Blocks(HTMLParser):
         if held:
             self.n += 1
             self.path = (*self.path, self.n)
+            if tag in ("article", "main"):
+                self.whole.add(self.n)
         self.stack.append((tag, skipped, held))
         self.open[tag] += 1
 
@@ -154,23 +161,32 @@ def smooth(x: list[float], sigma: float = SIGMA) -> list[float]:
     return out
 
 
-def region(lines: list[tuple[str, int, tuple[int, ...]]]) -> tuple[int, ...]:
-    """Path of the content container: the smallest that holds SHARE of the page's text in content lines."""
+def region(lines: list[tuple[str, int, tuple[int, ...]]], kinds: list[str], whole: set[int]) -> tuple[int, ...]:
+    """Path of the content container: the smallest one that leaves no content outside.
+
+    kinds: per line "h" in a heading, "p" in a paragraph, quote or listing, else "". Where containers of `whole`
+    (article, main) hold SHARE of the text in content lines, they are the content and headings above them;
+    else every content line, heading and paragraph is.
+    """
     s = smooth(ratios(lines))
     mean = sum(s) / len(s)
     spread = math.sqrt(sum((v - mean) ** 2 for v in s) / len(s))
-    content = [(len(t), p) for (t, _, p), v in zip(lines, s) if v >= mean - spread]
-    total, path = sum(n for n, _ in content), ()
-    while True:
+    inside = [not whole.isdisjoint(p) for _, _, p in lines]
+    size = [len(t) if v >= mean - spread else 0 for (t, _, _), v in zip(lines, s)]
+    guided = sum(n for n, w in zip(size, inside) if w) >= SHARE * sum(size) and any(inside)
+    rows = [(p, n, kind == "h" or w if guided else n > 0 or kind != "") for (_, _, p), n, kind, w in zip(lines, size, kinds, inside)]
+    path: tuple[int, ...] = ()
+    while not path or path[-1] not in whole:
         by: dict[int, int] = {}
-        for n, p in content:
+        for p, n, _ in rows:
             if len(p) > len(path):
                 by[p[len(path)]] = by.get(p[len(path)], 0) + n
         best = max(by, key=by.get, default=None)
-        if best is None or by[best] < SHARE * total:
+        if best is None or any(held and (len(p) == len(path) or p[len(path)] != best) for p, _, held in rows):
             return path
+        rows = [r for r in rows if len(r[0]) > len(path) and r[0][len(path)] == best]
         path = (*path, best)
-        content = [(n, p) for n, p in content if p[: len(path)] == path]
+    return path
 
 
 def main_text(html: str | None) -> str:
@@ -180,7 +196,7 @@ def main_text(html: str | None) -> str:
     p.flush()
     if not p.lines:
         return ""
-    at = region(p.lines)
+    at = region(p.lines, p.kinds, p.whole)
     return "\n\n".join(t for t, _, path in p.lines if path[: len(at)] == at)
 
 

@@ -59,3 +59,20 @@ def test_edge_rows(spark):
     df = spark.createDataFrame([(1, "u", None), (None, None, "<p>x</p>"), (2, "u", ""), (2, "u", "")], "page_id long, url string, html string").withColumn("text", F.lit("clash"))
     assert sorted((str(r.page_id), r.text, r.n_chars) for r in H.extract(df).collect()) == [("1", "", 0), ("2", "", 0), ("2", "", 0), ("None", "x", 1)]
     assert H.extract(df.limit(0)).count() == 0
+
+
+def test_nothing_of_the_article_is_lost():
+    long, more = " ".join([LONG] * 6), " ".join([LONG] * 3)
+    for body, want in (
+        (f"<article><h1>Title</h1><p>Lead.</p><div class=body><p>{long}</p><p>{long}</p></div></article>", ["Title", "Lead.", long, long]),
+        (f"<article><p>Intro</p><blockquote><p>{long}</p></blockquote><p>Rest</p></article>", ["Intro", long, "Rest"]),
+        (f"<article><section><p>{long}</p></section><section><p>{more}</p></section></article>", [long, more]),
+        (f"<article><p>{long}</p></article><article><p>{more}</p></article>", [long, more]),
+        (f"<h1>Title</h1><article><p>{long}</p></article>", ["Title", long]),
+        (f"<main><h1>Title</h1><article><p>{long}</p></article><p>After</p></main>", ["Title", long, "After"]),
+        (f"<div><h1>T</h1><div class=text>{''.join(f'<p>{LONG}</p>' for _ in range(12))}</div></div>", ["T"] + [LONG] * 12),
+        (f"<div><section><p>{long}</p></section><section><p>{more}</p></section></div>", [long, more]),
+        (f"<div><p>In short.</p><table><tr><td>{long}</td></tr></table><p>Yes.</p></div>", ["In short.", long, "Yes."]),
+        (f"<div><div>Plain text of other stories</div><div><article><p>{long}</p><p>b</p></article></div></div>", [long, "b"]),
+    ):
+        assert H.main_text(page(body)) == "\n\n".join(want), body
