@@ -242,8 +242,12 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             live = v[0] < 0 and len(np.unique(v & _LINE)) > 1
             if live:
                 yield emit(k, v & _LINE)
-            passing = (int(k[0]), bool(live))
-            k, v = k[:0], v[:0]
+            if live or v[0] >= 0:
+                passing = (int(k[0]), bool(live))
+                k, v = k[:0], v[:0]
+            else:  # repeats of one line so far; others may follow
+                v = np.unique(v)
+                k = k[: len(v)]
     if len(k):
         got = _live(k, v)
         if len(got[0]):

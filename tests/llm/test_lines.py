@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from fraudloom.llm import lines
@@ -89,3 +91,19 @@ def test_edge_rows(spark):
     assert got == [(-1, line, 0), (2, "", 1), (2, "", 1), (3, "", 0), (4, "kept", 1)]
     assert sorted((r.doc_id or -1) for r in lines.clean(df.drop("n_lines")).collect()) == [-1, 3, 4]
     assert lines.dedup(df.limit(0)).count() == 0
+
+
+def test_many_repeats_of_one_line_hide_no_other():
+    post = -(1 << 63)
+
+    def meet(v):
+        rows = [(7, x) for x in v] + [(8, post | 1)]
+        k, v = np.array(rows, np.int64).T
+        batches = [pa.RecordBatch.from_arrays([pa.array(k[i : i + 10_000]), pa.array(v[i : i + 10_000])], ["key", "v"]) for i in range(0, len(k), 10_000)]
+        return {x for b in lines._meet(batches) for x in zip(b.column("key").to_pylist(), b.column("line").to_pylist())}
+
+    assert meet([post | 5] * 70_000 + [post | 6]) == {(7, 5), (7, 6)}
+    assert meet([post | 5] * 150_000 + [4, 5]) == {(7, 4), (7, 5)}
+    assert meet([post | 5] * 70_000 + [5] * 70_000) == set()
+    assert meet([5] * 70_000 + [6]) == set()
+    assert meet([post | x for x in range(70_000)]) == {(7, x) for x in range(70_000)}
