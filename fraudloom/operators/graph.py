@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +14,7 @@ from fraudloom.scratch import Scratch
 
 STRONG_KINDS = ("device", "email", "phone", "ip", "national_id", "account")
 BAD_BROADCAST = 100_000
+MERGE = 16
 
 
 def aggregate_edges(e: DataFrame) -> DataFrame:
@@ -55,23 +58,26 @@ def components(e: DataFrame) -> DataFrame:
     return nodes.join(comp, nodes.n == comp.node, "left").select(F.col("n").alias("node"), F.coalesce("root", "n").alias("component"))
 
 
-def distance_to_bad(e: DataFrame, bad: DataFrame, max_hops: int = 64) -> DataFrame:
+def distance_to_bad(e: DataFrame, bad: DataFrame) -> DataFrame:
     """(node, dist): undirected hops to the nearest bad node of the graph, 0 for those, -1 if none is reachable.
 
     Level-synchronous search; each level is a written table, visited nodes are
-    taken out by an anti-join, and it ends with the first empty level.
+    taken out by an anti-join, and it ends with the first empty level. The
+    visited ones are written anew every MERGE levels, so plans stay short.
     """
     s = Scratch(e.sparkSession, "bfs")
     und = s.table(e.select("src", "dst").union(e.select("dst", "src")).filter("src <> dst").distinct(), "edges")
     nodes = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct()
     front = s.table(nodes.join(bad.select(F.col("node")).distinct(), "node", "left_semi").select("node", F.lit(0).cast("long").alias("dist")), "seen")
     seen = front
-    for hop in range(1, max_hops + 1):
+    for hop in count(1):
         nxt = front.join(und, front.node == und.src).select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti").select("node", F.lit(hop).cast("long").alias("dist"))
         front = s.table(nxt, "level")
         if front.isEmpty():
             break
         seen = seen.union(front)
+        if hop % MERGE == 0:
+            seen = s.table(seen, "seen")
     return nodes.join(seen, "node", "left").select("node", F.coalesce("dist", F.lit(-1)).cast("long").alias("dist"))
 
 

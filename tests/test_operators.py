@@ -99,6 +99,12 @@ def test_distance_and_pagerank(spark):
     assert {r.rank for r in G.pagerank(e, F.col("amount_minor"), "seq", personal=G.bad_nodes(spark, "nobody")).collect()} == {0.0}
 
 
+def test_distance_has_no_limit(spark):
+    e = edges(spark, [(f"c{k}", f"c{k + 1}", 1) for k in range(70)] + [("y", "z", 1)])
+    got = {r.node: r.dist for r in G.distance_to_bad(e, G.bad_nodes(spark, "c0")).collect()}
+    assert got == {**{f"c{k}": k for k in range(71)}, "y": -1, "z": -1}
+
+
 def test_communities(spark):
     two = [(a, b, 1) for g in ("abcd", "wxyz") for a in g for b in g if a < b] + [("a", "w", 1)]
     got = {r.node: r.community for r in G.communities(edges(spark, two)).collect()}
