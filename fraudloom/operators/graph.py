@@ -136,28 +136,35 @@ def scatter_gather(e: DataFrame, least: int = 3) -> DataFrame:
     return a.join(b, "mid").filter("src <> sink").groupBy("src", "sink").agg(F.count("*").alias("n_mids")).filter(F.col("n_mids") >= least)
 
 
-def temporal_rings(e: DataFrame, max_len: int = 4) -> DataFrame:
-    """Elementary cycles of 2 to max_len nodes with a rotation whose times don't decrease: (ring, members, length).
+def temporal_rings(e: DataFrame, max_len: int | None = None) -> DataFrame:
+    """Elementary cycles of 2 nodes or more (to max_len, if given) with a rotation whose times don't decrease: (ring, members, length).
 
     Paths grow from the cycle's smallest node only, so each cycle is found
-    once. Parallel edges keep their last time. Dead ends are peeled off first:
-    an edge that no cycle can use doesn't join.
+    once, until none is left. Parallel edges keep their last time. Dead ends
+    are peeled off first: an edge that no cycle can use doesn't join. A
+    rotation is non-decreasing exactly if the cyclic sequence of times falls
+    at most once, so a path that fell stays at or under its first time.
     """
     s = Scratch(e.sparkSession, "rings")
     p = s.table(e.filter("src <> dst").groupBy("src", "dst").agg(F.max("time").alias("t")), "pairs")
     for _ in range(3):
         p = p.join(p.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(p.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst", "t")
     p = s.table(p, "core")
-    path = p.filter("src < dst").select(F.col("src").alias("head"), F.array("src", "dst").alias("nodes"), F.array("t").alias("times"), F.col("dst").alias("tail"))
+    path = s.table(p.filter("src < dst").select(F.col("src").alias("head"), F.array("src", "dst").alias("nodes"), F.col("t").alias("first"), F.col("t").alias("last"), F.lit(False).alias("fell"), F.col("dst").alias("tail")), "path")
+    fell = F.col("fell") | (F.col("t") < F.col("last"))
+    fits = ~(F.col("fell") & (F.col("t") < F.col("last"))) & (~fell | (F.col("t") <= F.col("first")))
     found = None
-    for k in range(2, max_len + 1):
-        close = path.join(p, (path["tail"] == p["src"]) & (path["head"] == p["dst"])).select("nodes", F.concat("times", F.array("t")).alias("times"))
+    for k in count(2):
+        # The last edge may fall back to the first one's time only if nothing fell before, which is what `fits` says.
+        close = path.join(p, (path["tail"] == p["src"]) & (path["head"] == p["dst"])).filter(fits).select("nodes")
         found = close if found is None else found.unionByName(close)
-        if k < max_len:
-            path = path.join(p, path["tail"] == p["src"]).filter((F.col("dst") > F.col("head")) & ~F.array_contains("nodes", F.col("dst"))).select("head", F.concat("nodes", F.array("dst")).alias("nodes"), F.concat("times", F.array("t")).alias("times"), F.col("dst").alias("tail"))
-    # A rotation is non-decreasing exactly if the cyclic sequence falls at most once.
-    falls = F.aggregate(F.zip_with("times", F.concat(F.slice(F.col("times"), 2, F.greatest(F.size("times") - 1, F.lit(0))), F.slice("times", 1, 1)), lambda a, b: (a > b).cast("int")), F.lit(0), lambda x, y: x + y)
-    return found.filter(falls <= 1).select(F.array_join("nodes", ">").alias("ring"), F.array_sort("nodes").alias("members"), F.size("nodes").alias("length"))
+        if k == max_len:
+            break
+        grown = path.join(p, path["tail"] == p["src"]).filter((F.col("dst") > F.col("head")) & ~F.array_contains("nodes", F.col("dst")) & fits)
+        path = s.table(grown.select("head", F.concat("nodes", F.array("dst")).alias("nodes"), "first", F.col("t").alias("last"), fell.alias("fell"), F.col("dst").alias("tail")), "path")
+        if path.isEmpty():
+            break
+    return found.select(F.array_join("nodes", ">").alias("ring"), F.array_sort("nodes").alias("members"), F.size("nodes").alias("length"))
 
 
 def mule_scores(a: DataFrame) -> DataFrame:

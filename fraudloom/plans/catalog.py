@@ -326,6 +326,11 @@ def temporal_rings_k4(spark, e):
     return G.temporal_rings(e, 4).select("ring", F.col("length").cast("long").alias("length"))
 
 
+@query()
+def temporal_rings(spark, sf):
+    return G.temporal_rings(T.edges(spark, sf)).select("ring", F.col("length").cast("long").alias("length"))
+
+
 @graph_query(Q.DISTANCE, 25_000)
 def dist_to_bad(spark, e):
     return G.distance_to_bad(e, G.bad_nodes(spark, "n1", "n2", "n3"))

@@ -91,6 +91,28 @@ def test_motifs(spark):
     assert [(r.src, r.sink, r.n_mids) for r in G.scatter_gather(s).collect()] == [("s", "t", 3)]
 
 
+def test_rings_of_any_length(spark):
+    r = random.Random(2)
+    long = [(f"l{k}", f"l{(k + 1) % 9}", k) for k in range(9)]
+    rows = long + [(a, b, r.randrange(12)) for a in "abcdefg" for b in "abcdefg" if a != b and r.random() < 0.6]
+    at = {(a, b): t for a, b, t in rows}
+    want = set()
+
+    def walk(nodes):
+        for a, b in at:
+            if a == nodes[-1] and b == nodes[0]:
+                times = [at[x] for x in zip(nodes, nodes[1:] + nodes[:1])]
+                if any(x == sorted(x) for x in (times[i:] + times[:i] for i in range(len(times)))):
+                    want.add(">".join(nodes))
+            elif a == nodes[-1] and b > nodes[0] and b not in nodes:
+                walk([*nodes, b])
+
+    for n in sorted({a for a, _ in at}):
+        walk([n])
+    got = G.temporal_rings(edges(spark, rows)).collect()
+    assert {x.ring for x in got} == want and len(got) == len(want) and max(x.length for x in got) == 9 and len({x.length for x in got}) > 4
+
+
 def test_distance_and_pagerank(spark):
     e = edges(spark, [("a", "x", 1), ("b", "a", 1), ("c", "d", 1)])
     assert {r.node: r.dist for r in G.distance_to_bad(e, G.bad_nodes(spark, "x")).collect()} == {"x": 0, "a": 1, "b": 2, "c": -1, "d": -1}
