@@ -106,7 +106,3 @@ def window_std(count: Column, total: Column, squares: Column) -> Column:
     mean = total.cast("double") / n
     return F.when(count >= 2, F.sqrt(F.greatest(F.lit(0.0), squares.cast("double") / n - mean * mean))).otherwise(0.0)
 
-
-def same_affix(a: Column, b: Column, size: int = 4) -> Column:
-    """Different ASCII addresses with equal first and last `size` characters."""
-    return (F.length(a) >= size) & (F.length(b) >= size) & (F.left(a, F.lit(size)) == F.left(b, F.lit(size))) & (F.right(a, F.lit(size)) == F.right(b, F.lit(size))) & (a != b)

@@ -52,35 +52,30 @@ def trace(rows: list[tuple[str, str, int]], bad: set[str]) -> dict[str, list]:
 
     A bad sender emits fully tainted value and spends no lots. Others spend
     their oldest lots first, a split lot's taint is cut to whole units; what
-    they don't hold comes in clean.
+    they don't hold comes in clean. The receiver gets one lot a transfer, with
+    the taint of all that was spent for it.
     """
     lots: dict[str, deque] = {}
     flow: dict[str, list[int]] = {}
     for src, dst, value in rows:
-        got = []
-        direct = indirect = 0
+        sent = direct = indirect = 0
         if src in bad:
-            got.append((value, value))
-            direct = value
+            sent = direct = value
         else:
             need, own = value, lots.setdefault(src, deque())
             while need > 0 and own:
                 v, t = own[0]
-                if v <= 0:
+                if v <= need:
                     own.popleft()
-                elif v <= need:
-                    own.popleft()
-                    got.append((v, t))
+                    sent += t
                     need -= v
                 else:
                     part = t * need // v
                     own[0] = (v - need, t - part)
-                    got.append((need, part))
+                    sent += part
                     need = 0
-            if need > 0:
-                got.append((need, 0))
-            indirect = sum(t for _, t in got)
-        lots.setdefault(dst, deque()).extend(got)
+            indirect = sent
+        lots.setdefault(dst, deque()).append((value, sent))
         f = flow.setdefault(dst, [0, 0])
         f[0] += direct
         f[1] += indirect
@@ -111,16 +106,19 @@ def peel_chains(transfers: DataFrame, bad: DataFrame, ratio: float = PEEL_RATIO,
     """(start, length): successors of bad nodes from which `hops` dominant transfers or more follow one another.
 
     A node's dominant transfer is its largest of two or more (ties to the
-    last) with `ratio` of all it sends. The chain is followed without coming back
-    to a node; its length needs no more than `hops` steps to decide.
+    last) with `ratio` of all it sends. A hop back to a node of the chain counts
+    and ends it; its length needs no more than `hops` steps to decide.
     """
     w = Window.partitionBy("src")
     big = transfers.groupBy("src").agg(F.count("*").alias("n"), F.sum("value").alias("total"), F.max(F.struct("value", "seq", "dst")).alias("m")).filter("n >= 2")
     dom = big.filter(F.col("m.value") >= F.lit(ratio) * F.col("total")).select("src", F.col("m.dst").alias("nxt"))
     start = transfers.join(bad.select(F.col("node").alias("src")).distinct(), "src", "left_semi").select(F.col("dst").alias("start")).distinct()
     path = start.select("start", F.col("start").alias("at"), F.array("start").alias("seen"))
-    for _ in range(hops):
-        path = path.join(dom, path["at"] == dom["src"]).filter(~F.array_contains("seen", F.col("nxt"))).select("start", F.col("nxt").alias("at"), F.concat("seen", F.array("nxt")).alias("seen"))
+    for k in range(hops):
+        path = path.join(dom, path["at"] == dom["src"])
+        if k < hops - 1:  # a closed chain takes no further hop
+            path = path.filter(~F.array_contains("seen", F.col("nxt")))
+        path = path.select("start", F.col("nxt").alias("at"), F.concat("seen", F.array("nxt")).alias("seen"))
     return path.select("start", F.lit(hops).alias("length"))
 
 

@@ -94,9 +94,14 @@ def decide(evaluated: DataFrame, scorer: Scorer = surrogate_scorer, costs: Costs
     return out.withColumn("model_version", F.when(F.col("degraded"), "none").otherwise(model_version)).drop("_mb", "_ma", "_ms")
 
 
-def approve_all(requests: DataFrame) -> DataFrame:
-    """The placeholder decider."""
-    return requests.select("transaction_id", F.lit("APPROVE").alias("action"), F.lit(0.0).alias("score"), F.lit("LOW").alias("band"), F.array().cast("array<string>").alias("reason_codes"), F.lit("rules-v0").alias("rule_version"), F.lit("none").alias("model_version"))
+def approve_all(evaluated: DataFrame) -> DataFrame:
+    """The placeholder decider: every row is approved, whatever hit."""
+    return evaluated.withColumn("action", F.lit("APPROVE")).withColumn("score", F.lit(0.0)).withColumn("band", F.lit("LOW")).withColumn("reason_codes", F.array().cast("array<string>")).withColumn("rule_version", F.lit("rules-v0")).withColumn("model_version", F.lit("none"))
+
+
+def with_packs(evaluated: DataFrame, *packs: Column) -> DataFrame:
+    """Appends the hits of vertical packs (hit structs or null, in order) to the rules' own, before the fusion."""
+    return evaluated.withColumn("hits", F.concat("hits", F.array_compact(F.array(*[p.cast(R.HIT) for p in packs]))))
 
 
 def idempotent(decisions: DataFrame, key: str, arrival: str, verdict: list[str]) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from heapq import heapify, heappop, heappush
 from itertools import count
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fraudloom.functions import scalars as S
@@ -81,12 +83,13 @@ def distance_to_bad(e: DataFrame, bad: DataFrame) -> DataFrame:
     return nodes.join(seen, "node", "left").select("node", F.coalesce("dist", F.lit(-1)).cast("long").alias("dist"))
 
 
-def pagerank(e: DataFrame, weight: Column, order: str, personal: DataFrame | None = None, directed: bool = True, rounds: int = 10, alpha: float = 0.85, tolerance: float | None = None) -> DataFrame:
+def pagerank(e: DataFrame, weight: Column, order: str, personal: DataFrame | None = None, directed: bool = True, rounds: int = 100, alpha: float = 0.85, tolerance: float | None = 1e-6) -> DataFrame:
     """(node, rank): power iteration over weighted edges, of repeated pairs the last by `order` counting.
 
     Dangling mass goes by the teleport vector: uniform, or uniform over the
-    nodes in `personal` (all ranks 0 if none is in the graph). With tolerance
-    it stops when the L1 change is below n * tolerance. Only two numbers a
+    nodes in `personal` (all ranks 0 if none is in the graph). It stops when
+    the L1 change is below n * tolerance and raises if `rounds` don't get
+    there; without tolerance it takes exactly `rounds`. Only two numbers a
     round (dangling mass and change) come to the driver.
     """
     s = Scratch(e.sparkSession, "pr")
@@ -117,6 +120,9 @@ def pagerank(e: DataFrame, weight: Column, order: str, personal: DataFrame | Non
         cur = nxt.drop("was")
         if done:
             break
+    else:
+        if tolerance is not None:
+            raise RuntimeError(f"ranks did not converge in {rounds} rounds")
     return cur.select("node", "rank")
 
 
@@ -193,54 +199,79 @@ def account_activity(e: DataFrame) -> DataFrame:
                     F.floor((F.least("first_in", "first_out") - F.col("start")) / 86_400_000_000).alias("dormant_days"))
 
 
-def _cnm(nodes: list[str], pairs: set[tuple[str, str]]) -> dict[str, int]:
-    """Greedy modularity of one component: the merge with the largest gain until none gains; communities numbered by size."""
-    m = len(pairs)
-    com = {n: k for k, n in enumerate(sorted(nodes))}
-    if m == 0:
-        return com
-    member = {k: {n} for n, k in com.items()}
-    link: dict[int, dict[int, float]] = {k: {} for k in member}
-    deg = dict.fromkeys(member, 0.0)
-    for a, b in pairs:
-        x, y = com[a], com[b]
+def _cnm(pairs: set[tuple[str, str]], m: int) -> list[set[str]]:
+    """Greedy modularity of one component of a graph with m links: the merge with the largest gain until each one loses.
+
+    Gains are whole numbers (2 * m^2 times the modularity's), so ties are exact: they go to the smaller pair of
+    labels, and the larger label stays. A heap holds the gains; entries that a merge outdated are skipped.
+    """
+    names = sorted({x for p in pairs for x in p})
+    at = {n: k for k, n in enumerate(names)}
+    member = {k: {n} for n, k in at.items()}
+    link: dict[int, Counter] = {k: Counter() for k in member}
+    deg: Counter[int] = Counter()
+    for p in pairs:
+        x, y = at[p[0]], at[p[1]]
         deg[x] += 1
         deg[y] += 1
         if x != y:
-            link[x][y] = link[x].get(y, 0) + 1
-            link[y][x] = link[y].get(x, 0) + 1
-    while True:
-        best = max(((v / m - deg[x] * deg[y] / (2 * m * m), -x, -y) for x in link for y, v in link[x].items() if x < y), default=None)
-        if best is None or best[0] <= 1e-12:
+            link[x][y] += 1
+            link[y][x] += 1
+    gain = lambda x, y: 2 * m * link[x][y] - deg[x] * deg[y]
+    heap = [(-gain(x, y), x, y) for x in link for y in link[x] if x < y]
+    heapify(heap)
+    while heap:
+        loss, x, y = heappop(heap)
+        if loss > 0:
             break
-        x, y = -best[1], -best[2]
-        member[x] |= member.pop(y)
-        deg[x] += deg.pop(y)
-        for z, v in link.pop(y).items():
-            link[z].pop(y, None)
-            if z != x:
-                link[x][z] = link[z][x] = link[x].get(z, 0) + v
-        link[x].pop(y, None)
-    order = sorted(member.values(), key=lambda s: (-len(s), min(s)))
-    return {n: k for k, s in enumerate(order) for n in s}
+        if x not in link or y not in link[x] or loss != -gain(x, y):
+            continue
+        member[y] |= member.pop(x)
+        deg[y] += deg.pop(x)
+        for z, n in link.pop(x).items():
+            del link[z][x]
+            if z != y:
+                link[y][z] += n
+                link[z][y] += n
+        for z in link[y]:
+            heappush(heap, (-gain(y, z), min(y, z), max(y, z)))
+    return list(member.values())
 
 
 def communities(e: DataFrame) -> DataFrame:
-    """(node, component, community, community_size): greedy modularity per weak component.
+    """(node, component, community, community_size): greedy modularity of the whole graph; communities numbered by size, ties by their smallest node.
 
-    The method is sequential within a component, which is one task's work;
+    Merges join neighbours only, so weak components are merged apart, with
+    the link count of the whole graph; one component is one task's work.
     label_propagation() is the distributed approximation.
     """
+    s = Scratch(e.sparkSession, "communities")
+    pairs = s.table(e.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct(), "pairs")
+    m = pairs.count()
     comp = components(e)
-    rows = e.select("src", "dst").join(comp.withColumnRenamed("node", "src"), "src").select("component", "src", "dst").distinct()
+    rows = pairs.join(comp.select(F.col("node").alias("a"), "component"), "a")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pairs = {(min(a, b), max(a, b)) for a, b in zip(pdf.src, pdf.dst)}
-        got = _cnm(sorted(set(pdf.src) | set(pdf.dst)), pairs)
-        size = pd.Series(got).map(pd.Series(got).value_counts())
-        return pd.DataFrame({"node": list(got), "component": pdf.component.iloc[0], "community": list(got.values()), "community_size": size.to_numpy()})
-
-    return rows.groupBy("component").applyInPandas(run, "node string, component string, community long, community_size long")
+        got = _cnm(set(zip(pdf.a, pdf.b)), m)
+        return pd.DataFrame([(n, pdf.component.iloc[0], min(c), len(c)) for c in got for n in c], columns=["node", "component", "first", "community_size"])
+
+    found = s.table(rows.groupBy("component").applyInPandas(run, "node string, component string, first string, community_size long"), "found")
+    firsts = number(found.filter("node = first").select("first", "community_size"), s)
+    return found.join(firsts, "first").select("node", "component", "community", "community_size")
+
+
+def number(firsts: DataFrame, s: Scratch) -> DataFrame:
+    """(first, community): numbers from 0 by falling size, then by first; ranges are numbered apart, each after the count of those before it."""
+    spark = firsts.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cut = s.table(firsts.select((-F.col("community_size")).alias("neg"), "first").repartitionByRange(n, "neg", "first").withColumn("piece", F.spark_partition_id()), "cut")
+    below, counts = 0, {}
+    for r in sorted(cut.groupBy("piece").agg(F.count("*").alias("n")).collect()):  # a row each range
+        counts[r.piece] = below
+        below += r.n
+    start = F.create_map(*[F.lit(x) for p in counts.items() for x in p])[F.col("piece")] if counts else F.lit(0)
+    w = Window.partitionBy("piece").orderBy("neg", "first")
+    return cut.select("first", (start + F.row_number().over(w) - 1).cast("long").alias("community"))
 
 
 def label_propagation(e: DataFrame, rounds: int = 5) -> DataFrame:

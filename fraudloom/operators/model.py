@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import json
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -14,6 +14,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fraudloom.operators.decide import MODEL_REASONS
 from fraudloom.operators.windows import FEATURES
 
 COLUMNS = [f"f_{n}" for n in FEATURES]
@@ -117,9 +118,9 @@ def attributions(trees: list[tuple[float, list[dict]]], x: np.ndarray) -> np.nda
 
 
 def shap_reasons(model: PipelineModel, data: DataFrame, top_k: int = 3) -> DataFrame:
-    """Adds shap_reasons: features that push towards fraud, strongest first."""
+    """Adds shap_reasons: reason codes of the features that push towards fraud, strongest first."""
     trees = trees_of(model)
-    names = list(FEATURES)
+    names = [code for code, _ in MODEL_REASONS]
 
     @F.pandas_udf("array<string>")
     def reasons(*cols: pd.Series) -> pd.Series:
@@ -152,7 +153,7 @@ def onnx_scorer(path: str, output: str = "probabilities"):
     """A scorer over an exported ONNX file: column 1 of its probabilities; the session is made once in each worker."""
 
     @F.pandas_udf("double")
-    def score(batches):
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         import onnxruntime
 
         session = onnxruntime.InferenceSession(path)
@@ -161,10 +162,4 @@ def onnx_scorer(path: str, output: str = "probabilities"):
             x = np.stack(v.to_numpy()).astype(np.float32)
             yield pd.Series(session.run([output], {name: x})[0][:, 1].astype(float))
 
-    score.__annotations__ = {}
     return lambda df: df.withColumn("model_score", score("vector"))
-
-
-def save_fixture(path: str, fixture: dict) -> None:
-    with open(path, "w") as f:
-        json.dump(fixture, f)

@@ -353,12 +353,12 @@ def entity_clusters(spark, sf):
 
 @query(Q.PAGERANK)
 def pagerank_n(spark, sf):
-    return G.pagerank(T.edges(spark, sf), F.col("amount_minor"), "seq", rounds=5).select("node", F.round("rank", 8).alias("rank"))
+    return G.pagerank(T.edges(spark, sf), F.col("amount_minor"), "seq", rounds=5, tolerance=None).select("node", F.round("rank", 8).alias("rank"))
 
 
 @query(Q.PPR)
 def ppr_bad_n(spark, sf):
-    return G.pagerank(T.edges(spark, sf), F.col("amount_minor"), "seq", personal=G.bad_nodes(spark, "n1", "n2", "n3"), directed=False, rounds=5).select("node", F.round("rank", 8).alias("rank"))
+    return G.pagerank(T.edges(spark, sf), F.col("amount_minor"), "seq", personal=G.bad_nodes(spark, "n1", "n2", "n3"), directed=False, rounds=5, tolerance=None).select("node", F.round("rank", 8).alias("rank"))
 
 
 @query()
@@ -437,7 +437,12 @@ def peel_chains(spark, sf):
     return X.peel_chains(_transfers(spark, sf), G.bad_nodes(spark, "n1", "n2", "n3"), ratio=0.5, hops=1).select("start", F.col("length").cast("long").alias("length"))
 
 
-@query()
+@query(Q.PEEL_3)
+def peel_chains_k3(spark, sf):
+    return X.peel_chains(_transfers(spark, sf), G.bad_nodes(spark, "n1", "n2", "n3"), ratio=0.25).select("start", F.col("length").cast("long").alias("length"))
+
+
+@query(_every(Q.PEEL_DEFAULT))
 def peel_chains_all(spark, sf):
     return X.peel_chains(_transfers(spark, sf, None), G.bad_nodes(spark, "n1", "n2", "n3")).select("start", F.col("length").cast("long").alias("length"))
 

@@ -228,8 +228,15 @@ cj AS (SELECT txid, (SELECT count(*) FROM li WHERE li.txid = x.txid) >= 3 AND ma
 LEDGER_VALUE = f"WITH {_LEDGER} SELECT txid, CAST(sum(v) AS BIGINT) AS output_minor, any_value(coinjoin) AS coinjoin FROM lo JOIN cj USING (txid) GROUP BY txid"
 ADDRESS_CLUSTERS = f"""WITH RECURSIVE {_LEDGER}, un AS (SELECT DISTINCT x.a AS a, y.a AS b FROM li x JOIN li y USING (txid) JOIN cj USING (txid) WHERE NOT coinjoin), ad AS (SELECT a FROM li UNION SELECT a FROM lo),
 re AS (SELECT a, a AS other FROM ad UNION SELECT re.a, un.b FROM re JOIN un ON un.a = re.other) SELECT a AS address, min(other) AS cluster FROM re GROUP BY a"""
-PEEL = f"""WITH {edges()}, bg AS (SELECT src, count(*) AS n, sum(amount_minor) AS total, max({{'v': amount_minor, 's': seq, 'd': dst}}) AS m FROM e GROUP BY src), dm AS (SELECT src, m.d AS nxt FROM bg WHERE n >= 2 AND m.v >= 0.5 * total)
-SELECT DISTINCT e.dst AS start, CAST(1 AS BIGINT) AS length FROM e JOIN dm ON dm.src = e.dst WHERE e.src IN ('n1', 'n2', 'n3') AND dm.nxt <> e.dst"""
+def _peel(ratio: float, hops: int) -> str:
+    """Walks as a recursion: a hop back to a node of the chain counts, but none follows it."""
+    return f"""WITH RECURSIVE {edges()}, bg AS (SELECT src, count(*) AS n, sum(amount_minor) AS total, max({{'v': amount_minor, 's': seq, 'd': dst}}) AS m FROM e GROUP BY src), dm AS (SELECT src, m.d AS nxt FROM bg WHERE n >= 2 AND m.v >= {ratio} * total),
+wk AS (SELECT DISTINCT dst AS start, dst AS at, [dst] AS seen, 0 AS hops, false AS closed FROM e WHERE src IN ('n1', 'n2', 'n3')
+UNION ALL SELECT start, nxt, list_append(seen, nxt), hops + 1, list_contains(seen, nxt) FROM wk JOIN dm ON dm.src = wk.at WHERE NOT closed AND hops < {hops})
+SELECT start, CAST({hops} AS BIGINT) AS length FROM wk WHERE hops = {hops}"""
+
+
+PEEL, PEEL_3, PEEL_DEFAULT = _peel(0.5, 1), _peel(0.25, 3), _peel(0.8, 3)
 SANCTIONS = """SELECT o_orderkey, o_custkey AS address, CAST(date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) AS INT) AS day, 'CRYPTO_SANCTIONS' AS reason_code FROM orders
 WHERE o_custkey % 5 = 0 AND o_custkey IN (SELECT c_custkey FROM customer) AND date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) >= o_custkey % 1000 AND (o_custkey % 10 <> 0 OR date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) < o_custkey % 1000 + 900)"""
 _ADDR = "'0xab' || lpad(CAST(user_id AS VARCHAR), 4, '0') || {mid} || lpad(CAST(user_id % 97 AS VARCHAR), 4, '0')"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ from fraudloom.functions import scalars as S
 from fraudloom.functions.udfs import below_udf, splitmix_draw
 from fraudloom.operators import decide as D
 from fraudloom.operators import rules as R
+from fraudloom.operators.windows import FEATURES
 
 SCENARIOS = ("legitimate", "card_testing", "high_amount", "blocklisted_bin")
 BLOCKED_BIN = "400099"
@@ -107,19 +109,32 @@ def scenarios(spark: SparkSession) -> DataFrame:
 
 
 def training_data(spark: SparkSession, rows: int = 20_000, fraud_rate: float = 0.01, seed: int = 7) -> DataFrame:
-    """Labelled rows of the eight model features: fraud is faster, dearer, on more devices and declined more often."""
-    rng = np.random.default_rng(seed)
+    """Labelled rows (id, the eight features, y) of the two populations below; the first ids are legitimate, the last ones fraud.
+
+    Each id draws its own row from a generator seeded by (seed, id), so the
+    table is made in parallel and looks the same however it is cut.
+    """
     n1 = max(1, int(rows * fraud_rate))
-    parts = []
-    for y, n in ((0, rows - n1), (1, n1)):
-        v5 = rng.poisson((1.0, 4.0)[y], n)
-        v1 = v5 + rng.poisson((2.0, 6.0)[y], n)
-        x = [v5, v1, v1 + rng.poisson((5.0, 12.0)[y], n), np.abs(rng.normal((1.0, 4.0)[y], (0.5, 2.0)[y], n)), rng.normal((0.0, 2.5)[y], 1.0, n), 1 + rng.binomial((2, 5)[y], 0.3, n), rng.beta((1, 3)[y], (20, 5)[y], n), rng.binomial(1, (0.05, 0.4)[y], n)]
-        parts.append(np.column_stack([*x, np.full(n, y)]))
-    m = rng.permutation(np.vstack(parts))
-    from fraudloom.operators.windows import FEATURES
-
-    return spark.createDataFrame([(k, *map(float, r[:-1]), int(r[-1])) for k, r in enumerate(m)], "id long, " + ", ".join(f"f_{n} double" for n in FEATURES) + ", y int")
+    names = [f"f_{n}" for n in FEATURES]
+
+    def draw_rows(batches):
+        for b in batches:
+            out = []
+            for k in b["id"].tolist():
+                rng, y = np.random.default_rng((seed, k)), int(k >= rows - n1)
+                out.append([k, *(max(0.0, d(rng)) if clip else d(rng) for d, clip in POPULATIONS[y]), y])
+            yield pd.DataFrame(out, columns=["id", *names, "y"])
+
+    return spark.range(rows).mapInPandas(draw_rows, "id long, " + ", ".join(f"{n} double" for n in names) + ", y int")
+
+
+# Distribution of each feature (cut off at 0 where marked) among legitimate rows and among fraud.
+POPULATIONS = [
+    [(lambda g: g.poisson(1.0), False), (lambda g: g.poisson(3.0), False), (lambda g: g.poisson(10.0), False), (lambda g: g.normal(1.0, 0.3), True),
+     (lambda g: g.normal(0.0, 1.0), False), (lambda g: g.poisson(1.0), False), (lambda g: g.beta(1.0, 20.0), False), (lambda g: g.binomial(1, 0.03), False)],
+    [(lambda g: g.poisson(5.0), False), (lambda g: g.poisson(15.0), False), (lambda g: g.poisson(40.0), False), (lambda g: g.normal(5.0, 2.0), True),
+     (lambda g: g.normal(3.0, 1.5), False), (lambda g: g.poisson(4.0), False), (lambda g: g.beta(4.0, 6.0), False), (lambda g: g.binomial(1, 0.30), False)],
+]
 
 
 # Fixed values of the dashboard's queueing model.

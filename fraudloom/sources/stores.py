@@ -52,12 +52,3 @@ class LatestStore:
             raise LookupError(f"nothing was put into {self.path}")
         return keys.join(t.withColumn("found", F.lit(True)), self.key, "left").withColumn("found", F.coalesce("found", F.lit(False)))
 
-
-class CountingSink:
-    """foreachBatch sink that counts rows."""
-
-    def __init__(self):
-        self.rows = 0
-
-    def __call__(self, batch: DataFrame, n: int) -> None:
-        self.rows += batch.count()

@@ -131,6 +131,65 @@ def test_communities(spark):
     two = [(a, b, 1) for g in ("abcd", "wxyz") for a in g for b in g if a < b] + [("a", "w", 1)]
     got = {r.node: r.community for r in G.communities(edges(spark, two)).collect()}
     assert len({got[x] for x in "abcd"}) == 1 and len({got[x] for x in "wxyz"}) == 1 and got["a"] != got["w"]
+    # The links of the whole graph count: a path of ten nodes is three communities alone and one beside thirty links.
+    path = [(f"p{k}", f"p{k + 1}", 1) for k in range(9)]
+    alone = {r.node: (r.community, r.community_size) for r in G.communities(edges(spark, path)).collect()}
+    assert len(set(alone.values())) == 3
+    both = {r.node: (r.community, r.community_size) for r in G.communities(edges(spark, path + [(a, b, 1) for a in "qrstuvwx" for b in "qrstuvwx" if a < b] + [("y", "z", 1), ("x", "x", 1)])).collect()}
+    assert {both[f"p{k}"] for k in range(10)} == {(0, 10)} and {both[x] for x in "qrstuvwx"} == {(1, 8)} and both["y"] == both["z"] == (2, 2)
+
+
+def plain_modularity(pairs):
+    """Greedy merges over the whole graph, every gain computed anew."""
+    names = sorted({x for p in pairs for x in p})
+    m, group = len(pairs), {n: {n} for n in names}
+    deg = {n: sum((a == n) + (b == n) for a, b in pairs) for n in names}
+    while True:
+        best = None
+        keys = sorted(group)
+        for i, x in enumerate(keys):
+            for y in keys[i + 1 :]:
+                between = sum((a in group[x] and b in group[y]) or (b in group[x] and a in group[y]) for a, b in pairs)
+                gain = 2 * m * between - sum(deg[n] for n in group[x]) * sum(deg[n] for n in group[y])
+                if between and (best is None or gain > best[0]):
+                    best = (gain, x, y)
+        if best is None or best[0] < 0:
+            return {n: k for k, c in enumerate(sorted(group.values(), key=lambda c: (-len(c), min(c)))) for n in c}
+        group[best[2]] |= group.pop(best[1])
+
+
+def test_communities_against_plain_merges(spark):
+    r = random.Random(4)
+    rows = [(f"{g}{a}", f"{g}{b}", 1) for g in "abc" for a in range(7) for b in range(7) if r.random() < 0.25]
+    got = {x.node: x.community for x in G.communities(edges(spark, rows)).collect()}
+    assert got == plain_modularity({(min(a, b), max(a, b)) for a, b, _ in rows}) and len(set(got.values())) > 3
+
+
+def test_pagerank_converges_or_says_so(spark):
+    r = random.Random(6)
+    rows = [(f"v{r.randrange(12)}", f"v{r.randrange(12)}", k) for k in range(30)]
+    last = {(a, b): float(100 + k) for k, (a, b, _) in enumerate(rows)}
+    d = spark.createDataFrame([(a, b, 100 + k, float(t), k) for k, (a, b, t) in enumerate(rows)], "src string, dst string, amount_minor long, time double, seq long")
+    names = sorted({x for p in last for x in p})
+
+    def plain(links, tele):
+        rank = dict(tele)
+        total = {n: sum(w for (a, _), w in links.items() if a == n) for n in names}
+        for _ in range(500):
+            lost = sum(rank[n] for n in names if not total[n])
+            rank = {n: 0.85 * (sum(rank[a] * w / total[a] for (a, b), w in links.items() if b == n) + lost * tele[n]) + 0.15 * tele[n] for n in names}
+        return rank
+
+    got = {x.node: x.rank for x in G.pagerank(d, F.col("amount_minor"), "seq", tolerance=1e-12, rounds=300).collect()}
+    assert got == pytest.approx(plain(last, {n: 1 / len(names) for n in names}), abs=1e-9)
+    both = {}
+    for (a, b), w in last.items():
+        for p in {(a, b), (b, a)}:
+            both[p] = max(both.get(p, 0), w)
+    got = {x.node: x.rank for x in G.pagerank(d, F.col("amount_minor"), "seq", personal=G.bad_nodes(spark, "v1", "v2"), directed=False, tolerance=1e-12, rounds=300).collect()}
+    assert got == pytest.approx(plain(both, {n: 0.5 if n in ("v1", "v2") else 0.0 for n in names}), abs=1e-9)
+    with pytest.raises(RuntimeError):
+        G.pagerank(d, F.col("amount_minor"), "seq", tolerance=1e-12, rounds=2)
 
 
 def test_mule(spark):
@@ -155,7 +214,11 @@ def test_taint():
     assert X.trace([("bad", "a", 100), ("clean", "a", 100), ("a", "b", 100), ("a", "c", 100)], {"bad"})["c"] == [100, 0, 0, 0]
     assert X.trace([("bad", "a", 10), ("a", "b", 25)], {"bad"})["b"] == [25, 10, 0, 10]
     split = X.trace([("bad", "m", 1), ("x", "m", 2), ("m", "n", 3), ("n", "o", 2)], {"bad"})
-    assert split["o"] == [2, 1, 0, 1]
+    assert split["n"] == [1, 1, 0, 1] and split["o"] == [2, 0, 0, 0]
+    deep = X.trace([("bad", "a", 100), ("a", "b", 100), ("b", "c", 100), ("c", "d", 100), ("d", "e", 100)], {"bad"})
+    assert deep["e"] == [100, 100, 0, 100]
+    big = 3_000_000_000
+    assert X.trace([("bad", "a", big), ("a", "b", big - 1)], {"bad"})["a"] == [1, 1, big, 0]
     assert X.trace([("a", "a", 5)], set())["a"] == [5, 0, 0, 0]
 
 
@@ -164,6 +227,8 @@ def test_taint_dataframe_and_peel(spark):
     t = spark.createDataFrame(rows, "seq long, src string, dst string, value long")
     bad = G.bad_nodes(spark, "bad")
     assert [r.start for r in X.peel_chains(t, bad).collect()] == ["p0"]
+    ring = spark.createDataFrame([(0, "bad", "p0", 1000)] + [x for k in range(3) for x in ((10 * k + 1, f"p{k}", f"p{(k + 1) % 3}", 900), (10 * k + 2, f"p{k}", f"d{k}", 50))], "seq long, src string, dst string, value long")
+    assert [r.start for r in X.peel_chains(ring, bad).collect()] == ["p0"] and X.peel_chains(ring, bad, hops=4).count() == 0
     e = {r.address: r for r in X.exposure(t, bad).collect()}
     assert e["p1"].indirect == 900 and e["d0"].tainted_fraction == 1.0 and e["d0"].exposure_score == 1.0 and e["p0"].direct == 1000
 

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from fraudloom.config import Rules
 from fraudloom.operators import model as ML
+from fraudloom.operators.decide import MODEL_REASONS
 from fraudloom.operators import windows as W
 from fraudloom.sources import requests as RQ
 from fraudloom.sources import simulator as SIM
@@ -80,7 +81,51 @@ def test_attributions_add_up(spark, trained):
         total = sum(w * ML._mean(t) for w, t in trees) + ML.attributions(trees, x).sum()
         assert 1 / (1 + np.exp(-2 * total)) == pytest.approx(r.model_score, abs=1e-6)
     fraud = ML.shap_reasons(m, d.filter("y = 1").limit(3)).collect()
-    assert all(0 < len(r.shap_reasons) <= 3 for r in fraud)
+    assert all(0 < len(r.shap_reasons) <= 3 for r in fraud) and {c for r in fraud for c in r.shap_reasons} <= {c for c, _ in MODEL_REASONS}
+
+
+def _field(n, value):
+    """One protobuf field: whole numbers as varints, bytes with their length."""
+    varint = lambda v: bytes([v & 127 | 128]) + varint(v >> 7) if v > 127 else bytes([v])
+    return varint(n << 3) + varint(value) if isinstance(value, int) else varint(n << 3 | 2) + varint(len(value)) + value
+
+
+def test_onnx_scorer(spark, tmp_path):
+    pytest.importorskip("onnxruntime")
+    w, bias = np.arange(16, dtype=np.float32).reshape(8, 2) / 50, np.array([0.1, -0.2], np.float32)
+    tensor = lambda name, a: b"".join(_field(1, k) for k in a.shape) + _field(2, 1) + _field(8, name) + _field(9, a.tobytes())
+    node = lambda op, ins, out: b"".join(_field(1, x) for x in ins) + _field(2, out) + _field(4, op)
+    shape = lambda name, dims: _field(1, name) + _field(2, _field(1, _field(1, 1) + _field(2, b"".join(_field(1, d) for d in dims))))
+    graph = _field(1, node(b"Gemm", [b"x", b"w", b"b"], b"z")) + _field(1, node(b"Softmax", [b"z"], b"probabilities")) + _field(2, b"g") + _field(5, tensor(b"w", w)) + _field(5, tensor(b"b", bias))
+    graph += _field(11, shape(b"x", [_field(2, b"n"), _field(1, 8)])) + _field(12, shape(b"probabilities", [_field(2, b"n"), _field(1, 2)]))
+    path = tmp_path / "m.onnx"
+    path.write_bytes(_field(1, 8) + _field(7, graph) + _field(8, _field(1, b"") + _field(2, 13)))
+    x = [[float((3 * k + j) % 5) for j in range(8)] for k in range(30)]
+    d = spark.createDataFrame([(k, v) for k, v in enumerate(x)], "id long, vector array<float>")
+    got = [r.model_score for r in ML.onnx_scorer(str(path))(d).orderBy("id").collect()]
+    z = np.array(x) @ w + bias
+    assert got == pytest.approx((np.exp(z[:, 1]) / np.exp(z).sum(1)).tolist(), abs=1e-6)
+
+
+def test_training_data_has_both_populations(spark):
+    d = SIM.training_data(spark, 20_000, 0.1)
+    m = {r.y: r for r in d.groupBy("y").agg(F.count("*").alias("n"), *[F.avg(c).alias(c) for c in ML.COLUMNS], F.min("f_amount_ratio").alias("least")).collect()}
+    want = {0: [1, 3, 10, 1, 0, 1, 1 / 21, 0.03], 1: [5, 15, 40, 5, 3, 4, 0.4, 0.3]}
+    assert (m[0].n, m[1].n) == (18_000, 2_000) and m[1].least >= 0
+    for y, mean in want.items():
+        assert [m[y][c] for c in ML.COLUMNS] == pytest.approx(mean, rel=0.06, abs=0.05)
+    assert sorted(d.collect()) == sorted(SIM.training_data(spark, 20_000, 0.1).repartition(3).collect())
+
+
+def test_packs_and_placeholder(spark, sf_dir):
+    from fraudloom.operators import decide as D
+    from fraudloom.operators import rules as R
+
+    d = R.evaluate(T.txn(spark, sf_dir).filter("txn_id < 50"), Rules(version="v"))
+    pack = F.when(F.col("txn_id") % 2 == 0, R.hit("crypto.sanctions", "CRYPTO_SANCTIONS", "sanctions", R.HARD))
+    out = D.decide_rules_only(D.with_packs(d, pack)).collect()
+    assert all((r.reason_codes[-1:] == ["CRYPTO_SANCTIONS"]) == (r.txn_id % 2 == 0) for r in out) and all(r.action == "DECLINE" for r in out if r.txn_id % 2 == 0)
+    assert {(r.action, r.score, r.rule_version) for r in D.approve_all(d).collect()} == {("APPROVE", 0.0, "rules-v0")}
 
 
 def test_reject_inference(spark):
