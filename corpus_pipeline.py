@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fraudloom.llm import common, lines, mixing, simhash, spm, toxicity
+from fraudloom.llm import common, lines, mixing, neardup, spm, toxicity
 from fraudloom.scratch import OPENED
 
 
@@ -25,8 +25,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest doc_id."""
-    return simhash.near_dedup(docs)
+    """One document of each group of near copies (five-word shingles, 0.8 similar or more): the one with the smallest doc_id."""
+    return neardup.near_dedup(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -29,19 +29,24 @@ SHINGLE, SEED, RADIUS, SEGMENTS, BLOCK = 3, 42, 2, 4, 4096
 TILE = 256
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
+def shingle_hashes(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
+    """XXH64 of each shingle, repeats included; of the whole sequence if that is shorter; none without words."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     n = len(words)
     if not n:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     x = xxhash.xxh64_intdigest
     if n <= shingle:
-        return x(joined, seed)
+        return np.array([x(joined, seed)], np.uint64)
     size = np.fromiter(map(len, words), np.int64, n)
     end = np.cumsum(size) + np.arange(n)
     start = end - size
-    h = np.array([x(joined[a:b], seed) for a, b in zip(start[: n - shingle + 1].tolist(), end[shingle - 1 :].tolist())], np.uint64)
+    return np.array([x(joined[a:b], seed) for a, b in zip(start[: n - shingle + 1].tolist(), end[shingle - 1 :].tolist())], np.uint64)
+
+
+def majority(h: np.ndarray) -> int:
+    """The 64 bits that are set in more than half of the hashes."""
     total = np.zeros(64, np.int64)
     for i in range(0, len(h), 8192):
         part = h[i : i + 8192]
@@ -49,6 +54,10 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
     return int(np.packbits(total * 2 > len(h), bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
+    return majority(shingle_hashes(text, shingle, seed))
+
+
 def _add_fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         fp = np.array([fingerprint(t) for t in b.column("text").to_pylist()], np.uint64).view(np.int64)
@@ -71,36 +80,28 @@ def planes(fp: np.ndarray) -> np.ndarray:
 def near(query: np.ndarray, vertical: np.ndarray, skip: np.ndarray, radius: int = RADIUS) -> np.ndarray:
     """Bit matrix (queries x columns, 64 columns a word) of the pairs within radius; skip marks pairs not to look at.
 
-    once/twice are the carry-save digits of the distances, over is sticky:
-    a pair in `over` has left the radius.
+    Digits are the carry-save counters of the distances, lowest first. They
+    start so far below their end that a pair's counter runs over exactly when
+    its distance leaves the radius; `over` keeps that.
     """
-    once, twice = np.zeros_like(skip), np.zeros_like(skip)
-    over = skip.copy()
+    size = (radius + 1).bit_length() if (radius + 1) & radius else radius.bit_length()
+    spare = (1 << size) - (radius + 1)
     full = np.uint64(0xFFFFFFFFFFFFFFFF)
+    digits = [np.full_like(skip, full) if spare >> k & 1 else np.zeros_like(skip) for k in range(size)]
+    over = skip.copy()
     for b in range(64):
         q = np.where((query >> np.uint64(b)) & np.uint64(1), full, np.uint64(0))
-        x = vertical[b][None, :] ^ q[:, None]
-        carry = once & x
-        once ^= x
-        if radius == 0:
-            over |= once
-        elif radius == 1:
-            twice |= carry
-            over |= twice
-        elif radius == 2:
-            over |= twice & carry
-            twice ^= carry
-            over |= once & twice
-        else:
-            over |= twice & carry
-            twice ^= carry
+        carry = vertical[b][None, :] ^ q[:, None]
+        for k, d in enumerate(digits):
+            digits[k], carry = d ^ carry, d & carry
+        over |= carry
         if b & 7 == 7 and (over == full).all():
             break
     return ~over
 
 
-def _pairs(fp: np.ndarray, group: np.ndarray, side: np.ndarray, same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs i < j within the radius, of one group; in a pair of different blocks only across its sides."""
+def pairs(fp: np.ndarray, group: np.ndarray, side: np.ndarray, same: np.ndarray, radius: int = RADIUS, root: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs i < j within the radius, of one group; in a pair of different blocks only across its sides; with roots only of different ones."""
     n = len(fp)
     vertical = planes(fp)
     left, right = [], []
@@ -113,8 +114,12 @@ def _pairs(fp: np.ndarray, group: np.ndarray, side: np.ndarray, same: np.ndarray
         cc = np.minimum(c, n - 1)
         ok &= group[cc][None, :] == group[i][:, None]
         ok &= same[i][:, None] | (side[cc][None, :] != side[i][:, None])
+        if root is not None:
+            ok &= root[cc][None, :] != root[i][:, None]
+        if not ok.any():
+            continue
         skip = ~np.ascontiguousarray(np.packbits(ok, axis=1, bitorder="little")).view(np.uint64)
-        hit = near(fp[i], vertical[:, word0:], skip)
+        hit = near(fp[i], vertical[:, word0:], skip, radius)
         if hit.any():
             r, k = np.nonzero(np.unpackbits(hit.view(np.uint8), axis=1, bitorder="little"))
             left.append(i[r])
@@ -143,39 +148,46 @@ def forest(i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (key, bi, bj): whole units of work are compared together, in runs of about TILE rows or one unit."""
-    names = ("key", "bi", "bj", "side", "fp", "node")
-    kept = {k: np.zeros(0, np.int64) for k in names}
-
-    def solve(x: dict) -> pa.RecordBatch:
-        unit = np.concatenate([[0], np.cumsum((np.diff(x["key"]) != 0) | (np.diff(x["bi"]) != 0) | (np.diff(x["bj"]) != 0))])
-        i, j = _pairs(x["fp"].view(np.uint64), unit, x["side"], x["bi"] == x["bj"])
-        e = np.array(forest(i, j), np.int64).reshape(-1, 2)
-        return pa.RecordBatch.from_arrays([pa.array(x["node"][e[:, 0]]), pa.array(x["node"][e[:, 1]])], ["u", "v"])
-
-    def cut(x: dict, last: bool):
-        n = len(x["key"])
-        if not n:
-            return [], x
-        new = np.concatenate([[0], np.flatnonzero((np.diff(x["key"]) != 0) | (np.diff(x["bi"]) != 0) | (np.diff(x["bj"]) != 0)) + 1])
-        limit = n if last else new[-1]
-        starts = [s for s in new.tolist() if s < limit]
-        runs, a = [], 0
-        for k, s in enumerate(starts):
-            e = starts[k + 1] if k + 1 < len(starts) else limit
-            if e - a >= TILE or k + 1 == len(starts):
-                runs.append((a, e))
-                a = e
-        return [{k: v[p:q] for k, v in x.items()} for p, q in runs], {k: v[limit:] for k, v in x.items()}
-
-    for b in batches:
-        kept = {k: np.concatenate([kept[k], b.column(k).to_numpy(zero_copy_only=False).astype(np.int64)]) for k in names}
-        runs, kept = cut(kept, False)
-        for r in runs:
-            yield solve(r)
-    for r in cut(kept, True)[0]:
-        yield solve(r)
+def link(radius: int = RADIUS):
+    """Rows sorted by (key, bi, bj), with or without root -> links (u, v): whole units of work are compared together, in runs of about TILE rows or one unit."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[str, np.ndarray] = {}
+
+        def edges(x: dict) -> np.ndarray:
+            return np.flatnonzero((np.diff(x["key"]) != 0) | (np.diff(x["bi"]) != 0) | (np.diff(x["bj"]) != 0)) + 1
+
+        def solve(x: dict) -> pa.RecordBatch:
+            unit = np.zeros(len(x["key"]), np.int64)
+            unit[edges(x)] = 1
+            i, j = pairs(x["fp"].view(np.uint64), np.cumsum(unit), x["side"], x["bi"] == x["bj"], radius, x.get("root"))
+            e = np.array(forest(i, j), np.int64).reshape(-1, 2)
+            end = x["root"] if "root" in x else x["node"]
+            return pa.RecordBatch.from_arrays([pa.array(end[e[:, 0]]), pa.array(end[e[:, 1]])], ["u", "v"])
+
+        def cut(x: dict, last: bool):
+            n = len(x["key"])
+            new = [0, *edges(x).tolist()]
+            limit = n if last else new[-1]
+            ends = [s for s in new[1:] if s <= limit] + ([n] if last else [])
+            runs, a = [], 0
+            for k, e in enumerate(ends):
+                if e - a >= TILE or k + 1 == len(ends):
+                    runs.append((a, e))
+                    a = e
+            return [{k: v[p:q] for k, v in x.items()} for p, q in runs if q > p], {k: v[limit:] for k, v in x.items()}
+
+        for b in batches:
+            new = {k: b.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in b.schema.names}
+            kept = {k: np.concatenate([kept[k], v]) for k, v in new.items()} if kept else new
+            runs, kept = cut(kept, False)
+            for r in runs:
+                yield solve(r)
+        if kept and len(kept["key"]):
+            for r in cut(kept, True)[0]:
+                yield solve(r)
+
+    return run
 
 
 def links(scratch: common.Scratch, nodes: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS, block: int = BLOCK) -> DataFrame:
@@ -189,7 +201,7 @@ def links(scratch: common.Scratch, nodes: DataFrame, radius: int = RADIUS, segme
     rows = nodes.select("node", "fp", F.explode(F.array(*keys)).alias("key"))
     units = common.in_blocks(scratch, rows, "key", "fp", block)
     spread = units.repartition(common.tasks(nodes.sparkSession), "key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
-    return spread.select("key", "bi", "bj", "side", "fp", "node").mapInArrow(_link, "u long, v long")
+    return spread.select("key", "bi", "bj", "side", "fp", "node").mapInArrow(link(radius), "u long, v long")
 
 
 def components(docs: DataFrame) -> DataFrame:
@@ -215,14 +227,6 @@ def components(docs: DataFrame) -> DataFrame:
     return fps.join(ids, "fp").select("doc_id", "fp", "component_id")
 
 
-def near_dedup(docs: DataFrame) -> DataFrame:
-    """Keeps of each component the row with the smallest doc_id (of repeated rows with that id, one); rows with a null doc_id stay."""
-    comp = components(docs).filter("doc_id = component_id").select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id")).distinct()
-    w = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    first = docs.filter(F.col("doc_id").isNotNull()).withColumn("_copy", F.row_number().over(w)).filter("_copy = 1").drop("_copy")
-    return first.join(comp, "doc_id", "left_semi").unionByName(docs.filter(F.col("doc_id").isNull()))
-
-
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = components(common.table(spark, sf_dir, "documents"))
     return c.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -1,33 +1,30 @@
 """Slow and plain versions of operators, for tests."""
 
-import xxhash
-
-
-def fingerprint(text):
+def slow_sets(text, n=5):
     t = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
     for c in "\t\n\x0b\x0c\r":
         t = t.replace(c, " ")
     w = [x for x in t.split(" ") if x]
-    sh = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] or ([" ".join(w)] if w else [])
-    h = [xxhash.xxh64_intdigest(s.encode(), 42) for s in sh]
-    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+    return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)}
 
 
-def components(fps, radius=2):
-    top = {d: d for d in fps}
+def slow_kept(texts, similarity=0.8):
+    """doc_id -> text: the smallest id of each group, all pairs compared."""
+    sets, top = {d: slow_sets(t) for d, t in texts.items()}, {d: d for d in texts}
 
     def find(x):
         while top[x] != x:
             x = top[x]
         return x
 
-    ids = sorted(fps)
-    for i, a in enumerate(ids):
-        for b in ids[i + 1 :]:
-            if (fps[a] ^ fps[b]).bit_count() <= radius:
+    ids = sorted(texts)
+    for k, a in enumerate(ids):
+        for b in ids[k + 1 :]:
+            shared = len(sets[a] & sets[b])
+            if shared >= similarity * (len(sets[a]) + len(sets[b]) - shared):
                 ra, rb = find(a), find(b)
                 top[max(ra, rb)] = min(ra, rb)
-    return {d: find(d) for d in ids}
+    return {d for d in ids if find(d) == d}
 
 
 def within(a, b, t):
