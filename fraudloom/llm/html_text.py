@@ -2,11 +2,19 @@
 
 The standard library's parser streams events; each block of text is a line
 with a text-to-tag ratio. Ratios are smoothed with a Gaussian and clustered by
-a threshold; the containers are then descended as long as one child leaves no
-content outside it (content lines, headings, paragraphs; where article or main
-hold most of the text, these and headings). An article or main isn't left.
-All blocks of that region are the main text, menus, headers, footers,
-sidebars, notices, adverts, forms, scripts, styles and comments left out.
+a threshold: lines at or over the mean less one deviation are content. Where
+articles or main hold most of the content they are the main text. Else the
+containers are descended as long as one child leaves no content outside it
+(content lines, headings, paragraphs), and lines of few characters a tag
+before the first and after the last content line are left out, as are
+containers of links alone.
+
+Elements that never hold the article (menus, footers, scripts and so on) are
+skipped. Names (class, id) only decide about containers of a known kind:
+one whose name says nothing else ("comments", "cookie-notice") is left out
+unless it wraps every article of the page; one that says more
+("share-prices") only if its text looks like a menu. Forms are left out
+unless they wrap the page's content.
 """
 
 from __future__ import annotations
@@ -15,6 +23,8 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -23,47 +33,86 @@ from pyspark.sql import functions as F
 
 from . import common
 
-# Element names by role, and names of boilerplate in class, id and role.
+# Element names by role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead title tr ul".split())
-SKIP = frozenset("script style template noscript head title nav header footer aside form fieldset button select option textarea iframe object svg math canvas audio video dialog menu search label input".split())
-CONTAINER = frozenset("article main section div td body html blockquote center".split())
+SKIP = frozenset("script style template noscript head title nav footer aside button select option textarea iframe object svg math canvas audio video dialog menu search label legend input".split())
+CONTAINER = frozenset("article main section div td body html blockquote center form".split())
+NAMEABLE = frozenset("aside div dl fieldset figure form header ol section table td ul".split())
 HEADING, PROSE = ("h1", "h2", "h3", "h4", "h5", "h6"), ("p", "blockquote", "pre")
 CLOSES_P = BLOCK - frozenset("body html caption tbody td tfoot th thead tr title legend summary dt dd".split())
-BOILER = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|header|masthead|footer|sidebar|side|aside|widget\w*|related|recommend\w*|share|sharing|social|cookies?|consent|notice\w*|gdpr|popup|modal|overlay|newsletter|subscribe|signup|login|comments?|comment\w*|replies|reply|disqus|respond|pagination|pager|toolbar|skip|legal|copyright)(?:$|[\s_-])",
-    re.IGNORECASE,
-)
-BOILER_ROLE = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
+# Words in class and id that name boilerplate, words beside them that add nothing, parts of an article (whose header isn't boilerplate), and words that turn a name round.
+NAMES = frozenset("ad ads advert adverts advertisement advertising banner sponsor sponsored sponsors promo promotion nav navbar navigation menu breadcrumb breadcrumbs footer sidebar aside widget widgets related recommended recommendations share sharing social cookie cookies consent notice notices gdpr popup modal overlay newsletter subscribe signup login comment comments commentlist replies respond disqus pagination pager toolbar skip legal copyright".split())
+HEADER_NAMES = frozenset("header masthead".split())
+PLAIN = frozenset("a area bar block bottom box btn button buttons container fixed float form global group holder icons inner item items left links list main message module new news outer panel posts primary right row section site slot small space stories sub text thread title top unit user wrap wrapper".split())
+OWNERS = frozenset("article body content entry page post story".split())
+TURNS = frozenset("has layout no with without".split())
+BOILER_ROLE = frozenset("navigation banner contentinfo complementary search alert dialog menu menubar".split())
 SPACE = re.compile(r"\s+")
 _CUT = re.compile(r"<[!/?a-zA-Z][^<>]*\Z")  # a tag that the page's end cuts off
+_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 SIGMA, SHARE, DEPTH = 1.0, 0.6, 128
+LOW = 10  # characters a tag; menus have fewer
 
 
-class _Blocks(HTMLParser):
-    """lines: [text, tags, container path, skipped]."""
+@lru_cache(maxsize=10_000)
+def named(value: str, header: bool = True) -> str:
+    """What a class or id says: "strong" if a word of it names boilerplate and nothing else, "weak" if it says more, else "".
+
+    header: whether header names count, which they don't inside an article.
+    """
+    found = ""
+    known = NAMES | HEADER_NAMES if header else NAMES
+    for word in value.split():
+        parts = [x.lower() for x in _PARTS.findall(word)]
+        hit = [x for x in parts if x in known]
+        if not hit:
+            continue
+        rest = [x for x in parts if x not in known and x not in PLAIN]
+        if any(x in TURNS for x in rest) or (OWNERS.intersection(rest) and HEADER_NAMES.issuperset(hit)):
+            continue
+        if OWNERS.issuperset(rest):
+            return "strong"
+        found = "weak"
+    return found
+
+
+@dataclass
+class Line:
+    text: str
+    tags: int
+    path: tuple[int, ...] = ()  # its containers
+    kind: str = ""  # "1" to "6" in a heading, "p" in a paragraph, quote or listing, "l" if mostly links, else ""
+    groups: tuple[int, ...] = ()  # named containers and forms it is in
+    whole: bool = False  # inside article or main
 
+
+class _Blocks(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool, bool]] = []  # tag, skipped from here, container
+        self.stack: list[tuple[str, bool, bool, bool]] = []  # tag, skipped from here, container, group
         self.open: Counter[str] = Counter()
         self.path: tuple[int, ...] = ()  # containers beyond DEPTH levels count as their ancestor
         self.n = 0
         self.skip = 0
         self.text: list[str] = []
+        self.linked = 0
         self.tags = 0
-        self.lines: list[tuple[str, int, tuple[int, ...]]] = []
-        self.kinds: list[str] = []  # of each line, see region()
-        self.whole: set[int] = set()  # article and main
+        self.lines: list[Line] = []
+        self.groups: tuple[int, ...] = ()
+        self.kinds: list[str] = []  # of each group: "strong", "weak" or "form"
+        self.holds: list[int] = []  # articles and mains inside each group
+        self.wholes = 0
 
     def flush(self) -> None:
         if self.text:
             t = SPACE.sub(" ", "".join(self.text)).strip()
             if t:
-                self.lines.append((t, self.tags, self.path))
-                self.kinds.append("h" if any(self.open[x] for x in HEADING) else "p" if any(self.open[x] for x in PROSE) else "")
+                level = next((x[1] for x in HEADING if self.open[x]), "")
+                kind = level or ("l" if 2 * self.linked >= len(t) else "p" if any(self.open[x] for x in PROSE) else "")
+                self.lines.append(Line(t, self.tags, self.path, kind, self.groups, bool(self.open["article"] or self.open["main"])))
                 self.tags = 0
-            self.text = []
+            self.text, self.linked = [], 0
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         self.tags += 1
@@ -85,18 +134,34 @@ class _Blocks(HTMLParser):
                 self._close("tr")
             elif tag in ("dt", "dd") and (o := self._open_above("dt", ("dl",)) or self._open_above("dd", ("dl",))):
                 self._close(o)
-        skipped = tag in SKIP or (tag not in ("html", "body", "article", "main") and any((k in ("class", "id") and v and BOILER.search(v)) or (k == "role" and v and v.lower() in BOILER_ROLE) or k == "hidden" or (k == "aria-hidden" and v == "true") for k, v in attrs))
+        inside = self.open["article"] or self.open["main"]
+        name = ""
+        skipped = tag in SKIP or (tag == "header" and not inside)
+        if tag not in ("html", "body", "main"):
+            for k, v in attrs:
+                if k in ("class", "id") and v and name != "strong":
+                    name = named(v, not inside) or name
+                elif (k == "role" and v and v.lower() in BOILER_ROLE) or k == "hidden" or (k == "aria-hidden" and v == "true"):
+                    skipped = True
         if skipped:
             if not self.skip:
                 self.flush()
             self.skip += 1
+        kind = "strong" if name == "strong" else "form" if tag == "form" else "weak" if name and tag in NAMEABLE else ""
+        if kind:
+            self.flush()
+            self.groups = (*self.groups, len(self.kinds))
+            self.kinds.append(kind)
+            self.holds.append(0)
+        elif tag in ("article", "main"):
+            self.wholes += 1
+            for g in self.groups:
+                self.holds[g] += 1
         held = tag in CONTAINER and len(self.path) < DEPTH
         if held:
             self.n += 1
             self.path = (*self.path, self.n)
-            if tag in ("article", "main"):
-                self.whole.add(self.n)
-        self.stack.append((tag, skipped, held))
+        self.stack.append((tag, skipped, held, bool(kind)))
         self.open[tag] += 1
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
@@ -105,7 +170,7 @@ class _Blocks(HTMLParser):
     def _open_above(self, tag: str, stop: tuple) -> str | None:
         if not self.open[tag]:
             return None
-        for t, _, _ in reversed(self.stack):
+        for t, *_ in reversed(self.stack):
             if t == tag:
                 return tag
             if t in stop:
@@ -115,9 +180,11 @@ class _Blocks(HTMLParser):
     def _close(self, tag: str) -> None:
         self.flush()
         while self.stack:
-            t, skipped, held = self.stack.pop()
+            t, skipped, held, group = self.stack.pop()
             self.open[t] -= 1
             self.skip -= skipped
+            if group:
+                self.groups = self.groups[:-1]
             if held:
                 self.path = self.path[:-1]
             if t == tag:
@@ -132,7 +199,10 @@ class _Blocks(HTMLParser):
             return
         for k in range(len(self.stack) - 1, -1, -1):  # an inline element ends alone, blocks opened inside it stay
             if self.stack[k][0] == tag:
-                _, skipped, _ = self.stack.pop(k)
+                if self.stack[k][3]:  # the line so far belongs to the named element
+                    self.flush()
+                    self.groups = self.groups[:-1]
+                _, skipped, _, _ = self.stack.pop(k)
                 self.open[tag] -= 1
                 self.skip -= skipped
                 return
@@ -142,11 +212,13 @@ class _Blocks(HTMLParser):
     def handle_data(self, data: str) -> None:
         if not self.skip:
             self.text.append(data)
+            if self.open["a"]:
+                self.linked += len(data.strip())
 
 
-def ratios(lines: list[tuple[str, int, tuple[int, ...]]]) -> list[float]:
+def ratios(lines: list[Line]) -> list[float]:
     """Code points of text for each tag of the line (one at least)."""
-    return [len(t) / max(1, tags) for t, tags, _ in lines]
+    return [len(x.text) / max(1, x.tags) for x in lines]
 
 
 def smooth(x: list[float], sigma: float = SIGMA) -> list[float]:
@@ -161,43 +233,77 @@ def smooth(x: list[float], sigma: float = SIGMA) -> list[float]:
     return out
 
 
-def region(lines: list[tuple[str, int, tuple[int, ...]]], kinds: list[str], whole: set[int]) -> tuple[int, ...]:
-    """Path of the content container: the smallest one that leaves no content outside.
-
-    kinds: per line "h" in a heading, "p" in a paragraph, quote or listing, else "". Where containers of `whole`
-    (article, main) hold SHARE of the text in content lines, they are the content and headings above them;
-    else every content line, heading and paragraph is.
-    """
+def left_in(p: _Blocks) -> list[Line]:
+    """The lines without those of boilerplate containers and forms."""
+    wraps = lambda g: p.wholes > 0 and p.holds[g] == p.wholes
+    out = {g for g, k in enumerate(p.kinds) if k == "strong" and not wraps(g)}
+    lines = [x for x in p.lines if out.isdisjoint(x.groups)] or p.lines
+    size: Counter[int] = Counter()
+    tags: Counter[int] = Counter()
+    links: Counter[int] = Counter()
+    for x in lines:
+        for g in x.groups:
+            size[g] += len(x.text)
+            tags[g] += x.tags
+            links[g] += len(x.text) * (x.kind == "l")
+    every = sum(len(x.text) for x in lines)
+    for g, k in enumerate(p.kinds):
+        if k == "form" and not wraps(g) and (p.wholes or 2 * size[g] < every):
+            out.add(g)
+        elif k == "weak" and not wraps(g) and (2 * links[g] >= size[g] or size[g] < LOW * tags[g]):
+            out.add(g)
+    return [x for x in lines if out.isdisjoint(x.groups)] or lines
+
+
+def content(lines: list[Line]) -> list[bool]:
+    """Whether each line is in a cluster: its smoothed ratio reaches the mean less one deviation, and it isn't links."""
     s = smooth(ratios(lines))
     mean = sum(s) / len(s)
     spread = math.sqrt(sum((v - mean) ** 2 for v in s) / len(s))
-    inside = [not whole.isdisjoint(p) for _, _, p in lines]
-    size = [len(t) if v >= mean - spread else 0 for (t, _, _), v in zip(lines, s)]
-    guided = sum(n for n, w in zip(size, inside) if w) >= SHARE * sum(size) and any(inside)
-    rows = [(p, n, kind == "h" or w if guided else n > 0 or kind != "") for (_, _, p), n, kind, w in zip(lines, size, kinds, inside)]
+    return [v >= mean - spread and x.kind != "l" for x, v in zip(lines, s)]
+
+
+def region(lines: list[Line], held: list[bool]) -> tuple[int, ...]:
+    """Path of the smallest container that leaves no held line outside; of children the one with most held text is tried."""
+    rows = [(x.path, len(x.text)) for x, h in zip(lines, held) if h]
     path: tuple[int, ...] = ()
-    while not path or path[-1] not in whole:
-        by: dict[int, int] = {}
-        for p, n, _ in rows:
-            if len(p) > len(path):
-                by[p[len(path)]] = by.get(p[len(path)], 0) + n
-        best = max(by, key=by.get, default=None)
-        if best is None or any(held and (len(p) == len(path) or p[len(path)] != best) for p, _, held in rows):
+    while rows:
+        by: Counter[int] = Counter()
+        for q, n in rows:
+            if len(q) == len(path):
+                return path
+            by[q[len(path)]] += n
+        if len(by) > 1:
             return path
-        rows = [r for r in rows if len(r[0]) > len(path) and r[0][len(path)] == best]
-        path = (*path, best)
+        path = (*path, next(iter(by)))
     return path
 
 
+def select(lines: list[Line]) -> list[Line]:
+    """The lines of the main text."""
+    good = content(lines)
+    inside = sum(len(x.text) for x, g in zip(lines, good) if g and x.whole)
+    if any(x.whole for x in lines) and inside >= SHARE * sum(len(x.text) for x, g in zip(lines, good) if g):
+        first = next(k for k, x in enumerate(lines) if x.whole)
+        above = [k for k in range(first) if lines[k].kind == "1"] if not any(x.whole and x.kind == "1" for x in lines) else []
+        return [x for k, x in enumerate(lines) if x.whole or k in above[-1:]]
+    solid = [x.kind == "p" or (g and x.kind == "" and r >= LOW) for x, g, r in zip(lines, good, ratios(lines))]
+    held = [s or x.kind.isdigit() for x, s in zip(lines, solid)]
+    if not any(solid):
+        return lines
+    at = region(lines, held)
+    rows = [(x, s) for x, s in zip(lines, solid) if x.path[: len(at)] == at]
+    start, end = (next(k for k in order if rows[k][1]) for order in (range(len(rows)), range(len(rows) - 1, -1, -1)))
+    mixed = {x.path for x, _ in rows if x.kind != "l"}
+    return [x for k, (x, _) in enumerate(rows) if (k < start and x.kind.isdigit()) or (start <= k <= end and x.path in mixed)]
+
+
 def main_text(html: str | None) -> str:
     p = _Blocks()
     p.feed(_CUT.sub("", html or ""))
     p.close()
     p.flush()
-    if not p.lines:
-        return ""
-    at = region(p.lines, p.kinds, p.whole)
-    return "\n\n".join(t for t, _, path in p.lines if path[: len(at)] == at)
+    return "\n\n".join(x.text for x in select(left_in(p))) if p.lines else ""
 
 
 _TEXT = "page_id long, url string, text string, n_chars long"
