@@ -18,6 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 
@@ -28,16 +29,16 @@ SYMBOLS = b"#*$%&|<>"
 _STRIP_SYMBOLS = bytes(c for c in range(256) if c not in SYMBOLS)
 _SPACE = re.compile(rb"[\x20\x09-\x0d]+")
 _DIGITS = re.compile(rb"[0-9]+")
+_BLANK = " \t\n\x0b\x0c\r"
+SALTS = 16
 
 
 @dataclass(frozen=True)
 class Limits:
-    """max_docs: documents of one host that may hold a line before it counts as boilerplate.
-    max_share: and it must be in more than this share of the host's documents.
+    """max_docs: documents of one host that may hold a line before it counts as boilerplate, whatever the host's size.
     min_left: share of its words a document must keep; min_words: and how many."""
 
     max_docs: int = 20
-    max_share: float = 0.001
     min_left: float = 0.3
     min_words: int = MIN_WORDS
 
@@ -97,29 +98,17 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(cols, [x.split()[0] for x in _MEASURED.split(", ")])
 
 
-def judge(docs: DataFrame, host: str = "source", limits: Limits = Limits()) -> DataFrame:
-    """docs (doc_id, text, <host>) -> a row each: measures, base_failed, n_boilerplate (words in lines above the limit), kept.
-
-    A null text counts as empty and fails the base rules. Null hosts form one
-    host. Repeated rows are documents of their own. An empty table gives no
-    rows. Further columns are ignored, whatever their names.
-    """
-    spark = docs.sparkSession
-    common.prepare(spark)
-    s = common.Scratch(spark, "quality")
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(host).cast("string"), F.lit("\x00null")).alias("host"),
-                       F.monotonically_increasing_id().alias("rid"), F.col("text").cast("string").alias("text"))
-    base = s.table(slim.mapInArrow(_measure, _MEASURED), "measured")
+def _often(base: DataFrame, s: common.Scratch, limits: Limits) -> DataFrame:
+    """(host, line, salt) of the lines above the limit; a host's lines are spread over SALTS."""
     lines = base.select("host", F.explode("line").alias("line"))
-    totals = base.groupBy("host").agg(F.count("*").alias("docs"))
-    often = (lines.groupBy("host", "line").agg(F.count("*").alias("n")).filter(F.col("n") > limits.max_docs)
-             .join(totals, "host").filter(F.col("n") > limits.max_share * F.col("docs")).select("host", "line"))
-    often = s.table(often, "often")
-    salts = 16
-    wide = often.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    often = s.table(lines.groupBy("host", "line").agg(F.count("*").alias("n")).filter(F.col("n") > limits.max_docs).select("host", "line"), "often")
+    return often.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
+def _judged(base: DataFrame, often: DataFrame, limits: Limits) -> DataFrame:
     held = (base.select("rid", "host", F.explode(F.arrays_zip("line", "size")).alias("x"))
-            .select("rid", "host", F.col("x.line").alias("line"), F.col("x.size").alias("size"), F.pmod("rid", F.lit(salts)).cast("int").alias("salt")))
-    lost = held.join(wide, ["host", "line", "salt"]).groupBy("rid").agg(F.sum("size").cast("long").alias("n_boilerplate"))
+            .select("rid", "host", F.col("x.line").alias("line"), F.col("x.size").alias("size"), F.pmod("rid", F.lit(SALTS)).cast("int").alias("salt")))
+    lost = held.join(often, ["host", "line", "salt"]).groupBy("rid").agg(F.sum("size").cast("long").alias("n_boilerplate"), F.collect_list("line").alias("gone"))
     out = base.drop("line", "size").join(lost, "rid", "left").withColumn("n_boilerplate", F.coalesce("n_boilerplate", F.lit(0).cast("long")))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     left = F.col("n_words") - F.col("n_boilerplate")
@@ -127,6 +116,52 @@ def judge(docs: DataFrame, host: str = "source", limits: Limits = Limits()) -> D
     return out.withColumn("base_failed", failed).withColumn("kept", ~failed & fine)
 
 
+def _measured(docs: DataFrame, host: str, s: common.Scratch) -> DataFrame:
+    common.prepare(docs.sparkSession)
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(host).cast("string"), F.lit("\x00null")).alias("host"),
+                       F.monotonically_increasing_id().alias("rid"), F.col("text").cast("string").alias("text"))
+    return s.table(slim.mapInArrow(_measure, _MEASURED), "measured")
+
+
+def judge(docs: DataFrame, host: str = "source", limits: Limits = Limits()) -> DataFrame:
+    """docs (doc_id, text, <host>) -> a row each: measures, base_failed, n_boilerplate (words in lines above the limit), kept.
+
+    A null text counts as empty and fails the base rules. Null hosts form one
+    host. Repeated rows are documents of their own. An empty table gives no
+    rows. Further columns are ignored, whatever their names.
+    """
+    s = common.Scratch(docs.sparkSession, "quality")
+    base = _measured(docs, host, s)
+    return _judged(base, _often(base, s, limits), limits).drop("gone")
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        out = []
+        for text, gone in zip(b.column("_text").to_pylist(), b.column("_gone").to_pylist()):
+            if gone and text:
+                lines, out_of = text.split("\n"), set(gone)
+                keep = [x for x in lines if not x.strip(_BLANK) or int(np.uint64(xxhash.xxh64_intdigest(normal_line(x.encode("utf-8", "surrogatepass")))).view(np.int64)) not in out_of]
+                text = "\n".join(keep)
+            out.append(text)
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if n == "_text" else b.column(n) for n in b.schema.names if n != "_gone"], [n for n in b.schema.names if n != "_gone"])
+
+
+def clean(docs: DataFrame, host: str = "source", limits: Limits = Limits()) -> DataFrame:
+    """docs -> its columns, for the documents that judge() keeps, their texts without the lines above the limit.
+
+    Each row is judged and cleaned by itself, repeated ones too; null texts
+    are not kept. Columns come back as they are, whatever their names.
+    """
+    s = common.Scratch(docs.sparkSession, "quality")
+    given = s.table(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("rid"), F.col("text").cast("string").alias("text"), F.col(f"`{host}`").cast("string").alias("host")), "given")
+    base = _measured(given.select(F.col("rid").alias("doc_id"), "text", "host"), "host", s).withColumn("rid", F.col("doc_id"))
+    kept = _judged(base, _often(base, s, limits), limits).filter("kept").select("rid", F.col("gone").alias("_gone"))
+    both = given.join(kept, "rid").select("row", F.col("text").alias("_text"), "_gone")
+    cut = both.mapInArrow(_cut, T.StructType([both.schema["row"], T.StructField("_text", T.StringType())]))
+    return cut.select(*[F.col("_text").cast(docs.schema[c].dataType).alias(c) if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(common.table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_boilerplate")
@@ -149,8 +184,7 @@ l AS (
       regexp_replace(trim(regexp_replace(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g')), '[0-9]+', '0', 'g') AS line
     FROM (SELECT rid, host, unnest(lines) AS x FROM w)) GROUP BY rid, host, line),
 often AS (
-  SELECT f.host, f.line FROM (SELECT host, line, count(*) AS n FROM l GROUP BY host, line) f
-  JOIN (SELECT host, count(*) AS docs FROM d GROUP BY host) t USING (host) WHERE f.n > 20 AND f.n > 0.001 * t.docs),
+  SELECT host, line FROM l GROUP BY host, line HAVING count(*) > 20),
 lost AS (SELECT rid, sum(n) AS n FROM l JOIN often USING (host, line) GROUP BY rid),
 m AS (
   SELECT doc_id, len(words) AS n_words, list_sum(list_transform(words, lambda x: length(x))) AS word_chars,
