@@ -9,6 +9,8 @@ sample; every row is indexed. Equal vectors of a shard are indexed once, with
 all their smallest ids.
 
 Queries go to every shard in blocks; groups are bounded by SHARD and QUERIES.
+Work is queries times rows: vectors without clusters allow no pruning at this
+recall, and what a pair of groups shuffles is small beside its comparisons.
 """
 
 from __future__ import annotations
@@ -25,10 +27,18 @@ from . import common
 PIVOTS = 512
 PREFIX = 64
 SHARD = 16_384
-QUERIES = 8_192
+QUERIES = 32_768
 K = 20
-SHARE = 0.08
-LEAST = 512
+FACTOR, POWER = 1.7, 0.7
+
+
+def reranked(n: int, k: int = K, factor: float = FACTOR, power: float = POWER) -> int:
+    """How many of n distinct vectors are reranked: factor * n^power, k at least, by one rule at every size.
+
+    The exponent is below 1 because the nearest of more vectors are nearer,
+    so their permutations stand out more.
+    """
+    return min(n, max(k, math.ceil(factor * n**power)))
 
 
 def usable(v) -> "F.Column":
@@ -72,9 +82,9 @@ class Shard:
         parts = [(self.vector[a:b], np.minimum(m - i, m - self.place[a:b])) for i, p in enumerate(q.tolist()) for a, b in [self.file[p : p + 2]]]
         return 2 * np.bincount(np.concatenate([v for v, _ in parts]), np.concatenate([w for _, w in parts]), len(self.x)).astype(np.int64)
 
-    def search(self, qid: int, qx: np.ndarray, q: np.ndarray, k: int, share: float, least: int) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, qid: int, qx: np.ndarray, q: np.ndarray, k: int, factor: float, power: float) -> tuple[np.ndarray, np.ndarray]:
         n = len(self.x)
-        c = max(least, int(np.ceil(share * n)))
+        c = reranked(n, k, factor, power)
         if c < n:
             key = self.saved(q) * n + (n - 1 - np.arange(n))  # ties to the vector with the smaller id
             cand = np.sort(np.argpartition(-key, c - 1)[:c])
@@ -105,26 +115,25 @@ class Shard:
 _FOUND = "query_id long, vec_id long, score double"
 
 
-def nearest(embeddings: DataFrame, is_query, k: int = K, pivots: int = PIVOTS, prefix: int = PREFIX, shard: int = SHARD, share: float = SHARE, least: int = LEAST) -> DataFrame:
+def nearest(embeddings: DataFrame, is_query, k: int = K, pivots: int = PIVOTS, prefix: int = PREFIX, shard: int = SHARD, factor: float = FACTOR, power: float = POWER) -> DataFrame:
     """embeddings (vec_id, embedding) -> (query_id, rank, vec_id, score) of the rows where is_query (a condition on vec_id) holds.
 
-    In each shard the nearest share of its vectors by footrule (least at
-    least) are reranked; scores are correctly rounded sums of the products.
-    Vectors that are null, empty, zero or hold null or non-finite parts take
-    no part, nor do rows with a null vec_id or with another dimension than
-    the first pivot has. Repeated rows are candidates each; a repeated query
+    In each shard the nearest of its vectors by footrule are reranked, as
+    many as reranked() says; scores are correctly rounded sums of the
+    products. Vectors that are null, empty, zero or hold null or non-finite
+    parts take no part, nor do rows with a null vec_id or with another
+    dimension than most vectors have (of two as frequent the larger). Repeated rows are candidates each; a repeated query
     id is asked once, with its smallest vector. No rows for an empty table.
     """
     spark = embeddings.sparkSession
     common.prepare(spark)
     v = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).filter(F.col("vec_id").isNotNull() & usable("embedding"))
-    sample = [r.embedding for r in v.orderBy(F.xxhash64("vec_id"), "vec_id", "embedding").limit(pivots).collect()]
-    if not sample:
+    most = v.groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("dim")).first()
+    if most is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dim = len(sample[0])
-    piv = np.unique(np.array([p for p in sample if len(p) == dim]), axis=0)
+    v = v.filter(F.size("embedding") == most.dim)
+    piv = np.unique(np.array([r.embedding for r in v.orderBy(F.xxhash64("vec_id"), "vec_id", "embedding").limit(pivots).collect()]), axis=0)
     piv /= np.linalg.norm(piv, axis=1, keepdims=True)
-    v = v.filter(F.size("embedding") == dim)
     n, nq = v.agg(F.count("*"), F.count_if(is_query)).first()
     shards, blocks = max(1, -(-n // shard)), max(1, -(-nq // QUERIES))
     given = spark.sparkContext.broadcast(piv)  # pivots x dimension
@@ -135,7 +144,7 @@ def nearest(embeddings: DataFrame, is_query, k: int = K, pivots: int = PIVOTS, p
         files = Shard(index["vec_id"].to_numpy(np.int64), np.stack(index["embedding"].to_numpy()), given.value, prefix)
         qx = np.stack(queries["embedding"].to_numpy())
         q = order(qx, given.value, files.prefix)
-        out = [(qid, *files.search(qid, x, o, k, share, least)) for qid, x, o in zip(queries["vec_id"].tolist(), qx, q)]
+        out = [(qid, *files.search(qid, x, o, k, factor, power)) for qid, x, o in zip(queries["vec_id"].tolist(), qx, q)]
         return pd.DataFrame({"query_id": np.repeat([o[0] for o in out], [len(o[1]) for o in out]), "vec_id": np.concatenate([o[1] for o in out]), "score": np.concatenate([o[2] for o in out])})
 
     index = v.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))

@@ -47,10 +47,10 @@ def test_common_vector_ties_and_unusable_rows(spark):
     rng = np.random.default_rng(1)
     hot = rng.normal(size=6).tolist()
     rows = [(k, hot if k % 3 == 0 else rng.normal(size=6).tolist()) for k in range(300)]
-    bad = [(1000, None), (1020, []), (1040, [0.0] * 6), (1060, [float("nan")] + [1.0] * 5), (1080, [None] + [1.0] * 5), (1100, [float("inf")] + [1.0] * 5), (1120, [1.0, 2.0]), (None, hot)]
+    bad = [(999, [1.0]), (1000, None), (1020, []), (1040, [0.0] * 6), (1060, [float("nan")] + [1.0] * 5), (1080, [None] + [1.0] * 5), (1100, [float("inf")] + [1.0] * 5), (1120, [1.0, 2.0]), (None, hot)]
     df = spark.createDataFrame(rows + bad, "vec_id long, embedding array<double>").withColumn("shard", F.lit("clash")).withColumn("rank", F.lit(0))
     got = {}
-    for r in ann.nearest(df, F.col("vec_id") % 20 == 0, shard=64).collect():
+    for r in ann.nearest(df, F.col("vec_id") % 20 == 0, shard=64, factor=100.0).collect():
         got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
     ids, x = [a for a, _ in rows], [b for _, b in rows]
     assert set(got) == {k for k in ids if k % 20 == 0}
@@ -62,3 +62,26 @@ def test_small_tables(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (0, [1.0, 0.0]), (1, [0.0, 1.0])], "vec_id long, embedding array<double>")
     assert sorted((r.query_id, r.rank, r.vec_id) for r in ann.nearest(df, F.col("vec_id") % 20 == 0).collect()) == [(0, 1, 0), (0, 2, 1)]
     assert ann.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_recall_over_several_full_shards(spark):
+    """52,000 vectors without any clusters, the hardest case, four shards, default settings."""
+    n, dim = 52_000, 64
+    df = spark.range(n).select(F.col("id").alias("vec_id"), F.array(*[F.randn(k) for k in range(dim)]).alias("embedding")).cache()
+    rows = df.toPandas().sort_values("vec_id")
+    x = np.stack(rows["embedding"].to_numpy())
+    assert -(-n // ann.SHARD) == 4 and ann.reranked(n // 4) < 0.1 * n / 4
+    got = {}
+    for r in ann.nearest(df, F.col("vec_id") % 1000 == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hit = 0
+    for q, found in got.items():
+        s = x @ x[q]
+        s[q] = -np.inf
+        hit += len(found & set(np.argsort(-s)[:20].tolist()))
+    print("recall", hit / (20 * len(got)))
+    assert len(got) == 52 and hit / (20 * len(got)) >= 0.9
+
+
+def test_share_has_one_rule():
+    assert [ann.reranked(n) for n in (0, 5, 20, 100, 2_000, 16_384)] == [0, 5, 20, 43, 348, 1516]
