@@ -174,7 +174,7 @@ def near_pairs(a: list[str], b: list[str], t: int) -> np.ndarray:
     return out
 
 
-SEEN = 100_000
+SEEN = 100_000  # of each of two generations
 _POST, _LOW = 1 << 63, (1 << 63) - 1
 BROADCAST_LINES = 100_000
 _LINE = np.int64(0x7FFFFFFFFFFFFFFF)
@@ -184,7 +184,8 @@ def _post(t: int, least: int):
     """Texts -> (key, v): v the 63 low bits of the line's hash, negative for a posting, so postings come first in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        new: set[int] = set()
+        old: set[int] = set()
         for b in batches:
             k_out, v_out = [], []
             for text in b.column("text").to_pylist():
@@ -193,10 +194,14 @@ def _post(t: int, least: int):
                     if len(line) < least:
                         continue
                     h = xxhash.xxh64_intdigest(line.encode("utf-8", "surrogatepass"), 42) & _LOW
-                    if h in seen:
+                    if h in new:
+                        continue
+                    known = h in old
+                    new.add(h)
+                    if len(new) >= SEEN:  # a line that keeps coming is carried on, so a hot one is posted about once a task
+                        new, old = set(), new
+                    if known:
                         continue
-                    if len(seen) < SEEN:
-                        seen.add(h)
                     posts, probes = keys(line, t)
                     k_out += posts
                     k_out += probes
@@ -371,18 +376,11 @@ def links(docs: DataFrame, scratch: common.Scratch, threshold: int = THRESHOLD,
     return scratch.table(units.mapInArrow(_verify(threshold), "u long, v long"), "links")
 
 
-def dedup(docs: DataFrame, threshold: int = THRESHOLD, least: int = MIN_CHARS) -> DataFrame:
-    """docs (doc_id, text, ...) -> its columns with the cleaned text, and n_lines, n_removed, n_linked, a row each.
+_COUNTS = ("n_lines", "n_removed", "n_linked")
 
-    A line of `least` code points or more goes if its class (equal lines, and
-    lines within `threshold` edits, joined transitively) has an occurrence
-    with a smaller (doc_id, text hash, line number); null doc_ids come first.
-    Shorter lines always stay. n_linked counts lines linked to a different
-    text. Null texts stay null. Rows repeated with one doc_id and text count
-    as one document and get the same text. An empty table gives no rows.
-    Columns of docs named like the three counts are replaced. Equal lines are
-    told by 127 hash bits, links by 63.
-    """
+
+def _worked(docs: DataFrame, threshold: int, least: int) -> DataFrame:
+    """(row: the columns but text, text, n_lines, n_removed, n_linked), see dedup()."""
     spark = docs.sparkSession
     common.prepare(spark)
     s = common.Scratch(spark, "lines")
@@ -396,23 +394,40 @@ def dedup(docs: DataFrame, threshold: int = THRESHOLD, least: int = MIN_CHARS) -
     first = s.table(first, "first")  # a plain table, so that AQE can split a line that very many documents share
     gone = classed.join(first, ["class", "other"]).filter(~F.col("first").eqNullSafe(at)).select("doc_id", "dk", "pos", F.lit(True).alias("gone"), F.lit(False).alias("linked"))
     linked = classed.filter("linked").select("doc_id", "dk", "pos", F.lit(False).alias("gone"), "linked")
-    marks = gone.unionByName(linked).groupBy(F.col("doc_id").alias("_id"), F.col("dk").alias("_dk")).agg(
-        F.collect_set(F.when(F.col("gone"), F.col("pos"))).alias("_gone"), F.size(F.collect_set(F.when(F.col("linked"), F.col("pos")))).cast("long").alias("n_linked"))
-    base = docs.drop("n_lines", "n_removed", "n_linked").withColumn("_key", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    both = base.join(marks, (F.col("_key") == F.col("_dk")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-    left = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col("_gone"), i)), "\n")
-    text = F.when(F.size("_gone") > 0, left).otherwise(F.col("text"))
-    out = both.withColumn("n_lines", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long")).withColumn("n_removed", F.coalesce(F.size("_gone"), F.lit(0)).cast("long"))
-    out = out.withColumn("n_lines", F.when(F.col("text").isNull(), F.lit(0).cast("long")).otherwise(F.col("n_lines"))).withColumn("n_removed", F.greatest("n_removed", F.lit(0).cast("long")))
-    cols = [text.alias("text") if c == "text" else F.col(c) for c in docs.columns if c not in ("n_lines", "n_removed", "n_linked")]
-    return out.select(*cols, "n_lines", "n_removed", F.coalesce("n_linked", F.lit(0).cast("long")).alias("n_linked"))
-
-
-def clean(docs: DataFrame) -> DataFrame:
-    """dedup() with docs' columns, without the documents that lost all their words; n_chars, if there, follows the text."""
-    d = dedup(docs)
-    kept = d.filter((F.col("n_removed") == 0) | F.coalesce(F.col("text").rlike(common.WORD), F.lit(False)))
-    return kept.select(*[F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" and "text" in docs.columns else F.col(c) for c in docs.columns])
+    marks = gone.unionByName(linked).groupBy(F.col("doc_id").alias("id"), F.col("dk").alias("key")).agg(
+        F.sort_array(F.collect_set(F.when(F.col("gone"), F.col("pos")))).alias("gone"), F.size(F.collect_set(F.when(F.col("linked"), F.col("pos")))).cast("long").alias("n_linked"))
+    text = F.col("text").cast("string")
+    base = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("dk"), F.split(text, "\n").alias("lines"))
+    both = base.join(marks, (F.col("dk") == F.col("key")) & F.col("row.doc_id").eqNullSafe(F.col("id")), "left")
+    # What stands between the lines that go, so removal is linear however many go.
+    cuts = F.zip_with(F.concat(F.array(F.lit(0)), F.transform("gone", lambda g: g + 1)), F.concat("gone", F.array(F.size("lines"))), lambda a, b: F.slice("lines", a + 1, b - a))
+    kept = F.when(F.size("gone") > 0, F.flatten(cuts)).otherwise(F.col("lines"))
+    count = lambda c: F.coalesce(F.greatest(F.size(c), F.lit(0)), F.lit(0)).cast("long").alias
+    return both.select("row", F.array_join(kept, "\n").alias("text"), count("lines")("n_lines"), count("gone")("n_removed"), F.coalesce("n_linked", F.lit(0).cast("long")).alias("n_linked"))
+
+
+def dedup(docs: DataFrame, threshold: int = THRESHOLD, least: int = MIN_CHARS) -> DataFrame:
+    """docs (doc_id, text, ...) -> its columns with the cleaned text, and n_lines, n_removed, n_linked, a row each.
+
+    A line of `least` code points or more goes if its class (equal lines, and
+    lines within `threshold` edits, joined transitively) has an occurrence
+    with a smaller (doc_id, text hash, line number); null doc_ids come first.
+    Shorter lines always stay. n_linked counts lines linked to a different
+    text. Null texts stay null. Rows repeated with one doc_id and text count
+    as one document and get the same text. An empty table gives no rows.
+    Columns of docs named like the three counts are replaced, others keep
+    their values whatever their names. Equal lines are told by 127 hash bits,
+    links by 63.
+    """
+    cols = [F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns if c not in _COUNTS]
+    return _worked(docs, threshold, least).select(*cols, *_COUNTS)
+
+
+def clean(docs: DataFrame, threshold: int = THRESHOLD, least: int = MIN_CHARS) -> DataFrame:
+    """docs' own columns with the cleaned text, without the documents that lost all their words; n_chars, if there, follows the text."""
+    kept = _worked(docs, threshold, least).filter((F.col("n_removed") == 0) | F.coalesce(F.col("text").rlike(common.WORD), F.lit(False)))
+    new = {"text": F.col("text"), "n_chars": F.length("text")}
+    return kept.select(*[new[c].cast(docs.schema[c].dataType).alias(c) if c in new else F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

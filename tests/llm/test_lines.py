@@ -93,6 +93,31 @@ def test_edge_rows(spark):
     assert lines.dedup(df.limit(0)).count() == 0
 
 
+def test_columns_of_any_name_come_back(spark):
+    line = "a line that is long enough to count"
+    names = ["_key", "_gone", "_id", "_dk", "_copy", "row", "lines", "gone", "key", "id", "dk", "n_lines"]
+    df = spark.createDataFrame([(k, line if k < 3 else None) for k in range(5)], "doc_id long, text string").select("*", *[F.concat(F.lit(n), F.col("doc_id")).alias(n) for n in names])
+    for out in (lines.dedup(df), lines.clean(df)):
+        rows = out.collect()
+        assert all(r[n] == f"{n}{r.doc_id}" for r in rows for n in names if n != "n_lines") and {r.doc_id: r.text for r in rows if r.text} == {0: line}
+    assert out.columns == df.columns and all(r.n_lines == f"n_lines{r.doc_id}" for r in rows) and len(rows) == 3
+
+
+def test_a_hot_line_is_posted_once_a_task(monkeypatch):
+    monkeypatch.setattr(lines, "SEEN", 50)
+    hot = "a hot line that keeps coming back"
+    batches = [pa.RecordBatch.from_arrays([pa.array(["\n".join([hot, f"another line of its own {k} {b}"]) for k in range(100)])], ["text"]) for b in range(9)]
+    posts, probes = lines.keys(hot, 2)
+    n = sum(b.column("key").to_pylist().count(k) for b in lines._post(2, 20)(iter(batches)) for k in [int(np.uint64(posts[0]).view(np.int64))])
+    assert n == 1
+
+
+def test_a_long_text_loses_its_lines_in_linear_time(spark):
+    text = "\n".join(f"line number {k // 2} of a long text that repeats" + "abcdefghijklmnop"[k // 2 % 16] * 8 for k in range(40_000))
+    out = lines.dedup(spark.createDataFrame([(1, text)], "doc_id long, text string"), threshold=0).first()
+    assert out.n_removed == 20_000 and out.text.split("\n") == text.split("\n")[::2]
+
+
 def test_many_repeats_of_one_line_hide_no_other():
     post = -(1 << 63)
 
