@@ -78,7 +78,6 @@ def records(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
                                  ("WARC-Concurrent-To", rid), ("Content-Type", F.lit(media)), ("Content-Length", F.octet_length(body))), F.lit(_END), body)
     request = side("request", "application/http; msgtype=request", F.concat(F.lit("GET "), url, F.lit(" HTTP/1.1\r\n\r\n")))
     note = F.concat(F.coalesce(F.concat(F.lit("page-id: "), F.col("page_id").cast("string"), F.lit("\r\n")), F.lit("")), F.lit("payload-bytes: "), F.col("bytes").cast("string"), F.lit("\r\n"),
-                    F.coalesce(F.concat(F.lit("refers-to-page: "), F.when(revisit, F.col("first_id")).cast("string"), F.lit("\r\n")), F.lit("")),
                     F.when(F.col("url").isNull(), F.lit("null-url: 1\r\n")).otherwise(F.lit("")))
     return p.select(F.concat(main, F.lit(_END), request, F.lit(_END), side("metadata", "application/warc-fields", note)).alias("value"))
 
@@ -177,14 +176,24 @@ def transactions(rec: DataFrame, payload: bool = True) -> DataFrame:
 
 
 def captures(spark: SparkSession, path: str) -> DataFrame:
-    """Reads archives back into a row for each page; a payload that doesn't match its digest is an error."""
+    """Reads archives back into a row for each page; a payload that doesn't match its digest is an error.
+
+    A revisit's page is that of the response its WARC-Refers-To names. Only
+    responses that are named come to that join, spread over SALTS, so one that
+    very many revisits name is no hot spot.
+    """
     t = transactions(read(spark, path), payload=False).filter("main.record_type is not null")
     sound = (F.col("main.record_type") == "revisit") | (F.col("main.payload_sha256") == F.col("main.payload_digest"))
-    return t.select(
+    t = t.select(
+        F.col("capture"), F.col("main.refers_to_record").alias("refers_to_record"), F.pmod(F.xxhash64("capture"), F.lit(SALTS)).cast("int").alias("salt"),
         F.col("metadata")["page-id"].cast("long").alias("page_id"),
         F.coalesce(F.when(F.col("main.record_type") == "response", F.col("main.body_bytes")), F.col("metadata")["payload-bytes"].cast("long")).alias("payload_bytes"),
         F.when(sound, F.col("main.payload_digest")).otherwise(F.raise_error(F.concat(F.lit("payload digest of "), F.col("capture")))).alias("payload_digest"),
-        F.col("main.record_type").alias("record_type"), F.col("metadata")["refers-to-page"].cast("long").alias("refers_to"))
+        F.col("main.record_type").alias("record_type"))
+    t = common.Scratch(spark, "captures").table(t, "captures")
+    wanted = t.filter("record_type = 'revisit'").select(F.col("refers_to_record").alias("capture")).distinct()
+    named = t.filter("record_type = 'response'").join(wanted, "capture", "left_semi").select(F.col("capture").alias("refers_to_record"), F.col("page_id").alias("refers_to"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    return t.join(named, ["refers_to_record", "salt"], "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
