@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from fraudloom.operators.components import connected_components
 from fraudloom.scratch import Scratch, shared_dir
 
-__all__ = ["Scratch", "connected_components", "in_blocks", "prepare", "shared_dir", "table", "tasks"]
+__all__ = ["Scratch", "connected_components", "in_blocks", "prepare", "shared_dir", "table", "tasks", "unused"]
 
 WORD = r"[^\x20\x09-\x0D]+"
 ARROW_ROWS = 1000
@@ -62,6 +62,14 @@ def in_blocks(scratch: Scratch, rows: DataFrame, key: str, spread: str, block: i
             .withColumn("side", (F.col("_own") == F.col("bj")).cast("int")).drop("_n", "_nb", "_own", "_o"))
 
 
+def unused(columns: list[str], name: str) -> str:
+    """The name, or one made from it, that none of the columns has."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

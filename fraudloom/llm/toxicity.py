@@ -198,8 +198,8 @@ class _Scorer:
         return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs (doc_id, text, ...) -> the same columns and _score, a row each; null texts score as empty ones."""
+def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
+    """docs (text, ...) -> the same columns and the score in one more, whose name they must not have; null texts score as empty ones."""
     spark = docs.sparkSession
     common.prepare(spark)
     shared = spark.sparkContext.broadcast((model.weight.astype(np.float64), model.bias))  # 2^BITS weights
@@ -207,10 +207,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _Scorer(Model(*shared.value))
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scorer(b.column("text").to_pylist()))], [*b.schema.names, "_score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scorer(b.column("text").to_pylist()))], [*b.schema.names, column])
 
-    plain = docs.drop("_score")
-    return plain.mapInArrow(run, T.StructType([*plain.schema.fields, T.StructField("_score", T.DoubleType())]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(column, T.DoubleType())]))
 
 
 def held_out() -> F.Column:
@@ -227,13 +226,13 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
     """
     model = train(docs, labels, ~held_out())
     out = score(docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text")), model)
-    return out.select("doc_id", held_out().alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= threshold).cast("int").alias("predicted"))
+    return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def accept(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents, all columns, whose score is below the threshold."""
-    model = train(docs, labels, ~held_out())
-    return score(docs, model).filter(F.col("_score") < threshold).select(*docs.columns)
+    """The documents, all columns whatever their names, whose score is below the threshold."""
+    model, name = train(docs, labels, ~held_out()), common.unused(docs.columns, "score")
+    return score(docs, model, name).filter(F.col(name) < threshold).drop(name)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
