@@ -1,8 +1,8 @@
 """Sliding-window features of entities over six horizons, and what is derived from them.
 
 Edges are inclusive and ages are cut to whole seconds, so an event 60.999
-seconds old still counts for one minute. All horizons share one shuffle and
-one sort, by entity and event time.
+seconds old still counts for one minute. All horizons share one shuffle, by
+entity and stretch of time, and two sorts, by device and by event time.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from fraudloom.functions import scalars as S
 # Horizons in seconds.
 HORIZONS = {"1m": 60, "5m": 300, "1h": 3_600, "24h": 86_400, "7d": 604_800, "30d": 2_592_000}
 ENTITY = {"card": "card_token", "bin": "bin", "account": "account", "device": "device", "ip": "ip", "merchant": "merchant"}
+SLIDING = 2_000
 FEATURES = ["velocity_5m", "velocity_1h", "velocity_24h", "amount_ratio", "amount_zscore", "device_spread", "decline_rate", "high_risk_mcc"]
 
 
@@ -29,34 +30,96 @@ def fan_out(txn: DataFrame) -> DataFrame:
     return txn.withColumn("entity", F.explode(entity_keys(txn)))
 
 
+def _edge(secs: int) -> int:
+    """Microseconds that an event counts for: ages are cut to whole seconds."""
+    return secs * 1_000_000 + 999_999
+
+
+def _cut(rows: DataFrame, span: int) -> DataFrame:
+    """Adds chunk and own: time is cut into chunks of 2 * span; what the next chunk's windows still reach is there as well, own false."""
+    size, at = 2 * span, F.floor(F.col("us") / (2 * span))
+    d = rows.withColumn("_at", at).withColumn("chunk", F.explode(F.when(F.col("us") >= (F.col("_at") + 1) * size - span, F.array(F.col("_at"), F.col("_at") + 1)).otherwise(F.array("_at"))))
+    return d.withColumn("own", F.col("chunk") == F.col("_at")).drop("_at")
+
+
+def _steps(rows: DataFrame, edges: list[int], arrival: bool) -> DataFrame:
+    """rows (key, chunk, own, us, seq, amount_minor, device, declined, row) -> the moments at which the totals of a horizon change.
+
+    An event adds to every horizon when it comes and leaves each when it is
+    older than that one. Its device counts from the event to the next one of
+    the same device or until the event is too old, whichever is first; so
+    distinct devices are a running total as well. A step concerns the horizons
+    lo to hi; `first` marks an event's coming, which carries its row.
+    """
+    w = Window.partitionBy("key", "chunk", "device").orderBy("us", *(["seq"] if arrival else []))
+    has, last = F.col("device").isNotNull(), len(edges) - 1
+    d = rows.withColumn("nu", F.when(has, F.lead("us").over(w))).withColumn("ns", F.lead("seq").over(w) if arrival else F.lit(None).cast(rows.schema["seq"].dataType))
+    amount, declined = F.col("amount_minor"), F.coalesce(F.col("declined").cast("int"), F.lit(0))
+    has, zero = has.cast("int"), F.lit(0)
+    nothing = {"seq": F.lit(None).cast(rows.schema["seq"].dataType), "row": F.lit(None).cast(rows.schema["row"].dataType)}
+
+    def step(first: bool, lo: Column, hi: int, **c: Column) -> Column:
+        c = {"seq": nothing["seq"], "row": nothing["row"], "n": zero, "amount": zero.cast("long"), "declined": zero, "devices": zero} | c
+        return F.struct(F.lit(first).alias("first"), lo.cast("int").alias("lo"), F.lit(hi).alias("hi"), *[c[k].alias(k) for k in ("us", "seq", "row", "n", "amount", "declined", "devices")])
+
+    until = lambda k: F.col("us") + edges[k] + 1
+    steps = [step(True, zero, last, us=F.col("us"), seq=F.col("seq"), row=F.col("row"), n=F.lit(1), amount=amount, declined=declined, devices=has)]
+    young = F.lit(last + 1)
+    for k in range(last, -1, -1):
+        alone = F.when(F.col("nu").isNull() | (F.col("nu") >= until(k)), has).otherwise(0)
+        steps.append(step(False, F.lit(k), k, us=until(k), n=F.lit(-1), amount=-amount, declined=-declined, devices=-alone))
+        young = F.when(F.col("nu") < until(k), F.lit(k)).otherwise(young)
+    handed = step(False, young, last, us=F.col("nu"), seq=F.col("ns"), devices=F.lit(-1))
+    steps = F.when(young <= last, F.array(*steps, handed)).otherwise(F.array(*steps))
+    return d.select("key", "chunk", "own", F.explode(steps).alias("s")).select("key", "chunk", "own", "s.*")
+
+
+def _totals(steps: DataFrame, labels: list[str], arrival: bool, keep: Column) -> DataFrame:
+    """Running totals at the steps in `keep`; 'peers' takes all steps of the same microsecond together."""
+    w = Window.partitionBy("key", "chunk")
+    w = w.orderBy("us", "seq", "first").rowsBetween(Window.unboundedPreceding, 0) if arrival else w.orderBy("us").rangeBetween(Window.unboundedPreceding, 0)
+    square = F.col("amount").cast("decimal(19,0)") * F.col("amount").cast("decimal(19,0)") * F.col("n").cast("decimal(1,0)")
+    out = []
+    for k, h in enumerate(labels):
+        run = lambda c: F.coalesce(F.sum(F.when((F.col("lo") <= k) & (F.col("hi") >= k), c)).over(w), F.lit(0))
+        for name, c, kind in (("cnt", F.col("n"), "long"), ("sum", F.col("amount"), "long"), ("sq", square, "decimal(38,0)"), ("dec", F.col("declined"), "long"), ("dev", F.col("devices"), "long")):
+            out.append(run(c).cast(kind).alias(f"{name}_{h}"))
+    return steps.select("row", keep.alias("keep"), *out).filter("keep").drop("keep")
+
+
+def busiest(events: DataFrame, key: str) -> int:
+    """Events of the key that has most."""
+    return events.groupBy(key).count().agg(F.max("count")).first()[0] or 0
+
+
+def _sliding(txn: DataFrame, key: str, horizons: dict[str, int]) -> DataFrame:
+    amount, out = F.col("amount_minor").cast("decimal(19,0)"), txn
+    for label, secs in horizons.items():
+        w = Window.partitionBy(key).orderBy("us").rangeBetween(-_edge(secs), 0)
+        out = (out.withColumn(f"cnt_{label}", F.count(F.lit(1)).over(w)).withColumn(f"sum_{label}", F.coalesce(F.sum("amount_minor").over(w), F.lit(0)))
+               .withColumn(f"sq_{label}", F.coalesce(F.sum(amount * amount).over(w), F.lit(0)).cast("decimal(38,0)")).withColumn(f"dec_{label}", F.coalesce(F.sum(F.col("declined").cast("int")).over(w), F.lit(0)).cast("long"))
+               .withColumn(f"dev_{label}", F.size(F.collect_set("device").over(w)).cast("long")))
+    return out
+
+
 def six_windows(txn: DataFrame, key: str, seq: str = "txn_id", ties: str = "peers", horizons: dict[str, int] = HORIZONS) -> DataFrame:
-    """Adds cnt_, sum_, sq_, dev_ and dec_ of each horizon: events of the key at most so old, itself included.
+    """Adds cnt_, sum_, sq_, dec_ and dev_ of each horizon: events of the key at most so old, itself included.
 
     sq_ is an exact decimal(38,0). ties: 'peers' counts all events of the same
-    microsecond; 'arrival' only those with no later seq (one more sort).
+    microsecond; 'arrival' only those with no later seq.
+
+    Spark's sliding frames go through a window's events for each event, which
+    is quick while every key has few. Beyond SLIDING events of a key (counted
+    first) all are running totals over the moments at which events come and
+    leave: linear in a key's events however long the horizons are, and keys
+    are cut in time, so a busy one is many tasks' work. Both give the same.
     """
-    amount = F.col("amount_minor").cast("decimal(19,0)")
-    out = txn
-    if ties == "arrival":
-        later = Window.partitionBy(key, "us").orderBy(seq).rowsBetween(1, Window.unboundedFollowing)
-        out = (out.withColumn("_lc", F.count(F.lit(1)).over(later)).withColumn("_ls", F.coalesce(F.sum("amount_minor").over(later), F.lit(0)))
-               .withColumn("_lq", F.coalesce(F.sum(amount * amount).over(later), F.lit(0))).withColumn("_ld", F.coalesce(F.sum(F.col("declined").cast("int")).over(later), F.lit(0))))
-    for label, secs in horizons.items():
-        w = Window.partitionBy(key).orderBy("us").rangeBetween(-(secs * 1_000_000 + 999_999), 0)
-        count, total = F.count(F.lit(1)).over(w), F.sum("amount_minor").over(w)
-        squares, declines = F.sum(amount * amount).over(w), F.coalesce(F.sum(F.col("declined").cast("int")).over(w), F.lit(0))
-        devices = F.size(F.collect_set("device").over(w)).cast("long")
-        if ties == "arrival":
-            count, total, squares, declines = count - F.col("_lc"), total - F.col("_ls"), squares - F.col("_lq"), declines - F.col("_ld")
-            seen = F.collect_list(F.struct("us", seq, "device")).over(w)
-            devices = (seen, F.col("us"), F.col(seq))
-        out = out.withColumn(f"cnt_{label}", count).withColumn(f"sum_{label}", total).withColumn(f"sq_{label}", squares.cast("decimal(38,0)")).withColumn(f"dec_{label}", declines.cast("long"))
-        if ties == "arrival":
-            seen, us, s = devices
-            out = out.withColumn("_seen", seen).withColumn(f"dev_{label}", F.size(F.array_distinct(F.transform(F.filter("_seen", lambda x: x["device"].isNotNull() & ~((x["us"] == us) & (x[seq] > s))), lambda x: x["device"]))).cast("long")).drop("_seen")
-        else:
-            out = out.withColumn(f"dev_{label}", devices)
-    return out.drop("_lc", "_ls", "_lq", "_ld")
+    arrival, edges = ties == "arrival", [_edge(s) for s in horizons.values()]
+    if not arrival and busiest(txn, key) <= SLIDING:
+        return _sliding(txn, key, horizons)
+    rows = txn.select(F.col(key).alias("key"), "us", F.col(seq).alias("seq"), "amount_minor", "device", "declined", F.struct(*txn.columns).alias("row"))
+    d = _totals(_steps(_cut(rows, max(edges) + 1), edges, arrival), list(horizons), arrival, F.col("first") & F.col("own"))
+    return d.select("row.*", *d.columns[1:])
 
 
 def window_map(horizons: dict[str, int] = HORIZONS) -> Column:
@@ -67,11 +130,12 @@ def window_map(horizons: dict[str, int] = HORIZONS) -> Column:
     return F.create_map(*parts)
 
 
-def point_in_time(events: DataFrame, asof: DataFrame, key: str) -> DataFrame:
-    """asof (key, as_of_us) -> the six windows at that moment, of events no later than it; zeros for keys without events."""
-    e = events.select(key, "us", "amount_minor", "device", "declined")
+def _meeting(events: DataFrame, asof: DataFrame, key: str) -> DataFrame:
+    span = _edge(max(HORIZONS.values())) + 1
+    e = events.select(key, "us", "amount_minor", "device", "declined", F.floor(F.col("us") / span).alias("_bin"))
+    at = F.floor(F.col("as_of_us") / span)
     age = F.floor((F.col("as_of_us") - F.col("us")) / 1_000_000)
-    near = asof.join(e, key).filter((F.col("us") <= F.col("as_of_us")) & (age <= max(HORIZONS.values())))
+    near = asof.withColumn("_bin", F.explode(F.array(at - 1, at))).join(e, [key, "_bin"]).filter((F.col("us") <= F.col("as_of_us")) & (age <= max(HORIZONS.values())))
     sq = F.col("amount_minor").cast("decimal(19,0)") * F.col("amount_minor").cast("decimal(19,0)")
     aggs = []
     for label, secs in HORIZONS.items():
@@ -84,6 +148,26 @@ def point_in_time(events: DataFrame, asof: DataFrame, key: str) -> DataFrame:
     return asof.join(got, [key, "as_of_us"], "left").select(key, "as_of_us", *[F.coalesce(c, F.lit(0)).alias(c) for c in names])
 
 
+def point_in_time(events: DataFrame, asof: DataFrame, key: str) -> DataFrame:
+    """asof (key, as_of_us) -> the six windows at that moment, of events no later than it; zeros for keys without events.
+
+    While no key has more than SLIDING events, each moment meets its key's
+    events of the last horizon. Beyond, the moments stand among the steps of
+    six_windows() and take the totals there, which is linear.
+    """
+    if busiest(events, key) <= SLIDING:
+        return _meeting(events, asof, key)
+    edges = [_edge(s) for s in HORIZONS.values()]
+    e = events.join(asof.select(key).distinct(), key, "left_semi")
+    rows = e.select(F.col(key).alias("key"), "us", F.lit(0).alias("seq"), "amount_minor", "device", "declined", F.lit(None).cast("struct<as_of_us:bigint>").alias("row"))
+    steps = _steps(_cut(rows, max(edges) + 1), edges, False)
+    at = asof.select(F.col(key).alias("key"), F.floor(F.col("as_of_us") / (2 * (max(edges) + 1))).alias("chunk"), F.lit(True).alias("own"), F.lit(False).alias("first"), F.lit(0).alias("lo"), F.lit(-1).alias("hi"),
+                     F.col("as_of_us").alias("us"), F.lit(0).alias("seq"), F.struct(F.col("as_of_us")).alias("row"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("amount"), F.lit(0).alias("declined"), F.lit(0).alias("devices"))
+    both = steps.unionByName(at).withColumn("row", F.when(F.col("row").isNotNull(), F.struct(F.col("key").alias(key), F.col("row.as_of_us").alias("as_of_us"))))
+    d = _totals(both, list(HORIZONS), False, F.col("row").isNotNull())
+    return d.select("row.*", *d.columns[1:])
+
+
 def lagged(txn: DataFrame, key: str = "card_token", seq: str = "txn_id", ties: str = "peers") -> DataFrame:
     """Windows as a decision sees them: those that the key's previous event left behind, null before the first."""
     w = six_windows(txn, key, seq, ties)
