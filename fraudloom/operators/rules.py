@@ -80,20 +80,30 @@ def with_speed(txn: DataFrame, seq: str = "txn_id") -> DataFrame:
     """Adds kmh from the card's last sighting with a place, in arrival order; null without one or at zero time."""
     w = Window.partitionBy("card_token").orderBy("us", seq).rowsBetween(Window.unboundedPreceding, -1)
     seen = F.when(F.col("lat").isNotNull() & F.col("lon").isNotNull(), F.struct("lat", "lon", "us"))
-    d = txn.withColumn("_p", F.last(seen, ignorenulls=True).over(w))
+    before = F.last(seen, ignorenulls=True).over(w)
+    d = txn.withColumn("_p", F.coalesce(before, F.col("card_before.place")) if "card_before" in txn.columns else before)
     hours = (F.col("us") - F.col("_p.us")) / 3.6e9
     km = S.haversine_km(F.col("_p.lat"), F.col("_p.lon"), F.col("lat"), F.col("lon"))
     return d.withColumn("kmh", F.when(F.col("card_token").isNotNull() & F.col("lat").isNotNull() & (hours > 0), km / hours)).drop("_p")
 
 
 def with_history(txn: DataFrame, seq: str = "txn_id") -> DataFrame:
-    """Adds prior_n and prior_mean of the card's earlier amounts."""
+    """Adds prior_n and prior_mean of the card's earlier amounts, with those that card_before, if there, sums up."""
     w = Window.partitionBy("card_token").orderBy("us", seq).rowsBetween(Window.unboundedPreceding, -1)
-    return txn.withColumn("prior_n", F.count("amount_minor").over(w)).withColumn("prior_mean", F.avg("amount_minor").over(w))
+    if "card_before" not in txn.columns:
+        return txn.withColumn("prior_n", F.count("amount_minor").over(w)).withColumn("prior_mean", F.avg("amount_minor").over(w))
+    z = lambda c: F.coalesce(c, F.lit(0))
+    n = F.count("amount_minor").over(w) + z(F.col("card_before.n"))
+    total = z(F.sum("amount_minor").over(w)) + z(F.col("card_before.total"))
+    return txn.withColumn("prior_n", n).withColumn("prior_mean", F.when(n > 0, total / n))
 
 
 def evaluate(txn: DataFrame, rules: Rules, seq: str = "txn_id") -> DataFrame:
-    """Adds hits: stateless ones, then the velocity rules, speed and amount anomaly; all are evaluated whatever fired before."""
+    """Adds hits: stateless ones, then the velocity rules, speed and amount anomaly; all are evaluated whatever fired before.
+
+    A column card_before (n, total, place of the card's events that aren't
+    among the rows any more) takes the place of those; see streaming.
+    """
     d = with_history(with_speed(txn, seq), seq).withColumn("_dr", decline_retry(rules))  # all by card: one shuffle
     d = d.withColumn("_ct", card_testing(rules)).withColumn("_ba", bin_attack(rules))
     anomaly = F.col("card_token").isNotNull() & (F.col("prior_n") >= rules.anomaly_min_samples) & (F.col("amount_minor") > rules.anomaly_factor * F.col("prior_mean"))

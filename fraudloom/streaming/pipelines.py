@@ -129,16 +129,93 @@ def append_audit(path: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
-def decisions(txn: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, rules: Rules | Reloader = Rules()) -> StreamingQuery:
+class History:
+    """What the velocity rules need of earlier micro-batches, in folders under `path`.
+
+    Each batch writes its slim events (events/batch=n) and their sums by card
+    (cards/batch=n), so nothing old is rewritten. Batches whose newest event
+    is older than the longest window are read through their sums only. The
+    sums are merged into one table (cards/upto=n) every MERGE batches.
+    Repeating a batch after a failure overwrites its own folders and reads
+    only those before it.
+    """
+
+    SLIM = ["txn_id", "us", "amount_minor", "card_token", "bin", "device", "declined", "lat", "lon"]
+    MERGE = 16
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def _folders(self, kind: str, prefix: str) -> dict[int, str]:
+        hp = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{kind}")
+        fs = hp.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        names = [f.getPath().getName() for f in fs.listStatus(hp)] if fs.exists(hp) else []
+        done = [x for x in names if x.startswith(prefix) and fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{kind}/{x}/_SUCCESS"))]
+        return {int(x[len(prefix) :]): f"{self.path}/{kind}/{x}" for x in done}
+
+    def _newest(self, folder: str) -> int:
+        return self.spark.read.parquet(folder).agg(F.max("us")).first()[0] or 0
+
+    def before(self, n: int, since: int) -> tuple[DataFrame | None, DataFrame | None]:
+        """(events of earlier batches that reach `since`, sums by card of all the others)."""
+        events = {k: p for k, p in self._folders("events", "batch=").items() if k < n}
+        live, k = [], -1
+        for m in sorted(events, reverse=True):  # from the last batch back to the first that is too old
+            if self._newest(events[m]) < since:
+                k = m
+                break
+            live.append(events[m])
+        cards = {m: p for m, p in self._folders("cards", "batch=").items() if m <= k}
+        merged = {m: p for m, p in self._folders("cards", "upto=").items() if m <= k}
+        top = max(merged, default=-1)
+        parts = ([merged[top]] if merged else []) + [p for m, p in cards.items() if m > top]
+        read = lambda p: self.spark.read.parquet(*p) if p else None
+        sums = read(parts)
+        if sums is not None and len(parts) > self.MERGE:
+            self._summed(sums).write.mode("overwrite").parquet(f"{self.path}/cards/upto={k}")
+            sums = read([f"{self.path}/cards/upto={k}"])
+        return read(live), None if sums is None else self._summed(sums)
+
+    @staticmethod
+    def _summed(sums: DataFrame) -> DataFrame:
+        return sums.groupBy("card_token").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.max_by("place", F.struct("place.us", "seq")).alias("place"), F.max("seq").alias("seq"))
+
+    def add(self, batch: DataFrame, n: int) -> None:
+        slim = batch.select(*self.SLIM)
+        slim.write.mode("overwrite").parquet(f"{self.path}/events/batch={n}")
+        slim = self.spark.read.parquet(f"{self.path}/events/batch={n}").filter("card_token is not null")
+        place = F.when(F.col("lat").isNotNull() & F.col("lon").isNotNull(), F.struct("lat", "lon", "us"))
+        seen = F.when(place.isNotNull(), F.struct("us", "txn_id"))
+        sums = slim.groupBy("card_token").agg(F.count("amount_minor").alias("n"), F.sum("amount_minor").alias("total"), F.max_by(place, seen).alias("place"), F.max(F.when(place.isNotNull(), F.col("txn_id"))).alias("seq"))
+        sums.write.mode("overwrite").parquet(f"{self.path}/cards/batch={n}")
+
+    def evaluate(self, batch: DataFrame, n: int, rules: Rules) -> DataFrame:
+        """The batch's rows with hits, as if all events had come in one table, in the order of (us, txn_id)."""
+        reach = max(rules.card_testing.window_secs, rules.bin_attack.window_secs, rules.decline_retry.window_secs) * 1_000_000
+        since = (batch.agg(F.min("us")).first()[0] or 0) - reach
+        events, sums = self.before(n, since)
+        rows = batch.withColumn("_old", F.lit(False))
+        if events is not None:
+            rows = rows.unionByName(events.select(*self.SLIM).withColumn("_old", F.lit(True)), allowMissingColumns=True)
+        if sums is not None:
+            rows = rows.join(sums.select("card_token", F.struct("n", "total", "place").alias("card_before")), "card_token", "left")
+        out = R.evaluate(rows, rules).filter("not _old")
+        return out.select(*batch.columns, *[c for c in out.columns if c not in batch.columns and c not in ("_old", "card_before")])
+
+
+def decisions(txn: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, rules: Rules | Reloader = Rules(), history: str | None = None) -> StreamingQuery:
     """Rules-only decisions per micro-batch; a Reloader is asked once a batch and its version is on every row.
 
-    Window rules see the events of their own micro-batch; the exact twin over
-    all history is entity_windows joined on the key.
+    Velocity rules see all events so far, kept under `history` (by default in
+    the checkpoint's folder), so results don't depend on how the input is cut
+    while it comes in the order of time.
     """
+    past = History(txn.sparkSession, history or f"{checkpoint}/history")
 
     def run(batch: DataFrame, n: int) -> None:
         r = rules.current() if isinstance(rules, Reloader) else rules
-        sink(D.decide_rules_only(R.evaluate(batch, r)), n)
+        sink(D.decide_rules_only(past.evaluate(batch, n, r)), n)
+        past.add(batch, n)
 
     return txn.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
