@@ -42,5 +42,12 @@ def reject_inferred_rows(scored: DataFrame) -> DataFrame:
     return scored.select("subject", (F.col("p") >= 0.5).cast("int").alias("label"), (2 * F.abs(F.col("p") - 0.5)).alias("weight"), F.lit("reject_inference").alias("origin"))
 
 
+def zipped(subjects: DataFrame, scores: DataFrame) -> DataFrame:
+    """subjects (pos, subject) and scores (pos, p) side by side, as (subject, p); a position that only one side has is an error."""
+    j = subjects.select("pos", "subject", F.lit(True).alias("_a")).join(scores.select("pos", "p", F.lit(True).alias("_b")), "pos", "full")
+    whole = F.col("_a").isNotNull() & F.col("_b").isNotNull()
+    return j.select(F.when(whole, F.col("subject")).otherwise(F.raise_error(F.concat(F.lit("one side has no position "), F.col("pos").cast("string"))).cast(subjects.schema["subject"].dataType)).alias("subject"), "p")
+
+
 def retrain_rows(labels: DataFrame, scored: DataFrame) -> DataFrame:
     return investigator_rows(labels).unionByName(reject_inferred_rows(scored))

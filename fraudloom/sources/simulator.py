@@ -141,6 +141,9 @@ POPULATIONS = [
 CAPACITY = {"baseline": 23_000, "fraud-surge": 20_500, "card-testing": 21_500, "degrade": 14_000}
 SHARES = {"baseline": (0.018, 0.05), "fraud-surge": (0.14, 0.17), "card-testing": (0.22, 0.08), "degrade": (0.03, 0.07)}
 SLA_P99, P99_MAX = 20.0, 30.0
+STAGES = ["rules", "features", "ML", "graph", "compliance"]
+BOTTLENECK = {"baseline": "ML", "fraud-surge": "ML", "card-testing": "graph", "degrade": "compliance"}
+QUEUE_FROM, QUEUE_SHARE, STAGE_LOSS, IDLE_P99 = 0.72, 0.5, 0.0025, 3.0
 
 
 def p99_for(rho: Column) -> Column:
@@ -153,7 +156,7 @@ def rho_for(p99: Column) -> Column:
     return (-c + F.sqrt(c * c + 4 * c)) / 2
 
 
-def _pick(scenario: Column, table: dict[str, float], default: float) -> Column:
+def _pick(scenario: Column, table: dict[str, float | str], default: float | str | None) -> Column:
     out = F.lit(default)
     for k, v in table.items():
         out = F.when(scenario == k, F.lit(v)).otherwise(out)
@@ -161,7 +164,10 @@ def _pick(scenario: Column, table: dict[str, float], default: float) -> Column:
 
 
 def telemetry(controls: DataFrame) -> DataFrame:
-    """controls (scenario, target_tps, fault) -> offered, admitted, shed, rho, p50, p95, p99, degrade and the action mix."""
+    """controls (scenario, target_tps, fault, running if there) -> offered, admitted, shed, rho, p50, p95, p99, degrade, the action mix and the stages.
+
+    A control that isn't running gives zeros, the idle p99 and empty queues.
+    """
     cap = _pick(F.col("scenario"), CAPACITY, 23_000).cast("double") * F.when(F.col("fault"), 0.6).otherwise(1.0)
     d = controls.withColumn("capacity", cap).withColumn("offered", F.greatest(F.lit(0), F.round("target_tps")).cast("long"))
     most = F.col("capacity") * rho_for(F.lit(SLA_P99 - 1))
@@ -169,7 +175,16 @@ def telemetry(controls: DataFrame) -> DataFrame:
     d = d.withColumn("shed", F.col("offered") - F.col("admitted")).withColumn("rho", F.col("admitted") / F.col("capacity"))
     d = d.withColumn("p99", F.least(F.lit(P99_MAX), F.round(p99_for(F.col("rho")), 1))).withColumn("p95", F.round(F.col("p99") * 0.72, 1)).withColumn("p50", F.round(F.col("p99") * 0.41, 1))
     decline, review = _pick(F.col("scenario"), {k: v[0] for k, v in SHARES.items()}, 0.018), _pick(F.col("scenario"), {k: v[1] for k, v in SHARES.items()}, 0.05)
-    return d.withColumn("decline_share", decline).withColumn("review_share", review).withColumn("approve_share", F.round(1 - decline - review, 3)).withColumn("wall_tps", F.round(F.col("capacity") * rho_for(F.lit(SLA_P99))).cast("long"))
+    d = d.withColumn("decline_share", decline).withColumn("review_share", review).withColumn("approve_share", F.round(1 - decline - review, 3)).withColumn("wall_tps", F.round(F.col("capacity") * rho_for(F.lit(SLA_P99))).cast("long"))
+    slow = _pick(F.col("scenario"), BOTTLENECK, None)
+    waiting = F.when(F.col("rho") > QUEUE_FROM, F.round((F.col("rho") - QUEUE_FROM) * F.col("capacity") * QUEUE_SHARE)).otherwise(0).cast("long")
+    on = F.coalesce(F.col("running"), F.lit(True)) if "running" in controls.columns else F.lit(True)
+    stages = [F.struct(F.lit(s).alias("stage"), F.when(on, F.round(F.col("admitted") * (1 - STAGE_LOSS * k))).otherwise(0).cast("long").alias("tps"),
+                       F.when(on & slow.eqNullSafe(F.lit(s)), waiting).otherwise(0).cast("long").alias("queue"), slow.eqNullSafe(F.lit(s)).alias("bottleneck")) for k, s in enumerate(STAGES)]
+    d = d.withColumn("stages", F.array(*stages))
+    for c in ("offered", "admitted", "shed", "rho", "p50", "p95", "decline_share", "review_share", "approve_share"):
+        d = d.withColumn(c, F.when(on, F.col(c)).otherwise(F.lit(0).cast(d.schema[c].dataType)))
+    return d.withColumn("p99", F.when(on, F.col("p99")).otherwise(IDLE_P99)).withColumn("degrade", on & F.col("degrade"))
 
 
 def seed_trail(spark: SparkSession, scenario: str, target_tps: float, fault: bool = False, n: int = 18) -> DataFrame:

@@ -264,6 +264,15 @@ def test_labels(spark):
     assert out.filter("source = 'CHARGEBACK' and not holdout").count() == 0
 
 
+def test_zip_is_strict(spark):
+    a = spark.createDataFrame([(0, "x"), (1, "y")], "pos int, subject string")
+    b = spark.createDataFrame([(1, 0.5), (0, 0.25)], "pos int, p double")
+    assert sorted(map(tuple, L.zipped(a, b).collect())) == [("x", 0.25), ("y", 0.5)]
+    for one, other in ((a, b.filter("pos = 0")), (a.filter("pos = 0"), b)):
+        with pytest.raises(Exception, match="one side has no position 1"):
+            L.zipped(one, other).collect()
+
+
 def test_metrics_against_brute_force(spark):
     r = random.Random(1)
     data = [(int(r.random() < 0.3), round(r.random(), 1)) for _ in range(200)]

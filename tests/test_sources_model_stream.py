@@ -52,6 +52,11 @@ def test_telemetry(spark):
     a, b = SIM.telemetry(c).orderBy("target_tps").collect()
     assert (a.shed, a.degrade, a.p99) == (0, False, pytest.approx(3.8, abs=0.01)) and b.degrade and b.admitted + b.shed == 25_000 and b.p99 == pytest.approx(19.0, abs=0.1)
     assert SIM.seed_trail(spark, "baseline", 20_000).count() == 18
+    more = spark.createDataFrame([("card-testing", 18_000.0, False, True), ("degrade", 5_000.0, False, False), ("baseline", 1_000.0, False, None)], "scenario string, target_tps double, fault boolean, running boolean")
+    busy, still, idle = SIM.telemetry(more).orderBy(F.desc("target_tps")).collect()
+    assert busy.stages[3] == ("graph", 17_865, round((18_000 / 21_500 - 0.72) * 21_500 * 0.5), True) and [s.queue for s in busy.stages if s.stage != "graph"] == [0] * 4 and busy.stages[0].tps == 18_000
+    assert (still.offered, still.admitted, still.rho, still.p50, still.p99, still.degrade, still.approve_share) == (0, 0, 0.0, 0.0, 3.0, False, 0.0) and [(s.tps, s.queue, s.bottleneck) for s in still.stages] == [(0, 0, False)] * 4 + [(0, 0, True)]
+    assert idle.offered == 1_000 and all(s.queue == 0 for s in idle.stages)
 
 
 @pytest.fixture(scope="module")
