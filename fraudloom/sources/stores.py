@@ -44,7 +44,7 @@ class LatestStore:
         upsert_latest(self.path, self.key, self.order)(rows, batch)
 
     def table(self) -> DataFrame | None:
-        return latest(self.spark, self.path)
+        return latest(self.spark, self.path, self.key, self.order)
 
     def get(self, keys: DataFrame) -> DataFrame:
         t = self.table()

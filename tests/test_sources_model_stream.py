@@ -1,3 +1,5 @@
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import Window
@@ -163,13 +165,18 @@ def test_stream_decisions_audit_and_store(spark, sf_dir, tmp_path):
     a = spark.read.parquet(str(tmp_path / "audit"))
     assert a.count() == 200 and a.select("rule_version").distinct().first()[0] == "live"
     put = ST.upsert_latest(str(tmp_path / "kv"), "card_token", "us")
-    assert ST.latest(spark, str(tmp_path / "kv")) is None
+    now = lambda: ST.latest(spark, str(tmp_path / "kv"), "card_token", "us")
+    assert now() is None
     one = txn.select("card_token", "us", "amount_minor")
     put(one.filter("txn_id < 100"), 0)
     put(one.filter("txn_id >= 100"), 1)
     put(one.filter("txn_id >= 100"), 1)
-    kv = ST.latest(spark, str(tmp_path / "kv"))
+    kv = now()
+    assert sorted(os.listdir(tmp_path / "kv")) == ["d=000000000000", "d=000000000001"]
     assert kv.count() == one.select("card_token").distinct().count() and kv.agg(F.max("us")).first()[0] == one.agg(F.max("us")).first()[0]
+    for n in range(2, 17):
+        put(one.filter(F.col("us") == kv.agg(F.min("us")).first()[0]).withColumn("us", F.col("us") + n), n)
+    assert "v=000000000015" in os.listdir(tmp_path / "kv") and now().count() == kv.count() and now().agg(F.min("us")).first()[0] > kv.agg(F.min("us")).first()[0]
     fresh = ST.with_freshness(txn, kv.select("card_token", "us"), "card_token", 0)
     assert fresh.filter("feature_status = 'OK'").count() == 200
 
