@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -29,7 +30,8 @@ class Scratch:
     """A folder of written tables under the shared one.
 
     An operator's result may read them lazily, so it can't remove them
-    itself: its caller does, after writing the result.
+    itself: its caller does, after writing the result, or the end of the
+    process.
     """
 
     def __init__(self, spark: SparkSession, name: str):
@@ -63,3 +65,15 @@ class Scratch:
         self._delete(self.base)
         if self in OPENED:
             OPENED.remove(self)
+
+
+def remove_all() -> None:
+    """Deletes every folder still open whose session is running; at the end of the process this is done anyway."""
+    for s in list(OPENED):
+        if s.spark.sparkContext._jsc is None:  # stopped
+            OPENED.remove(s)
+        else:
+            s.remove()
+
+
+atexit.register(remove_all)
