@@ -52,3 +52,16 @@ class LatestStore:
             raise LookupError(f"nothing was put into {self.path}")
         return keys.join(t.withColumn("found", F.lit(True)), self.key, "left").withColumn("found", F.coalesce("found", F.lit(False)))
 
+
+class CountingSink:
+    """foreachBatch sink that counts rows; a batch that is repeated after a failure counts once."""
+
+    def __init__(self):
+        self.batches: dict[int, int] = {}
+
+    def __call__(self, batch: DataFrame, n: int) -> None:
+        self.batches[n] = batch.count()
+
+    @property
+    def rows(self) -> int:
+        return sum(self.batches.values())

@@ -11,6 +11,7 @@ from fraudloom.operators.decide import MODEL_REASONS
 from fraudloom.operators import windows as W
 from fraudloom.sources import requests as RQ
 from fraudloom.sources import simulator as SIM
+from fraudloom.sources.stores import CountingSink
 from fraudloom.sources import tables as T
 from fraudloom.streaming import pipelines as ST
 
@@ -164,6 +165,12 @@ def test_stream_decisions_audit_and_store(spark, sf_dir, tmp_path):
     q.awaitTermination()
     a = spark.read.parquet(str(tmp_path / "audit"))
     assert a.count() == 200 and a.select("rule_version").distinct().first()[0] == "live"
+    count = CountingSink()
+    ST.decisions(ST.source(spark, str(tmp_path / "in"), txn.schema), count, str(tmp_path / "cp2")).awaitTermination()
+    assert count.rows == 200
+    count(txn.limit(3), 7)
+    count(txn.limit(3), 7)
+    assert count.rows == 203
     put = ST.upsert_latest(str(tmp_path / "kv"), "card_token", "us")
     now = lambda: ST.latest(spark, str(tmp_path / "kv"), "card_token", "us")
     assert now() is None

@@ -35,3 +35,19 @@ def test_strict_json(spark, sf_dir):
         with pytest.raises(Exception):
             spark.createDataFrame([(bad,)], "t string").select(J.decode(F.col("t")).alias("x")).collect()
     assert spark.createDataFrame([(None,)], "t string").select(J.decode(F.col("t")).alias("x")).first().x is None
+
+
+def test_sar_settings_are_read_whole_or_refused(tmp_path):
+    import json
+    from dataclasses import asdict
+
+    from fraudloom.config import ConfigError, Sar, load_sar
+
+    given = {k: v + 1 if isinstance(v, int) and not isinstance(v, bool) else v for k, v in asdict(Sar()).items()}
+    (tmp_path / "sar.json").write_text(json.dumps(given))
+    got = load_sar(str(tmp_path / "sar.json"))
+    assert asdict(got) == given != asdict(Sar())
+    first = next(iter(given))
+    (tmp_path / "less.json").write_text(json.dumps({k: v for k, v in given.items() if k != first}))
+    with pytest.raises(ConfigError, match=first):
+        load_sar(str(tmp_path / "less.json"))
