@@ -41,10 +41,11 @@ CONTAINER = frozenset("article main section div td body html blockquote center f
 NAMEABLE = frozenset("aside div dl fieldset figure form header ol section table td ul".split())
 HEADING, PROSE = ("h1", "h2", "h3", "h4", "h5", "h6"), ("p", "blockquote", "pre")
 CLOSES_P = BLOCK - frozenset("body html caption tbody td tfoot th thead tr title legend summary dt dd".split())
-# Words in class and id that name boilerplate, words beside them that add nothing, parts of an article (whose header isn't boilerplate), and words that turn a name round.
-NAMES = frozenset("ad ads advert adverts advertisement advertising banner sponsor sponsored sponsors promo promotion nav navbar navigation menu breadcrumb breadcrumbs footer sidebar aside widget widgets related recommended recommendations share sharing social cookie cookies consent notice notices gdpr popup modal overlay newsletter subscribe signup login comment comments commentlist replies respond disqus pagination pager toolbar skip legal copyright".split())
+# Words in class and id that name boilerplate, the first ones also beside other words; words that add nothing, parts of an article (whose header isn't boilerplate), and words that turn a name round.
+FIRM = frozenset("ad ads advert adverts advertisement advertising breadcrumb breadcrumbs comment comments commentlist cookie cookies disqus footer gdpr nav navbar navigation newsletter pagination sidebar".split())
+NAMES = FIRM | frozenset("alert alerts aside banner consent copyright disclaimer legal login menu modal notice notices overlay pager popup promo promotion recommendations recommended related replies reply respond responses share sharing signup skip social sponsor sponsored sponsors subscribe toolbar widget widgets".split())
 HEADER_NAMES = frozenset("header masthead".split())
-PLAIN = frozenset("a area bar block bottom box btn button buttons container fixed float form global group holder icons inner item items left links list main message module new news outer panel posts primary right row section site slot small space stories sub text thread title top unit user wrap wrapper".split())
+PLAIN = frozenset("a area bar block bottom box btn button buttons container fixed float form global group holder icons inner item items left links list main message module new news outer panel posts primary reader readers right row section site slot small space stories sub text thread title top unit user wrap wrapper".split())
 OWNERS = frozenset("article body content entry page post story".split())
 TURNS = frozenset("has layout no with without".split())
 BOILER_ROLE = frozenset("navigation banner contentinfo complementary search alert dialog menu menubar".split())
@@ -56,10 +57,11 @@ LOW = 10  # characters a tag; menus have fewer
 
 
 @lru_cache(maxsize=10_000)
-def named(value: str, header: bool = True) -> str:
+def named(value: str, header: bool = True, container: bool = True) -> str:
     """What a class or id says: "strong" if a word of it names boilerplate and nothing else, "weak" if it says more, else "".
 
     header: whether header names count, which they don't inside an article.
+    container: whether the FIRM names of a container are strong whatever else is said.
     """
     found = ""
     known = NAMES | HEADER_NAMES if header else NAMES
@@ -71,7 +73,7 @@ def named(value: str, header: bool = True) -> str:
         rest = [x for x in parts if x not in known and x not in PLAIN]
         if any(x in TURNS for x in rest) or (OWNERS.intersection(rest) and HEADER_NAMES.issuperset(hit)):
             continue
-        if OWNERS.issuperset(rest):
+        if OWNERS.issuperset(rest) or (container and FIRM.intersection(hit)):
             return "strong"
         found = "weak"
     return found
@@ -140,7 +142,7 @@ class _Blocks(HTMLParser):
         if tag not in ("html", "body", "main"):
             for k, v in attrs:
                 if k in ("class", "id") and v and name != "strong":
-                    name = named(v, not inside) or name
+                    name = named(v, not inside, tag in NAMEABLE) or name
                 elif (k == "role" and v and v.lower() in BOILER_ROLE) or k == "hidden" or (k == "aria-hidden" and v == "true"):
                     skipped = True
         if skipped:
@@ -295,7 +297,10 @@ def select(lines: list[Line]) -> list[Line]:
     rows = [(x, s) for x, s in zip(lines, solid) if x.path[: len(at)] == at]
     start, end = (next(k for k in order if rows[k][1]) for order in (range(len(rows)), range(len(rows) - 1, -1, -1)))
     mixed = {x.path for x, _ in rows if x.kind != "l"}
-    return [x for k, (x, _) in enumerate(rows) if (k < start and x.kind.isdigit()) or (start <= k <= end and x.path in mixed)]
+    # Headings before it: the last one of the first level, others only if no links stand in between.
+    after = max((k for k in range(start) if rows[k][0].kind == "l"), default=-1)
+    title = max((k for k in range(start) if rows[k][0].kind == "1"), default=-1)
+    return [x for k, (x, _) in enumerate(rows) if (k < start and x.kind.isdigit() and (k == title or k > after)) or (start <= k <= end and x.path in mixed)]
 
 
 def main_text(html: str | None) -> str:

@@ -94,6 +94,8 @@ def test_names_alone_drop_nothing_of_an_article():
         (f"<div class='content-with-sidebar'><div class=text><p>{long}</p></div><div class='sidebar right'><p>{long} Or not.</p></div></div>", [long]),
         (f"<div class='page-wrapper comments'><main><p>{long}</p></main></div>", [long]),
         (f"<article><p>{long}</p><div class='share-links'><a href=/f>Share on one</a></div><div class='related-posts'><p>{long} Another.</p></div><p>End.</p></article>", [long, "End."]),
+        (f"<article><p>{long}</p><section class='reader-comments'><p>{long} So they say.</p></section><div id='google_ads_top'>Buy this thing now, it is good</div><p class='newsletter-sales'>Sales rose.</p></article>", [long, "Sales rose."]),
+        (f"<div class=left><h3>Popular</h3><ul><li><a href=/a>one story</a></li><li><a href=/b>other</a></li></ul></div><div><h1>T</h1><h2>Sub</h2><p>{long}</p></div>", ["T", "Sub", long]),
         (f"<div><p>{long}</p><ul><li>one thing to note</li><li>two</li></ul><p>{long}</p></div>", [long, "one thing to note", "two", long]),
     ):
         assert H.main_text(page(body)) == "\n\n".join(want), body
