@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from contextlib import suppress
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -68,7 +69,7 @@ class Scratch:
 
 
 def remove_all() -> None:
-    """Deletes every folder still open whose session is running; at the end of the process this is done anyway."""
+    """Deletes every folder still open whose session is running."""
     for s in list(OPENED):
         if s.spark.sparkContext._jsc is None:  # stopped
             OPENED.remove(s)
@@ -76,4 +77,7 @@ def remove_all() -> None:
             s.remove()
 
 
-atexit.register(remove_all)
+@atexit.register
+def _at_exit() -> None:
+    with suppress(Exception):  # the JVM may be gone; then nobody reads the folders either
+        remove_all()
