@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fraudloom.llm import ann, html_text, lines, mixing, quality, secrets, simhash, spm, toxicity, warc
+from fraudloom.llm import align, ann, html_text, lines, mixing, quality, secrets, simhash, spm, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_warc": warc.query,
     "op9_secrets": secrets.query,
     "op10_html_text": html_text.query,
+    "op11_alignment": align.query,
 }
 
 ORACLE_SQL = {
