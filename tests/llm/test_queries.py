@@ -10,7 +10,7 @@ from fraudloom.llm import queries
 
 
 def test_one_query_for_each_operator():
-    assert [int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES] == list(range(1, 12))
+    assert [int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES] == list(range(1, 14))
     assert "pipeline" in entry.queries() and set(queries.QUERIES) <= set(entry.queries())
 
 
