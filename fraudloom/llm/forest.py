@@ -36,6 +36,8 @@ ORDERS, LEAD = 24, 3
 LABELS = ORDERS * LEAD
 #: Neighbours looked at before a row of an order; labels that a pair must share to be verified (at 0.8 it shares 58 of 72, give or take 3.4); bits of 64 that may differ (6.4, give or take 2.4).
 NEAR, AGREE, RADIUS = 4, 36, 20
+#: Neighbours of a document that are verified first, those with most labels in common; one alone would leave a third of a group's documents in pairs of their own.
+LINKS = 4
 #: Documents of other groups from which on a region goes one level deeper.
 CROWD = 8192
 _MAX = 9223372036854775807
@@ -137,7 +139,8 @@ def groups(s: common.Scratch, docs: DataFrame, shingle: int, similarity: float,
     turned = F.expr(f"concat(substring(labels, {2 * LEAD} * tree + 1), substring(labels, 1, {2 * LEAD} * tree))")
     orders = s.table(held.select("node", "tree").join(nodes.select("node", "labels"), "node").select("tree", turned.alias("labels"), "node"), "orders")
     order = orders.repartitionByRange(n, "tree", "labels", "node").sortWithinPartitions("tree", "labels", "node")
-    near = order.mapInArrow(_neighbours, "node long, other long, agree long").groupBy("node").agg(F.max(F.struct("agree", "other"))["other"].alias("other"))
+    best = order.mapInArrow(_neighbours, "node long, other long, agree long").groupBy("node").agg(F.sort_array(F.collect_set(F.struct("agree", "other")), asc=False).alias("x"))  # ORDERS at most
+    near = best.select("node", F.explode(F.slice("x", 1, LINKS)["other"]).alias("other"))
     near = s.table(near.select(F.greatest("node", "other").alias("u"), F.least("node", "other").alias("v")).distinct(), "near")
     words = s.table(texts(near.select(F.col("u").alias("node")).union(near.select("v"))), "texts")
     both = near.join(words.select(F.col("node").alias("u"), F.col("text").alias("tu")), "u").join(words.select(F.col("node").alias("v"), F.col("text").alias("tv")), "v")
