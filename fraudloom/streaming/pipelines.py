@@ -1,23 +1,21 @@
-"""Structured Streaming twins: exact per-event windows, decisions in micro-batches, stores, hop windows, running metrics."""
+"""Structured Streaming twins: decisions in micro-batches, stores, hop windows, running metrics; windows and verdicts by keyed state and joins of streams are modules of their own."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from fraudloom.config import Reloader, Rules
 from fraudloom.operators import decide as D
 from fraudloom.operators import rules as R
-from fraudloom.operators.windows import HORIZONS, fan_out
+from fraudloom.operators.windows import fan_out
+from fraudloom.streaming.joins import poisoning
+from fraudloom.streaming.state import OUT, entity_windows, replayed
 
-RETENTION_US = 2_592_000 * 1_000_000 + 999_999
-STATE = "us array<bigint>, seq array<bigint>, amount array<bigint>, device array<string>, declined array<boolean>"
-OUT = "entity string, seq bigint, us bigint, " + ", ".join(f"cnt_{h} bigint, sum_{h} bigint, sq_{h} string, dev_{h} bigint, dec_{h} bigint" for h in HORIZONS)
+__all__ = ["OUT", "entity_windows", "poisoning", "replayed"]
 
 
 def source(spark: SparkSession, path: str, schema, fmt: str = "parquet", **options: str) -> DataFrame:
@@ -30,47 +28,6 @@ def source(spark: SparkSession, path: str, schema, fmt: str = "parquet", **optio
     return r.load(path) if path else r.load()
 
 
-def _windows(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Events of one entity in arrival order: each is added, events over 30 days older than it leave from the front, its windows go out.
-
-    A late event still counts in windows that reach it; an event later than
-    the one looked at doesn't.
-    """
-    have = [list(x) for x in state.get] if state.exists else [[], [], [], [], []]
-    us, seq, amount, device, declined = have
-    rows = []
-    for pdf in batches:
-        for e in pdf.sort_values("seq").itertuples():
-            us.append(int(e.us))
-            seq.append(int(e.seq))
-            amount.append(int(e.amount_minor))
-            device.append(e.device)
-            declined.append(bool(e.declined))
-            k = 0
-            while us[k] < int(e.us) - RETENTION_US:
-                k += 1
-            if k:
-                for x in have:
-                    del x[:k]
-            out = [key[0], int(e.seq), int(e.us)]
-            ages = [int(e.us) - u for u in us]
-            for secs in HORIZONS.values():
-                inside = [j for j, a in enumerate(ages) if 0 <= a <= secs * 1_000_000 + 999_999]
-                out += [len(inside), sum(amount[j] for j in inside), str(sum(amount[j] ** 2 for j in inside)), len({device[j] for j in inside if device[j] is not None}), sum(declined[j] for j in inside)]
-            rows.append(out)
-    state.update((us, seq, amount, device, declined))
-    yield pd.DataFrame(rows, columns=[c.split()[0] for c in OUT.split(", ")])
-
-
-def entity_windows(events: DataFrame) -> DataFrame:
-    """Streaming six windows: events (entity, seq, us, amount_minor, device, declined) -> a row an event, as WIN-1 in batch.
-
-    State is bounded by the retention; keep it in RocksDB on a cluster.
-    """
-    e = events.select("entity", "seq", "us", "amount_minor", "device", "declined")
-    return e.groupBy("entity").applyInPandasWithState(_windows, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
-
-
 def keyed(txn: DataFrame) -> DataFrame:
     return fan_out(txn).withColumnRenamed("txn_id", "seq")
 
@@ -89,7 +46,7 @@ def sessions(events: DataFrame, key: str = "user_id", ts: str = "ts", gap: str =
 
 
 def deduplicated(requests: DataFrame, key: str = "idempotency_key", ts: str = "occurred_at", late: str = "1 hour") -> DataFrame:
-    """First arrival of each key within the watermark; empty keys are rejected."""
+    """First arrival of each key within the watermark, retries dropped; replayed() answers them. Empty keys are rejected."""
     return requests.filter(F.col(key) != "").withWatermark(ts, late).dropDuplicatesWithinWatermark([key])
 
 
