@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from fraudloom.config import MODEL_HIGH_RISK_MCC
 from fraudloom.functions import scalars as S
+from fraudloom.operators.asof import previous
 
 # Horizons in seconds.
 HORIZONS = {"1m": 60, "5m": 300, "1h": 3_600, "24h": 86_400, "7d": 604_800, "30d": 2_592_000}
@@ -171,9 +172,8 @@ def point_in_time(events: DataFrame, asof: DataFrame, key: str) -> DataFrame:
 def lagged(txn: DataFrame, key: str = "card_token", seq: str = "txn_id", ties: str = "peers") -> DataFrame:
     """Windows as a decision sees them: those that the key's previous event left behind, null before the first."""
     w = six_windows(txn, key, seq, ties)
-    prev = Window.partitionBy(key).orderBy("us", seq)
     names = [f"{p}_{h}" for h in HORIZONS for p in ("cnt", "sum", "sq", "dev", "dec")]
-    return w.select(*txn.columns, *[F.lag(n).over(prev).alias(n) for n in names])
+    return previous(w, key, "us", [seq], names, names).select(*txn.columns, *names)
 
 
 def deviations(df: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from fraudloom.config import Aml, Rules, Sar, Velocity
 from fraudloom.functions import scalars as S
+from fraudloom.operators import asof as A
 from fraudloom.operators import compliance as C
 from fraudloom.operators import crypto as X
 from fraudloom.operators import decide as D
@@ -95,6 +96,23 @@ def features_lagged(spark, sf):
     return d.select("txn_id", "cnt_24h", "cnt_30d", "sum_30d", F.round("amount_ratio", 6).alias("amount_ratio"), F.round("amount_zscore", 6).alias("amount_zscore"), "velocity_count")
 
 
+@query(Q.ASOF_SHIPMENT)
+def asof_last_shipment(spark, sf):
+    """Each order with what was last shipped to its customer by then."""
+    us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    o = T.load(spark, sf, "orders").select("o_orderkey", "o_custkey", us("o_orderdate").alias("us"))
+    ship = T.load(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", us("l_shipdate").alias("us"), T.minor("l_extendedprice").alias("minor")).join(o.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
+    return A.asof_join(o, ship, "o_custkey", "us", "us", ["l_orderkey", "l_linenumber"], ["l_orderkey", "l_linenumber", "us", "minor"]).drop("us")
+
+
+@query(Q.ASOF_DECLINE)
+def asof_last_decline(spark, sf):
+    """Each transaction with the merchant's last declined one strictly before it, six hours at most."""
+    t = T.txn(spark, sf).select("txn_id", "merchant", "us", "amount_minor", "declined")
+    d = t.filter("declined").select("merchant", "us", "txn_id", "amount_minor")
+    return A.asof_join(t, d, "merchant", "us", "us", ["txn_id"], ["txn_id", "amount_minor"], span_us=A.DAY_US, within_us=6 * 3_600_000_000, strict=True).select("txn_id", "asof_txn_id", "asof_amount_minor")
+
+
 @query(Q.VECTOR)
 def model_vector(spark, sf):
     d = _featured(spark, sf)

@@ -284,3 +284,10 @@ SESSIONS = """WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INT
 s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT epoch_us(min(ts)) AS start_us, user_id, count(*) AS n FROM s GROUP BY user_id, k"""
 MOMENTS = f"""WITH {TXN}, g AS (SELECT card_token, count(*) AS n, CAST(sum(amount_minor) AS DOUBLE) AS t, CAST(sum(CAST(amount_minor AS HUGEINT) * amount_minor) AS DOUBLE) AS q FROM txn GROUP BY card_token)
 SELECT card_token, round(t / n, 6) AS mean, round(CASE WHEN n >= 2 THEN sqrt(greatest(0, q / n - (t / n) * (t / n))) ELSE 0 END, 4) AS std FROM g"""
+
+ASOF_SHIPMENT = """WITH s AS (
+  SELECT o_custkey, epoch_us(l_shipdate) AS us, max(ROW(l_orderkey, l_linenumber, CAST(round(l_extendedprice * 100) AS BIGINT))) AS x FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2)
+SELECT o_orderkey, o.o_custkey, x[1] AS asof_l_orderkey, x[2] AS asof_l_linenumber, s.us AS asof_us, x[3] AS asof_minor FROM orders o ASOF LEFT JOIN s ON o.o_custkey = s.o_custkey AND epoch_us(o.o_orderdate) >= s.us"""
+ASOF_DECLINE = f"""WITH {TXN}, d AS (SELECT merchant, us, max(txn_id) AS txn_id, arg_max(amount_minor, txn_id) AS amount_minor FROM txn WHERE declined GROUP BY 1, 2)
+SELECT t.txn_id, CASE WHEN t.us - d.us <= 21600000000 THEN d.txn_id END AS asof_txn_id, CASE WHEN t.us - d.us <= 21600000000 THEN d.amount_minor END AS asof_amount_minor
+FROM txn t ASOF LEFT JOIN d ON t.merchant = d.merchant AND t.us > d.us"""
