@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from fraudloom.config import Aml, Sar
 from fraudloom.functions import scalars as S
 from fraudloom.functions.udfs import jaro_winkler_udf
+from fraudloom.operators.names import similar_names
 
 SCREEN_THRESHOLD = 0.88
 STRONG_THRESHOLD = 0.95
-WATCHLIST_BROADCAST = 200_000
 
 
 def structuring(tx: DataFrame, c: Aml = Aml()) -> DataFrame:
@@ -55,29 +55,38 @@ def screen(subjects: DataFrame, watchlist: DataFrame, threshold: float = SCREEN_
 
     Names match by Jaro-Winkler or equal Soundex; an alert needs a secondary
     identifier in common (both known), or an OFAC_SDN entry with a score of
-    `strong`. Only distinct names are paired, and only where the lengths (Jaro
-    is at most (2 + m/n) / 3) or an equal Soundex allow a match, which loses
-    nothing; the score of a pair of names is computed once and joined back to
-    rows on both sides by equality.
+    `strong`. Jaro-Winkler goes over distinct names by the trie join; a pair
+    that only sounds alike needs a common identifier, so it is joined by
+    Soundex and identifier. Null names match nothing.
     """
-    s = subjects.select("subject_id", S.person_name(F.col("name")).alias("sn"), *[F.col(c).alias(f"s_{c}") for c in ("dob", "nationality", "national_id")])
-    w = watchlist.select("entry_id", F.col("name").alias("matched_name"), S.person_name(F.col("name")).alias("wn"), "list", *[F.col(c).alias(f"w_{c}") for c in ("dob", "nationality", "national_id")])
-    names = s.select("sn", S.soundex(F.col("sn")).alias("ss"), F.length("sn").alias("sl")).distinct()
-    listed = w.select("wn", S.soundex(F.col("wn")).alias("ws"), F.length("wn").alias("wl")).distinct()
-    if listed.limit(WATCHLIST_BROADCAST + 1).count() <= WATCHLIST_BROADCAST:
-        listed = F.broadcast(listed)  # a checked number of names; beyond it Spark pairs the names in blocks
-    # Jaro is at most (2 + m/n) / 3; the boost adds up to 0.4 of the rest.
-    ratio = F.least("sl", "wl") / F.greatest("sl", "wl", F.lit(1))
-    bound = (2 + ratio) / 3
-    possible = (bound + 0.4 * (1 - bound) >= threshold) | (F.col("ss") == F.col("ws"))
-    pairs = names.join(listed, possible).withColumn("name_score", jaro_winkler_udf("sn", "wn"))
-    pairs = pairs.filter((F.col("name_score") >= threshold) | (F.col("ss") == F.col("ws"))).select("sn", "wn", "name_score")
-    m = s.join(pairs, "sn").join(w, "wn")
-    same = F.array_compact(F.array(*[F.when(F.col(f"s_{c}") == F.col(f"w_{c}"), F.lit(c)) for c in ("dob", "nationality", "national_id")]))
-    m = m.withColumn("corroboration", same)
+    known = ("dob", "nationality", "national_id")
+    s = subjects.select("subject_id", S.person_name(F.col("name")).alias("sn"), *[F.col(c).alias(f"s_{c}") for c in known])
+    w = watchlist.select("entry_id", F.col("name").alias("matched_name"), S.person_name(F.col("name")).alias("wn"), "list", *[F.col(c).alias(f"w_{c}") for c in known])
+    least = min(threshold, strong)
+    pairs = similar_names(s.select("sn"), w.select("wn"), threshold).select(F.col("a").alias("sn"), F.col("b").alias("wn"), "name_score")
+    by_name = s.join(pairs, "sn").join(w, "wn")
+    ss, ws = s.withColumn("code", S.soundex(F.col("sn"))), w.withColumn("code", S.soundex(F.col("wn")))
+    by_sound = None
+    for k, c in enumerate(known):  # a pair comes with the first identifier that it has in common
+        new = F.lit(True)
+        for e in known[:k]:
+            new &= F.coalesce(F.col(f"s_{e}") != F.col(f"w_{e}"), F.lit(True))
+        one = ss.join(ws.withColumnRenamed("code", "w_code"), (F.col("code") == F.col("w_code")) & (F.col(f"s_{c}") == F.col(f"w_{c}")) & new).drop("w_code")
+        by_sound = one if by_sound is None else by_sound.unionByName(one)
+    by_sound = by_sound.drop("code").withColumn("name_score", jaro_winkler_udf("sn", "wn")).filter(F.col("name_score") < threshold)
+    m = by_name.unionByName(by_sound)
+    if least < threshold:  # names that sound alike and reach only `strong`
+        more = ss.join(ws.filter("list = 'OFAC_SDN'"), "code").drop("code").withColumn("name_score", jaro_winkler_udf("sn", "wn")).filter((F.col("name_score") >= least) & (F.col("name_score") < threshold))
+        m = m.unionByName(more.filter(F.size(_common(known)) == 0))
+    m = m.withColumn("corroboration", _common(known))
     return m.filter((F.size("corroboration") > 0) | ((F.col("list") == "OFAC_SDN") & (F.col("name_score") >= strong))).select("subject_id", "entry_id", "matched_name", "list", "name_score", "corroboration")
 
 
+def _common(known: tuple[str, ...]) -> Column:
+    """Which identifiers both sides know and share."""
+    return F.array_compact(F.array(*[F.when(F.col(f"s_{c}") == F.col(f"w_{c}"), F.lit(c)) for c in known]))
+
+
 def rescreen_delta(subjects: DataFrame, old: DataFrame, new: DataFrame, **kw) -> DataFrame:
     """Screens all subjects against the entries that are new only."""
     return screen(subjects, new.exceptAll(old.select(*new.columns)), **kw)
