@@ -20,6 +20,7 @@ from fraudloom.operators import graph as G
 from fraudloom.operators import labels as L
 from fraudloom.operators import metrics as M
 from fraudloom.operators import p2p as P
+from fraudloom.operators import rings as RG
 from fraudloom.operators import rules as R
 from fraudloom.operators import windows as W
 from fraudloom.plans import sql as Q
@@ -612,6 +613,17 @@ def reject_inferred(spark, sf):
     return ML.reject_inference(d.filter("id % 3 <> 0"), d.filter("id % 3 = 0")).select("id", F.round("p", 6).alias("p"))
 
 
+@query(Q.STRONG)
+def strong_components(spark, sf):
+    return RG.strong_components(T.edges(spark, sf, None))
+
+
+@query(Q.RINGS_DAY)
+def temporal_rings_day(spark, sf):
+    """Rings of any length over all transfers, each within a day."""
+    return RG.rings_within(T.edges(spark, sf, None), A.DAY_US).select("ring", F.col("length").cast("long").alias("length"))
+
+
 @query()
 def graph_features(spark, sf):
     return G.feature_rows(T.edges(spark, sf, None), G.bad_nodes(spark, "n1", "n2", "n3"))

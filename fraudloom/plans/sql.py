@@ -291,3 +291,15 @@ SELECT o_orderkey, o.o_custkey, x[1] AS asof_l_orderkey, x[2] AS asof_l_linenumb
 ASOF_DECLINE = f"""WITH {TXN}, d AS (SELECT merchant, us, max(txn_id) AS txn_id, arg_max(amount_minor, txn_id) AS amount_minor FROM txn WHERE declined GROUP BY 1, 2)
 SELECT t.txn_id, CASE WHEN t.us - d.us <= 21600000000 THEN d.txn_id END AS asof_txn_id, CASE WHEN t.us - d.us <= 21600000000 THEN d.amount_minor END AS asof_amount_minor
 FROM txn t ASOF LEFT JOIN d ON t.merchant = d.merchant AND t.us > d.us"""
+
+_ALL = edges().replace(" WHERE amount_minor >= 15000", "")
+STRONG = f"""WITH RECURSIVE {_ALL}, p AS (SELECT DISTINCT src, dst FROM e WHERE src <> dst), nd AS (SELECT src AS node FROM e UNION SELECT dst FROM e),
+re AS (SELECT node AS a, node AS b FROM nd UNION SELECT re.a, p.dst FROM re JOIN p ON p.src = re.b)
+SELECT x.a AS node, max(x.b) AS component FROM re x JOIN re y ON x.a = y.b AND x.b = y.a GROUP BY x.a"""
+RINGS_DAY = f"""WITH RECURSIVE {_ALL}, p AS (SELECT src, dst, max(time) AS t FROM e WHERE src <> dst GROUP BY 1, 2),
+w AS (
+  SELECT src AS head, dst AS tail, [src, dst] AS nodes, t AS t0, t AS last, ROW(t, src, dst) AS f, true AS least, false AS closed FROM p
+  UNION ALL
+  SELECT head, dst, CASE WHEN dst = head THEN nodes ELSE list_append(nodes, dst) END, t0, t, f, least AND ROW(t, p.src, p.dst) > f, dst = head FROM w JOIN p ON p.src = w.tail
+  WHERE NOT closed AND t >= last AND t - t0 <= 86400000000 AND (dst = head OR NOT list_contains(nodes, dst)))
+SELECT array_to_string(list_concat(nodes[k:], nodes[:k - 1]), '>') AS ring, CAST(len(nodes) AS BIGINT) AS length FROM (SELECT nodes, list_position(nodes, list_min(nodes)) AS k FROM w WHERE closed AND (last > t0 OR least))"""
