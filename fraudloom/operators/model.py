@@ -1,4 +1,4 @@
-"""Training, calibration, scoring, export with parity, reject inference and path attributions."""
+"""Training, calibration, scoring, export with parity, reject inference and attributions."""
 
 from __future__ import annotations
 
@@ -14,7 +14,9 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fraudloom.operators.attributions import Paths, shapley
 from fraudloom.operators.decide import MODEL_REASONS
+from fraudloom.operators.onnx_file import encode
 from fraudloom.operators.windows import FEATURES
 
 COLUMNS = [f"f_{n}" for n in FEATURES]
@@ -79,59 +81,28 @@ def trees_of(model: PipelineModel) -> list[tuple[float, list[dict]]]:
     return out
 
 
-def _mean(nodes: list[dict], k: int = 0) -> float:
-    n = nodes[k]
-    if "feature" not in n:
-        return n["value"]
-    a, b = nodes[n["left"]], nodes[n["right"]]
-    return (a["rows"] * _mean(nodes, n["left"]) + b["rows"] * _mean(nodes, n["right"])) / (a["rows"] + b["rows"])
-
-
-def attributions(trees: list[tuple[float, list[dict]]], x: np.ndarray) -> np.ndarray:
-    """Exact Shapley values of the path-dependent expectation, by subsets of the features a tree uses (few at this depth)."""
-    from itertools import combinations
-    from math import factorial
-
-    out = np.zeros(len(x))
-    for w, nodes in trees:
-        used = sorted({n["feature"] for n in nodes if "feature" in n})
-
-        def value(known: frozenset, k: int = 0) -> float:
-            n = nodes[k]
-            if "feature" not in n:
-                return n["value"]
-            if n["feature"] in known:
-                return value(known, n["left"] if x[n["feature"]] <= n["threshold"] else n["right"])
-            a, b = nodes[n["left"]], nodes[n["right"]]
-            return (a["rows"] * value(known, n["left"]) + b["rows"] * value(known, n["right"])) / (a["rows"] + b["rows"])
-
-        m = len(used)
-        cache = {frozenset(c): value(frozenset(c)) for r in range(m + 1) for c in combinations(used, r)}
-        for f in used:
-            rest = [u for u in used if u != f]
-            for r in range(m):
-                share = factorial(r) * factorial(m - r - 1) / factorial(m)
-                for c in combinations(rest, r):
-                    s = frozenset(c)
-                    out[f] += w * share * (cache[s | {f}] - cache[s])
-    return out
+def paths_of(model: PipelineModel) -> list[Paths]:
+    return [Paths.of(nodes, w) for w, nodes in trees_of(model)]
 
 
-def shap_reasons(model: PipelineModel, data: DataFrame, top_k: int = 3) -> DataFrame:
-    """Adds shap_reasons: reason codes of the features that push towards fraud, strongest first."""
-    trees = trees_of(model)
-    names = [code for code, _ in MODEL_REASONS]
+def attributed(model: PipelineModel, data: DataFrame, name: str = "attributions") -> DataFrame:
+    """Adds the exact Shapley values of the eight features and `margin`, the ensemble's output that they explain: base + their sum."""
+    paths = paths_of(model)
+    base = sum(p.mean() for p in paths)
 
-    @F.pandas_udf("array<string>")
-    def reasons(*cols: pd.Series) -> pd.Series:
-        x = np.column_stack([c.to_numpy(float) for c in cols])
-        out = []
-        for row in x:
-            a = attributions(trees, row)
-            out.append([names[k] for k in np.argsort(-a, kind="stable") if a[k] > 0][:top_k])
-        return pd.Series(out)
+    @F.pandas_udf("array<double>")
+    def values(*cols: pd.Series) -> pd.Series:
+        return pd.Series(list(shapley(paths, np.column_stack([c.to_numpy(float) for c in cols]))))
 
-    return data.withColumn("shap_reasons", reasons(*COLUMNS))
+    return data.withColumn(name, values(*COLUMNS)).withColumn("margin", F.aggregate(name, F.lit(float(base)), lambda a, v: a + v))
+
+
+def shap_reasons(model: PipelineModel, data: DataFrame, top_k: int = 3) -> DataFrame:
+    """Adds shap_reasons: reason codes of the features that push towards fraud, strongest first, ties in the features' order."""
+    codes = F.array(*[F.lit(code) for code, _ in MODEL_REASONS])
+    d = attributed(model, data, "_a")
+    up = F.filter(F.transform(F.arrays_zip(F.col("_a").alias("a"), codes.alias("c")), lambda x, k: F.struct((-x["a"]).alias("a"), k.alias("k"), x["c"].alias("c"))), lambda x: x["a"] < 0)
+    return d.withColumn("shap_reasons", F.transform(F.slice(F.array_sort(up), 1, top_k), lambda x: x["c"])).drop("_a", "margin")
 
 
 def export(model: PipelineModel, path: str, sample: DataFrame, vectors: int = 32) -> dict:
@@ -149,14 +120,28 @@ def parity(spark: SparkSession, path: str, fixture: dict) -> float:
     return max((abs(a - b) for a, b in zip(got, fixture["scores"])), default=0.0)
 
 
-def onnx_scorer(path: str, output: str = "probabilities"):
-    """A scorer over an exported ONNX file: column 1 of its probabilities; the session is made once in each worker."""
+def export_onnx(model: PipelineModel, path: str, spark: SparkSession) -> None:
+    """The trees as an ONNX file at any path Spark can write; input `features`, output `probabilities`, fraud second."""
+    data = encode(trees_of(model), len(COLUMNS))
+    hp = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = hp.getFileSystem(spark._jsc.hadoopConfiguration()).create(hp, True)
+    try:
+        out.write(data)
+    finally:
+        out.close()
+
+
+def onnx_scorer(spark: SparkSession, path: str, output: str = "probabilities"):
+    """A scorer over an exported ONNX file: column 1 of its probabilities. Spark reads the file; the session is made once a task."""
+    data = bytes(spark.read.format("binaryFile").load(path).select("content").first()[0])  # one model
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         import onnxruntime
 
-        session = onnxruntime.InferenceSession(path)
+        options = onnxruntime.SessionOptions()
+        options.intra_op_num_threads = 1
+        session = onnxruntime.InferenceSession(data, options)
         name = session.get_inputs()[0].name
         for v in batches:
             x = np.stack(v.to_numpy()).astype(np.float32)

@@ -24,6 +24,7 @@ from fraudloom.operators import rings as RG
 from fraudloom.operators import rules as R
 from fraudloom.operators import windows as W
 from fraudloom.plans import sql as Q
+from fraudloom.scratch import Scratch
 from fraudloom.sources import requests as RQ
 from fraudloom.sources import simulator as SIM
 from fraudloom.sources import tables as T
@@ -605,6 +606,36 @@ def training_metrics(spark, sf):
     return M.average_precision(s).crossJoin(M.recall_at_fpr(s))  # one row each
 
 
+def _event_model(spark, sf):
+    """Boosted trees that tell declined events by their feature vectors, and those rows."""
+    from fraudloom.operators import model as ML
+
+    d = _featured(spark, sf).select(F.col("txn_id").alias("id"), F.col("declined").cast("int").alias("y"), *ML.COLUMNS, "vector")
+    d = Scratch(spark, "events").table(d, "features")  # read by each tree and again for the scores
+    return ML.train(ML.split(d)[0], trees=8, depth=4), d
+
+
+@query()
+def event_attributions(spark, sf):
+    """Exact Shapley values of every event's features under a model trained on events."""
+    from fraudloom.operators import model as ML
+
+    model, d = _event_model(spark, sf)
+    return ML.shap_reasons(model, ML.attributed(model, d).withColumnRenamed("margin", "total")).select(F.col("id").alias("txn_id"), F.round("total", 9).alias("margin"), F.transform("attributions", lambda v: F.round(v, 9)).alias("attributions"), "shap_reasons")
+
+
+@query()
+def exported_scores(spark, sf):
+    """Every event's score by the trained model and by its exported ONNX file."""
+    from fraudloom.operators import model as ML
+
+    model, d = _event_model(spark, sf)
+    path = Scratch(spark, "onnx").path("trees.onnx")
+    ML.export_onnx(model, path, spark)
+    d = ML.onnx_scorer(spark, path)(d).withColumnRenamed("model_score", "exported")
+    return ML.raw_score(model, d).select(F.col("id").alias("txn_id"), F.round("model_score", 6).alias("model_score"), F.round("exported", 4).alias("exported_score"))
+
+
 @query()
 def reject_inferred(spark, sf):
     from fraudloom.operators import model as ML

@@ -83,12 +83,8 @@ def test_training(spark, trained, tmp_path):
 
 def test_attributions_add_up(spark, trained):
     d, m, _ = trained
-    trees = ML.trees_of(m)
-    rows = ML.raw_score(m, d.limit(5)).collect()
-    for r in rows:
-        x = np.array([r[c] for c in ML.COLUMNS])
-        total = sum(w * ML._mean(t) for w, t in trees) + ML.attributions(trees, x).sum()
-        assert 1 / (1 + np.exp(-2 * total)) == pytest.approx(r.model_score, abs=1e-6)
+    for r in ML.raw_score(m, ML.attributed(m, d.limit(50))).collect():
+        assert 1 / (1 + np.exp(-2 * r.margin)) == pytest.approx(r.model_score, abs=1e-6)
     fraud = ML.shap_reasons(m, d.filter("y = 1").limit(3)).collect()
     assert all(0 < len(r.shap_reasons) <= 3 for r in fraud) and {c for r in fraud for c in r.shap_reasons} <= {c for c, _ in MODEL_REASONS}
 
@@ -111,7 +107,7 @@ def test_onnx_scorer(spark, tmp_path):
     path.write_bytes(_field(1, 8) + _field(7, graph) + _field(8, _field(1, b"") + _field(2, 13)))
     x = [[float((3 * k + j) % 5) for j in range(8)] for k in range(30)]
     d = spark.createDataFrame([(k, v) for k, v in enumerate(x)], "id long, vector array<float>")
-    got = [r.model_score for r in ML.onnx_scorer(str(path))(d).orderBy("id").collect()]
+    got = [r.model_score for r in ML.onnx_scorer(spark, str(path))(d).orderBy("id").collect()]
     z = np.array(x) @ w + bias
     assert got == pytest.approx((np.exp(z[:, 1]) / np.exp(z).sum(1)).tolist(), abs=1e-6)
 
