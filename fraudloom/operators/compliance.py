@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fraudloom.config import Aml, Sar
 from fraudloom.functions import scalars as S
 from fraudloom.functions.udfs import jaro_winkler_udf
 from fraudloom.operators.names import similar_names
+from fraudloom.operators.ranges import number
 
 SCREEN_THRESHOLD = 0.88
 STRONG_THRESHOLD = 0.95
@@ -165,26 +166,10 @@ def open_cases(inputs: DataFrame, screening: DataFrame, aml: DataFrame) -> DataF
     b = aml.groupBy("acct").agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", "typology"))), lambda x: F.concat(F.lit("aml:"), x["typology"])).alias("_a"))
     none = F.array().cast("array<string>")
     j = inputs.join(a, "subject_id", "left").join(b, "acct", "left").withColumn("alerts", F.concat(F.coalesce("_s", none), F.coalesce("_a", none))).filter(F.size("alerts") > 0)
-    numbered = number(j.drop("_s", "_a"), "arrival", "case_no")
+    numbered = number(j.drop("_s", "_a"), [F.col("arrival")], "case_no")
     return numbered.withColumn("case_id", F.concat(F.lit("case-"), F.col("case_no"))).withColumn("state", F.lit("alert"))
 
 
-def number(df: DataFrame, order: str, name: str, pieces: int = 64) -> DataFrame:
-    """1, 2, 3 ... in the order of a column, without sorting all rows in one task.
-
-    The rows are cut into ranges of the order; each range is numbered by
-    itself and moved up by the sizes of the ranges before it (one row a range).
-    """
-    lo, hi = df.agg(F.min(order).cast("double"), F.max(order).cast("double")).first()
-    if lo is None:
-        return df.withColumn(name, F.lit(None).cast("long"))
-    width = max((hi - lo) / pieces, 1e-9)
-    d = df.withColumn("_piece", F.least(F.floor((F.col(order).cast("double") - F.lit(lo)) / F.lit(width)), F.lit(pieces - 1)).cast("int"))
-    sizes = d.groupBy("_piece").agg(F.count("*").alias("_n"))
-    before = sizes.alias("a").join(sizes.alias("b"), F.col("b._piece") < F.col("a._piece"), "left").groupBy(F.col("a._piece").alias("_piece")).agg(F.coalesce(F.sum("b._n"), F.lit(0)).alias("_before"))
-    return d.withColumn("_r", F.row_number().over(Window.partitionBy("_piece").orderBy(order))).join(F.broadcast(before), "_piece").withColumn(name, F.col("_r") + F.col("_before")).drop("_piece", "_r", "_before")
-
-
 def case_views(cases: DataFrame) -> DataFrame:
     """The analyst's read model, risk order; enrichment arrays are empty until joined."""
     e = F.array().cast("array<string>")

@@ -7,11 +7,12 @@ from heapq import heapify, heappop, heappush
 from itertools import count
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fraudloom.functions import scalars as S
 from fraudloom.operators.components import connected_components
+from fraudloom.operators.ranges import number
 from fraudloom.scratch import Scratch
 
 STRONG_KINDS = ("device", "email", "phone", "ip", "national_id", "account")
@@ -256,24 +257,10 @@ def communities(e: DataFrame) -> DataFrame:
         return pd.DataFrame([(n, pdf.component.iloc[0], min(c), len(c)) for c in got for n in c], columns=["node", "component", "first", "community_size"])
 
     found = s.table(rows.groupBy("component").applyInPandas(run, "node string, component string, first string, community_size long"), "found")
-    firsts = number(found.filter("node = first").select("first", "community_size"), s)
+    firsts = number(found.filter("node = first").select("first", "community_size"), [F.desc("community_size"), F.col("first")], "community").withColumn("community", F.col("community") - 1)
     return found.join(firsts, "first").select("node", "component", "community", "community_size")
 
 
-def number(firsts: DataFrame, s: Scratch) -> DataFrame:
-    """(first, community): numbers from 0 by falling size, then by first; ranges are numbered apart, each after the count of those before it."""
-    spark = firsts.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cut = s.table(firsts.select((-F.col("community_size")).alias("neg"), "first").repartitionByRange(n, "neg", "first").withColumn("piece", F.spark_partition_id()), "cut")
-    below, counts = 0, {}
-    for r in sorted(cut.groupBy("piece").agg(F.count("*").alias("n")).collect()):  # a row each range
-        counts[r.piece] = below
-        below += r.n
-    start = F.create_map(*[F.lit(x) for p in counts.items() for x in p])[F.col("piece")] if counts else F.lit(0)
-    w = Window.partitionBy("piece").orderBy("neg", "first")
-    return cut.select("first", (start + F.row_number().over(w) - 1).cast("long").alias("community"))
-
-
 def label_propagation(e: DataFrame, rounds: int = 5) -> DataFrame:
     """(node, label): every node takes the most frequent label around it, ties to the smallest; an approximation that scales out."""
     s = Scratch(e.sparkSession, "lpa")

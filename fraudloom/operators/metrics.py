@@ -1,32 +1,22 @@
 """Evaluation of rankings under imbalance, drift, nearest-rank percentiles.
 
-Cumulative counts over all scores come from per-score totals that are cut into
-ranges of the score: each range is cumulated by itself and moved up by the
-totals above it, so no task sorts everything.
+Cumulative counts over all scores come from per-score totals by quantile
+ranges of the score, so no task sorts everything.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-PIECES = 64
-
+from fraudloom.operators.ranges import nearest_ranks, running
 
 def curve(scored: DataFrame) -> DataFrame:
     """scored (y, score) -> a row for each distinct score: tp and fp with scores at least so high, and totals p, n."""
     g = scored.groupBy("score").agg(F.sum("y").cast("long").alias("pos"), F.sum(1 - F.col("y")).cast("long").alias("neg"))
-    lo, hi = scored.agg(F.min("score"), F.max("score")).first()
-    if lo is None:
-        return g.select("score", F.col("pos").alias("tp"), F.col("neg").alias("fp"), F.col("pos").alias("p"), F.col("neg").alias("n"))
-    width = max((hi - lo) / PIECES, 1e-300)
-    g = g.withColumn("_piece", F.least(F.floor((F.col("score") - F.lit(lo)) / F.lit(width)), F.lit(PIECES - 1)).cast("int"))
-    totals = g.groupBy("_piece").agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
-    above = totals.alias("a").join(totals.alias("b"), F.col("b._piece") > F.col("a._piece"), "left").groupBy(F.col("a._piece").alias("_piece")).agg(F.coalesce(F.sum("b._p"), F.lit(0)).alias("_ap"), F.coalesce(F.sum("b._n"), F.lit(0)).alias("_an"))
-    every = totals.agg(F.sum("_p").alias("p"), F.sum("_n").alias("n"))
-    w = Window.partitionBy("_piece").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    d = g.withColumn("_tp", F.sum("pos").over(w)).withColumn("_fp", F.sum("neg").over(w)).join(F.broadcast(above), "_piece").crossJoin(F.broadcast(every))  # PIECES rows and one row
-    return d.select("score", (F.col("_tp") + F.col("_ap")).alias("tp"), (F.col("_fp") + F.col("_an")).alias("fp"), "p", "n", "pos")
+    d, total = running(g, [F.desc("score")], {"tp": F.col("pos"), "fp": F.col("neg")}, "curve")
+    return d.select("score", "tp", "fp", F.lit(total["tp"]).cast("long").alias("p"), F.lit(total["fp"]).cast("long").alias("n"), "pos")
 
 
 def average_precision(scored: DataFrame) -> DataFrame:
@@ -67,4 +57,6 @@ def psi(reference: DataFrame, current: DataFrame, value: str = "value", bins: in
 
 def nearest_rank(df: DataFrame, value: str, *shares: float) -> DataFrame:
     """Nearest-rank percentiles as one row, p50, p99, ..."""
-    return df.agg(*[F.expr(f"percentile_disc({s}) within group (order by {value})").alias(f"p{s * 100:g}".replace(".", "_")) for s in shares])
+    names = [f"p{s * 100:g}".replace(".", "_") for s in shares]
+    kind = df.schema[value].dataType
+    return df.sparkSession.createDataFrame([tuple(nearest_ranks(df, value, list(shares)))], T.StructType([T.StructField(n, kind) for n in names]))

@@ -1,0 +1,53 @@
+import math
+import random
+from fractions import Fraction
+
+import pytest
+from pyspark.sql import functions as F
+
+from fraudloom.operators import metrics as M
+from fraudloom.operators import ranges as R
+
+
+def plain(values, share):
+    v = sorted((x for x in values if x is not None), key=lambda x: (isinstance(x, float) and math.isnan(x), x))
+    return v[max(1, math.ceil(Fraction(str(share)) * len(v))) - 1] if v else None
+
+
+SHARES = [0.0, 0.001, 0.25, 0.5, 0.99, 0.999, 1.0]
+
+
+@pytest.mark.parametrize("kind", ["even", "skewed", "equal", "two", "huge", "whole", "nan"])
+def test_percentiles_equal_a_sort(spark, monkeypatch, kind):
+    monkeypatch.setattr(R, "FEW", 40)
+    rng = random.Random(kind)
+    make = {
+        "even": lambda: rng.random(), "skewed": lambda: rng.lognormvariate(0, 4), "equal": lambda: 7.5, "two": lambda: 1.0 if rng.random() < 0.9995 else 2.0,
+        "huge": lambda: rng.choice([-1, 1]) * 10.0 ** rng.uniform(-300, 300), "whole": lambda: rng.choice([None, rng.randrange(2**62), 5]), "nan": lambda: rng.choice([math.nan, math.inf, -math.inf, rng.random(), None]),
+    }[kind]
+    values = [make() for _ in range(4000)]
+    d = spark.createDataFrame([(v,) for v in values], "v long" if kind == "whole" else "v double").repartition(4)
+    assert str(R.nearest_ranks(d, "v", SHARES)) == str([plain(values, s) for s in SHARES])
+
+
+def test_percentiles_of_nothing(spark):
+    assert R.nearest_ranks(spark.createDataFrame([(None,)], "v double"), "v", [0.5]) == [None]
+    assert M.nearest_rank(spark.createDataFrame([], "v double"), "v", 0.5).first().p50 is None
+
+
+def test_skewed_orders_are_cut_evenly(spark):
+    """Scores that nearly all lie in a thousandth of the range still make ranges of like size, and the sums are right."""
+    n = 20_000
+    d = spark.range(n).select((F.when(F.col("id") < n - 5, F.col("id") / n / 1000).otherwise(F.col("id") - n + 6)).alias("score"), (F.col("id") % 3 == 0).cast("int").alias("y"))
+    got, total = R.running(d, [F.desc("score")], {"seen": F.lit(1), "pos": F.col("y")})
+    rows = got.orderBy(F.desc("score")).collect()
+    assert [r.seen for r in rows] == list(range(1, n + 1)) and total == {"seen": n, "pos": sum(r.y for r in rows)} and rows[-1].pos == total["pos"]
+    sizes = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) >= 3 and max(sizes) < n / 2
+
+
+def test_numbers_follow_the_order(spark):
+    d = spark.createDataFrame([(x,) for x in random.Random(1).sample(range(10**6), 500)] + [(None,)], "v long").repartition(5)
+    got = R.number(d, [F.col("v")], "k").collect()
+    assert [r.k for r in sorted(got, key=lambda r: -1 if r.v is None else r.v)] == list(range(1, 502))
+    assert R.number(d.limit(0), [F.col("v")], "k").collect() == []
