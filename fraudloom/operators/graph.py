@@ -257,7 +257,7 @@ def communities(e: DataFrame) -> DataFrame:
         return pd.DataFrame([(n, pdf.component.iloc[0], min(c), len(c)) for c in got for n in c], columns=["node", "component", "first", "community_size"])
 
     found = s.table(rows.groupBy("component").applyInPandas(run, "node string, component string, first string, community_size long"), "found")
-    firsts = number(found.filter("node = first").select("first", "community_size"), [F.desc("community_size"), F.col("first")], "community").withColumn("community", F.col("community") - 1)
+    firsts = number(found.filter("node = first").select("first", "community_size"), [F.desc("community_size"), F.col("first")], "community").select("first", (F.col("community") - 1).alias("community"))
     return found.join(firsts, "first").select("node", "component", "community", "community_size")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fraudloom.streaming.pipelines import latest, upsert_latest
+from fraudloom.streaming.latest import BUCKETS, bucket_of, latest, upsert_latest
 
 
 class DuplicateKey(ValueError):
@@ -13,7 +13,7 @@ class DuplicateKey(ValueError):
 
 
 class AppendStore:
-    """Rows are only ever added; a key that is there already, or twice in what is added, is refused as a whole."""
+    """Rows are only ever added; a key that is there already, or twice in what is added, is refused as a whole. One writer at a time: nothing locks the store between the check and the write."""
 
     def __init__(self, spark: SparkSession, path: str, key: str | None = None):
         self.spark, self.path, self.key = spark, path, key
@@ -35,19 +35,21 @@ class AppendStore:
 
 
 class LatestStore:
-    """put() keeps the newest row of each key; get() looks keys up, missing ones give nulls."""
+    """put() keeps the newest row of each key; get() looks keys up in their buckets, missing ones give nulls."""
 
-    def __init__(self, spark: SparkSession, path: str, key: str, order: str):
-        self.spark, self.path, self.key, self.order = spark, path, key, order
+    def __init__(self, spark: SparkSession, path: str, key: str, order: str, buckets: int = BUCKETS):
+        self.spark, self.path, self.key, self.order, self.buckets = spark, path, key, order, buckets
 
     def put(self, rows: DataFrame, batch: int) -> None:
-        upsert_latest(self.path, self.key, self.order)(rows, batch)
+        upsert_latest(self.path, self.key, self.order, self.buckets)(rows, batch)
 
     def table(self) -> DataFrame | None:
         return latest(self.spark, self.path, self.key, self.order)
 
     def get(self, keys: DataFrame) -> DataFrame:
-        t = self.table()
+        """`keys` with the stored columns and found; only the buckets that the keys fall into are opened."""
+        wanted = [r[0] for r in keys.select(bucket_of(self.key, self.buckets)).distinct().collect()]  # as many as there are buckets at most
+        t = latest(self.spark, self.path, self.key, self.order, wanted=wanted)
         if t is None:
             raise LookupError(f"nothing was put into {self.path}")
         return keys.join(t.withColumn("found", F.lit(True)), self.key, "left").withColumn("found", F.coalesce("found", F.lit(False)))

@@ -13,9 +13,10 @@ from fraudloom.operators import decide as D
 from fraudloom.operators import rules as R
 from fraudloom.operators.windows import fan_out
 from fraudloom.streaming.joins import poisoning
+from fraudloom.streaming.latest import latest, upsert_latest
 from fraudloom.streaming.state import OUT, entity_windows, replayed
 
-__all__ = ["OUT", "entity_windows", "poisoning", "replayed"]
+__all__ = ["OUT", "entity_windows", "latest", "poisoning", "replayed", "upsert_latest"]
 
 
 def source(spark: SparkSession, path: str, schema, fmt: str = "parquet", **options: str) -> DataFrame:
@@ -50,42 +51,6 @@ def deduplicated(requests: DataFrame, key: str = "idempotency_key", ts: str = "o
     return requests.filter(F.col(key) != "").withWatermark(ts, late).dropDuplicatesWithinWatermark([key])
 
 
-MERGED = 16
-
-
-def _best(rows: DataFrame, key: str, order: str) -> DataFrame:
-    return rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), order).alias("r")).select("r.*")
-
-
-def upsert_latest(path: str, key: str, order: str) -> Callable[[DataFrame, int], None]:
-    """foreachBatch sink: the latest row of each key, read with latest().
-
-    A batch writes its own rows only; every MERGED batches they are merged
-    into one table. Repeating a batch after a failure gives the same folders.
-    """
-
-    def write(batch: DataFrame, n: int) -> None:
-        spark = batch.sparkSession
-        _best(batch, key, order).write.mode("overwrite").parquet(f"{path}/d={n:012d}")
-        if n % MERGED == MERGED - 1:
-            latest(spark, path, key, order, below=n + 1).write.mode("overwrite").parquet(f"{path}/v={n:012d}")
-
-    return write
-
-
-def latest(spark: SparkSession, path: str, key: str, order: str, below: int | None = None) -> DataFrame | None:
-    """The upserted table (as before batch `below`), None before the first batch: the last merged table and the batches after it."""
-    hp = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = hp.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(hp):
-        return None
-    names = sorted(f.getPath().getName() for f in fs.listStatus(hp))
-    done = [x for x in names if x[:2] in ("v=", "d=") and (below is None or int(x[2:]) < below) and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{x}/_SUCCESS"))]
-    top = max((x for x in done if x.startswith("v=")), default=None)
-    parts = ([top] if top else []) + [x for x in done if x.startswith("d=") and (top is None or int(x[2:]) > int(top[2:]))]
-    return _best(spark.read.parquet(*[f"{path}/{x}" for x in parts]), key, order) if parts else None
-
-
 def append_audit(path: str) -> Callable[[DataFrame, int], None]:
     """foreachBatch sink: appends each batch once, in a folder of its own; nothing is ever updated or deleted."""
 
