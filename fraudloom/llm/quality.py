@@ -99,8 +99,14 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _often(base: DataFrame, s: common.Scratch, limits: Limits) -> DataFrame:
-    """(host, line, salt) of the lines above the limit; a host's lines are spread over SALTS."""
-    lines = base.select("host", F.explode("line").alias("line"))
+    """(host, line, salt) of the lines in more than the limit's distinct documents; a host's lines are spread over SALTS.
+
+    A row is a document unless its doc_id comes again (null ones never do), so
+    only rows of such doc_ids are told apart before the lines are counted.
+    """
+    again = s.table(base.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"), "again")
+    lines = base.join(again, "doc_id", "left_anti").select("host", F.explode("line").alias("line"))
+    lines = lines.unionByName(base.join(again, "doc_id", "left_semi").select("doc_id", "host", F.explode("line").alias("line")).distinct().drop("doc_id"))
     often = s.table(lines.groupBy("host", "line").agg(F.count("*").alias("n")).filter(F.col("n") > limits.max_docs).select("host", "line"), "often")
     return often.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
 
@@ -116,10 +122,10 @@ def _judged(base: DataFrame, often: DataFrame, limits: Limits) -> DataFrame:
     return out.withColumn("base_failed", failed).withColumn("kept", ~failed & fine)
 
 
-def _measured(docs: DataFrame, host: str, s: common.Scratch) -> DataFrame:
+def _measured(docs: DataFrame, host: str, s: common.Scratch, rid: str | None = None) -> DataFrame:
     common.prepare(docs.sparkSession)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(host).cast("string"), F.lit("\x00null")).alias("host"),
-                       F.monotonically_increasing_id().alias("rid"), F.col("text").cast("string").alias("text"))
+                       (F.col(rid) if rid else F.monotonically_increasing_id()).alias("rid"), F.col("text").cast("string").alias("text"))
     return s.table(slim.mapInArrow(_measure, _MEASURED), "measured")
 
 
@@ -127,8 +133,9 @@ def judge(docs: DataFrame, host: str = "source", limits: Limits = Limits()) -> D
     """docs (doc_id, text, <host>) -> a row each: measures, base_failed, n_boilerplate (words in lines above the limit), kept.
 
     A null text counts as empty and fails the base rules. Null hosts form one
-    host. Repeated rows are documents of their own. An empty table gives no
-    rows. Further columns are ignored, whatever their names.
+    host. Each row is judged by itself; rows of one doc_id are one document
+    where a line's documents are counted, rows without one each their own.
+    Texts of any length are measured whole. An empty table gives no rows. Further columns are ignored, whatever their names.
     """
     s = common.Scratch(docs.sparkSession, "quality")
     base = _measured(docs, host, s)
@@ -154,8 +161,8 @@ def clean(docs: DataFrame, host: str = "source", limits: Limits = Limits()) -> D
     are not kept. Columns come back as they are, whatever their names.
     """
     s = common.Scratch(docs.sparkSession, "quality")
-    given = s.table(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("rid"), F.col("text").cast("string").alias("text"), F.col(f"`{host}`").cast("string").alias("host")), "given")
-    base = _measured(given.select(F.col("rid").alias("doc_id"), "text", "host"), "host", s).withColumn("rid", F.col("doc_id"))
+    given = s.table(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col(f"`{host}`").cast("string").alias("host")), "given")
+    base = _measured(given, "host", s, "rid")
     kept = _judged(base, _often(base, s, limits), limits).filter("kept").select("rid", F.col("gone").alias("_gone"))
     both = given.join(kept, "rid").select("row", F.col("text").alias("_text"), "_gone")
     cut = both.mapInArrow(_cut, T.StructType([both.schema["row"], T.StructField("_text", T.StringType())]))
@@ -179,12 +186,12 @@ win AS (SELECT pos.rid, p, list_slice(words, p, p + 4) AS k FROM pos JOIN w USIN
 rep AS (SELECT rid, p FROM (SELECT rid, p, count(*) OVER (PARTITION BY rid, k) AS c FROM win) WHERE c > 1),
 nrep AS (SELECT rid, count(DISTINCT q) AS n FROM (SELECT rid, unnest(range(p, p + 5)) AS q FROM rep) GROUP BY rid),
 l AS (
-  SELECT rid, host, line, sum(n) AS n FROM (
-    SELECT rid, host, len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS n,
+  SELECT rid, who, host, line, sum(n) AS n FROM (
+    SELECT rid, who, host, len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS n,
       regexp_replace(trim(regexp_replace(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g')), '[0-9]+', '0', 'g') AS line
-    FROM (SELECT rid, host, unnest(lines) AS x FROM w)) GROUP BY rid, host, line),
+    FROM (SELECT rid, coalesce('d' || doc_id, 'r' || rid) AS who, host, unnest(lines) AS x FROM w)) GROUP BY rid, who, host, line),
 often AS (
-  SELECT host, line FROM l GROUP BY host, line HAVING count(*) > 20),
+  SELECT host, line FROM l GROUP BY host, line HAVING count(DISTINCT who) > 20),
 lost AS (SELECT rid, sum(n) AS n FROM l JOIN often USING (host, line) GROUP BY rid),
 m AS (
   SELECT doc_id, len(words) AS n_words, list_sum(list_transform(words, lambda x: length(x))) AS word_chars,

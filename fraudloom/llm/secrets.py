@@ -41,9 +41,13 @@ PATTERNS = {
     "npm": re.compile(r"npm_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])"),
     "google": re.compile(r"AIza[A-Za-z0-9_-]{35}(?![A-Za-z0-9_-])"),
     "slack": re.compile(r"xox[abprs]-[A-Za-z0-9-]{10,}"),
-    "jwt": re.compile(r"(eyJ[A-Za-z0-9_-]+)\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"),
+    "jwt": re.compile(r"\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"),
     "pem": re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
 }
+#: A JWT's head, whatever follows; its pattern above is what has to.
+HEAD = re.compile(r"eyJ[A-Za-z0-9_-]+")
+#: Brackets in a JWT's head, beyond which it isn't taken for one.
+BRACKETS = 64
 BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 BASE = KINDS[:3]
 
@@ -64,14 +68,33 @@ def _valid(kind: str, m: re.Match) -> bool:
         return len(m[0]) >= 16
     if kind in ("github", "npm"):
         return crc_base62(m[1]) == m[2]
-    if kind == "jwt":
-        try:
-            return "alg" in json.loads(base64.urlsafe_b64decode(m[1] + "=" * (-len(m[1]) % 4)))
-        except (ValueError, TypeError):
-            return False
     return True
 
 
+def _head(part: str) -> bool:
+    """Whether a part is the head of a JWT: base64 of a JSON object with an algorithm. Deeply nested ones aren't parsed."""
+    try:
+        raw = base64.urlsafe_b64decode(part + "=" * (-len(part) % 4))
+        return raw.count(b"{") + raw.count(b"[") <= BRACKETS and "alg" in json.loads(raw)
+    except (ValueError, TypeError):
+        return False
+
+
+def _jwt(text: str, start: int) -> tuple[int, int | None]:
+    """(where the next one may start, end of the JWT that starts here or None).
+
+    Whether one starts inside a run of its characters depends on what follows
+    the run alone, so a run that fails is passed over as a whole.
+    """
+    h = HEAD.match(text, start)
+    if not h:
+        return start + 1, None
+    m = PATTERNS["jwt"].match(text, h.end())
+    if not m:
+        return h.end(), None
+    return m.end(), m.end() if _head(h[0]) else None
+
+
 _automaton = None
 
 
@@ -97,7 +120,13 @@ def scan(text: str | None) -> list[tuple[int, str, int]]:
     hits = sorted((end + 1 - n, kind) for end, (kind, n) in automaton().iter(low))
     out, after = [], dict.fromkeys(KINDS, 0)
     for start, kind in hits:
-        if start >= after[kind] and (m := PATTERNS[kind].match(text, start)):
+        if start < after[kind]:
+            continue
+        if kind == "jwt":
+            after[kind], end = _jwt(text, start)
+            if end is not None:
+                out.append((start, kind, end))
+        elif m := PATTERNS[kind].match(text, start):
             after[kind] = m.end()
             if _valid(kind, m):
                 out.append((start, kind, m.end()))
@@ -111,7 +140,7 @@ def joined(spans: list[tuple[int, str, int]]) -> str:
 
 
 def redact(text: str | None) -> str | None:
-    """The text with every secret replaced by [kind]; overlapping spans become one, named by the first."""
+    """The text with every secret replaced by [kind]; overlapping spans become one, named by the first. Null stays null, the empty text empty."""
     if text is None:
         return None
     out, at = [], 0
@@ -141,7 +170,8 @@ def find(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) -> a row each: counts, base_sha256 and spans.
 
     Null and empty texts hold nothing (base_sha256 is that of the empty
-    string). Repeated rows and null doc_ids come back as they are; an empty
+    string). Long texts are scanned whole, in time in proportion to their
+    length. Repeated rows and null doc_ids come back as they are; an empty
     table gives no rows; further columns are ignored.
     """
     common.prepare(docs.sparkSession)

@@ -82,3 +82,15 @@ def test_lines_above_the_limit_go_and_no_others(spark):
     want = sorted((str(d), "\n".join(x for x in t.split("\n") if not x.lower().startswith("visit  page") or h != "hot")) for d, t, h in rows if t and not t.startswith("x x"))
     assert got == want and out.columns == df.columns and {(x._text, x.rid, x.host, x.row) for x in out.collect()} == {("clash", 9, "h", "r")}
     assert quality.clean(df.limit(0)).count() == 0
+
+
+def test_a_document_counts_once_for_a_line(spark):
+    text = "One line that the host repeats here\nand another one with some more words in it"
+    schema = "doc_id long, text string, source string"
+    often = lambda rows: {r.n_boilerplate for r in quality.judge(spark.createDataFrame(rows, schema)).collect()}
+    assert often([(7, text, "h")] * 30) == {0}
+    assert often([(7, text, "h")] * 30 + [(k, text, "h") for k in range(100, 119)]) == {0}  # 20 documents
+    assert often([(7, text, "h")] * 30 + [(k, text, "h") for k in range(100, 120)]) == {16}
+    assert often([(None, text, "h")] * 21) == {16} and often([(None, text, "h")] * 20) == {0}
+    assert quality.clean(spark.createDataFrame([(7, text, "h")] * 30, schema)).count() == 30
+    assert quality.clean(spark.createDataFrame([(None, text, "h")] * 30, schema)).count() == 0
