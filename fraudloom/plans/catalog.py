@@ -51,23 +51,16 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-def graph_query(sql: str, least: int = 15_000, whole: str | None = None) -> Callable[[Callable[[SparkSession, DataFrame], DataFrame]], Callable]:
-    """Registers f(spark, edges) twice: over the rows that its SQL takes, and as NAME_all over every transfer, there beside `whole` if SQL can follow."""
+def graph_query(sql: str) -> Callable[[Callable[[SparkSession, DataFrame], DataFrame]], Callable]:
+    """Registers f(spark, edges) over every transfer; NAME_all is the same query under the name that it had beside a smaller one."""
     def add(f: Callable[[SparkSession, DataFrame], DataFrame]) -> Callable:
-        QUERIES[f.__name__], SQL[f.__name__] = lambda spark, sf: f(spark, T.edges(spark, sf, least)), sql
-        QUERIES[f"{f.__name__}_all"] = lambda spark, sf: f(spark, T.edges(spark, sf, None))
-        if whole is not None:
-            SQL[f"{f.__name__}_all"] = whole
+        for name in (f.__name__, f"{f.__name__}_all"):
+            QUERIES[name], SQL[name] = lambda spark, sf: f(spark, T.edges(spark, sf)), sql
         return f
 
     return add
 
 
-def _every(sql: str) -> str:
-    """A query's SQL without the condition that picks its rows."""
-    return sql.replace(" WHERE amount_minor >= 15000", "").replace(" WHERE l_orderkey % 100 = 0", "")
-
-
 @query(Q.WINDOWS_SIX)
 def windows_six(spark, sf):
     d = W.six_windows(T.txn(spark, sf), "card_token")
@@ -311,47 +304,48 @@ def disposition_labels(spark, sf):
     return C.disposition_labels(last).select("case_id", "state", "value")
 
 
-@graph_query(Q.EDGES, whole=_every(Q.EDGES))
+@graph_query(Q.EDGES)
 def graph_edges(spark, e):
     return G.aggregate_edges(e).select("src", "dst", "n", "total_minor", "last_seen")
 
 
-@graph_query(Q.DEGREES, whole=_every(Q.DEGREES))
+@graph_query(Q.DEGREES)
 def graph_degrees(spark, e):
     return G.degrees(e)
 
 
-@graph_query(Q.COUNTS, whole=_every(Q.COUNTS))
+@graph_query(Q.COUNTS)
 def graph_counts(spark, e):
     return G.graph_counts(e)
 
 
-@graph_query(Q.COMPONENTS, 25_000)
+@graph_query(Q.COMPONENTS)
 def graph_components(spark, e):
     return G.components(e)
 
 
-@graph_query(Q.HUBS, whole=_every(Q.HUBS))
+@graph_query(Q.HUBS)
 def fan_in_fan_out(spark, e):
     return G.hubs(e).select("node", "n_sources", F.array_join("members", ",").alias("members"))
 
 
-@graph_query(Q.SCATTER, whole=_every(Q.SCATTER))
+@graph_query(Q.SCATTER)
 def scatter_gather(spark, e):
     return G.scatter_gather(e)
 
 
-@graph_query(Q.RINGS, whole=_every(Q.RINGS))
+@graph_query(Q.RINGS)
 def temporal_rings_k4(spark, e):
     return G.temporal_rings(e, 4).select("ring", F.col("length").cast("long").alias("length"))
 
 
 @query()
 def temporal_rings(spark, sf):
-    return G.temporal_rings(T.edges(spark, sf)).select("ring", F.col("length").cast("long").alias("length"))
+    """Rings of any length among the transfers of 150 or more; without such a threshold their number explodes."""
+    return G.temporal_rings(T.edges(spark, sf, 15_000)).select("ring", F.col("length").cast("long").alias("length"))
 
 
-@graph_query(Q.DISTANCE, 25_000)
+@graph_query(Q.DISTANCE)
 def dist_to_bad(spark, e):
     return G.distance_to_bad(e, G.bad_nodes(spark, "n1", "n2", "n3"))
 
@@ -383,25 +377,25 @@ def ppr_bad_n(spark, sf):
 
 @query()
 def pagerank_n_all(spark, sf):
-    return G.pagerank(T.edges(spark, sf, None), F.col("amount_minor"), "seq")
+    return G.pagerank(T.edges(spark, sf), F.col("amount_minor"), "seq")
 
 
 @query()
 def ppr_bad_n_all(spark, sf):
-    return G.pagerank(T.edges(spark, sf, None), F.col("amount_minor"), "seq", personal=G.bad_nodes(spark, "n1", "n2", "n3"), directed=False)
+    return G.pagerank(T.edges(spark, sf), F.col("amount_minor"), "seq", personal=G.bad_nodes(spark, "n1", "n2", "n3"), directed=False)
 
 
 @query()
 def communities(spark, sf):
-    return G.communities(T.edges(spark, sf, None))
+    return G.communities(T.edges(spark, sf))
 
 
 @query()
 def label_propagation(spark, sf):
-    return G.label_propagation(T.edges(spark, sf, None))
+    return G.label_propagation(T.edges(spark, sf))
 
 
-@graph_query(Q.MULE, whole=_every(Q.MULE))
+@graph_query(Q.MULE)
 def mule_scores(spark, e):
     m = G.mule_scores(G.account_activity(e))
     return m.select("account", F.round("mule_score", 6).alias("mule_score"), F.array_join("signals", ",").alias("signals"), "alert")
@@ -418,7 +412,7 @@ def coercion(spark, sf):
     return P.coercion(t).filter("coercion").select("txn_id", "action", "show_warning")
 
 
-@graph_query(Q.FREEZE, whole=_every(Q.FREEZE))
+@graph_query(Q.FREEZE)
 def recipient_freeze(spark, e):
     return P.recipient_freeze(G.mule_scores(G.account_activity(e))).select("account", "freeze", "disposition", "file_sar")
 
@@ -428,9 +422,9 @@ def address_clusters(spark, sf):
     return X.address_clusters(T.ledger(spark, sf))
 
 
-@query()
+@query(Q.ADDRESS_CLUSTERS)
 def address_clusters_all(spark, sf):
-    return X.address_clusters(T.ledger(spark, sf, whole=True))
+    return X.address_clusters(T.ledger(spark, sf))
 
 
 @query(Q.LEDGER_VALUE)
@@ -438,33 +432,33 @@ def coinjoins(spark, sf):
     return X.coinjoins(X.output_value(T.ledger(spark, sf))).select("txid", "output_minor", "coinjoin")
 
 
-@query(_every(Q.LEDGER_VALUE))
+@query(Q.LEDGER_VALUE)
 def coinjoins_all(spark, sf):
-    return X.coinjoins(X.output_value(T.ledger(spark, sf, whole=True))).select("txid", "output_minor", "coinjoin")
+    return X.coinjoins(X.output_value(T.ledger(spark, sf))).select("txid", "output_minor", "coinjoin")
 
 
-def _transfers(spark, sf, least=15_000):
-    return T.edges(spark, sf, least).select("seq", "src", "dst", F.col("amount_minor").alias("value"))
+def _transfers(spark, sf):
+    return T.edges(spark, sf).select("seq", "src", "dst", F.col("amount_minor").alias("value"))
 
 
 @query()
 def taint_exposure(spark, sf):
-    return X.exposure(_transfers(spark, sf, None), G.bad_nodes(spark, "n1", "n2", "n3"))
+    return X.exposure(_transfers(spark, sf), G.bad_nodes(spark, "n1", "n2", "n3"))
 
 
 @query(Q.PEEL)
 def peel_chains(spark, sf):
-    return X.peel_chains(_transfers(spark, sf), G.bad_nodes(spark, "n1", "n2", "n3"), ratio=0.5, hops=1).select("start", F.col("length").cast("long").alias("length"))
+    return X.peel_chains(_transfers(spark, sf), G.bad_nodes(spark, "n1", "n2", "n3"), ratio=0.02, hops=1).select("start", F.col("length").cast("long").alias("length"))
 
 
 @query(Q.PEEL_3)
 def peel_chains_k3(spark, sf):
-    return X.peel_chains(_transfers(spark, sf), G.bad_nodes(spark, "n1", "n2", "n3"), ratio=0.25).select("start", F.col("length").cast("long").alias("length"))
+    return X.peel_chains(_transfers(spark, sf), G.bad_nodes(spark, "n1", "n2", "n3"), ratio=0.015).select("start", F.col("length").cast("long").alias("length"))
 
 
-@query(_every(Q.PEEL_DEFAULT))
+@query(Q.PEEL_DEFAULT)
 def peel_chains_all(spark, sf):
-    return X.peel_chains(_transfers(spark, sf, None), G.bad_nodes(spark, "n1", "n2", "n3")).select("start", F.col("length").cast("long").alias("length"))
+    return X.peel_chains(_transfers(spark, sf), G.bad_nodes(spark, "n1", "n2", "n3")).select("start", F.col("length").cast("long").alias("length"))
 
 
 @query(Q.SANCTIONS)
@@ -646,18 +640,18 @@ def reject_inferred(spark, sf):
 
 @query(Q.STRONG)
 def strong_components(spark, sf):
-    return RG.strong_components(T.edges(spark, sf, None))
+    return RG.strong_components(T.edges(spark, sf))
 
 
 @query(Q.RINGS_DAY)
 def temporal_rings_day(spark, sf):
     """Rings of any length over all transfers, each within a day."""
-    return RG.rings_within(T.edges(spark, sf, None), A.DAY_US).select("ring", F.col("length").cast("long").alias("length"))
+    return RG.rings_within(T.edges(spark, sf), A.DAY_US).select("ring", F.col("length").cast("long").alias("length"))
 
 
 @query()
 def graph_features(spark, sf):
-    return G.feature_rows(T.edges(spark, sf, None), G.bad_nodes(spark, "n1", "n2", "n3"))
+    return G.feature_rows(T.edges(spark, sf), G.bad_nodes(spark, "n1", "n2", "n3"))
 
 
 @query(Q.HOPS)

@@ -18,8 +18,8 @@ AML = """aml AS (
     'cp-' || (o_orderkey % 3) AS counterparty, 'g' || (o_orderkey % 5) AS geography, o_orderdate AS occurred_at, epoch_us(o_orderdate) AS us FROM orders)"""
 
 
-def edges(least: int = 15_000) -> str:
-    return f"{TXN}, e AS (SELECT 'n' || user_id AS src, 'n' || k AS dst, amount_minor, us AS time, txn_id AS seq FROM txn WHERE amount_minor >= {least})"
+def edges() -> str:
+    return f"{TXN}, e AS (SELECT 'n' || user_id AS src, 'n' || k AS dst, amount_minor, us AS time, txn_id AS seq FROM txn)"
 
 
 def frame(key: str, secs: int, cut: bool = True) -> str:
@@ -174,7 +174,7 @@ EDGES = f"WITH {edges()} SELECT src, dst, count(*) AS n, CAST(sum(amount_minor)
 _PAIRS = "p AS (SELECT DISTINCT src, dst FROM e), nd AS (SELECT src AS node FROM e UNION SELECT dst FROM e)"
 DEGREES = f"WITH {edges()}, {_PAIRS} SELECT node, (SELECT count(*) FROM p WHERE dst = node) AS in_degree, (SELECT count(*) FROM p WHERE src = node) AS out_degree FROM nd"
 COUNTS = f"WITH {edges()}, {_PAIRS} SELECT (SELECT count(*) FROM nd) AS n_nodes, (SELECT count(*) FROM p) AS n_edges"
-COMPONENTS = f"""WITH RECURSIVE {edges(25_000)}, {_PAIRS}, un AS (SELECT src, dst FROM p UNION SELECT dst, src FROM p),
+COMPONENTS = f"""WITH RECURSIVE {edges()}, {_PAIRS}, un AS (SELECT src, dst FROM p UNION SELECT dst, src FROM p),
 re AS (SELECT node, node AS other FROM nd UNION SELECT re.node, un.dst FROM re JOIN un ON un.src = re.other)
 SELECT node, min(other) AS component FROM re GROUP BY node"""
 HUBS = f"""WITH {edges()}, {_PAIRS}, i AS (SELECT dst AS node, count(*) AS n_sources, list(src ORDER BY src) AS s FROM p GROUP BY dst HAVING count(*) >= 3)
@@ -187,7 +187,7 @@ SELECT a.src || '>' || a.dst AS ring, CAST(2 AS BIGINT) AS length FROM t a JOIN
 UNION ALL SELECT a.src || '>' || a.dst || '>' || b.dst, 3 FROM t a JOIN t b ON a.dst = b.src JOIN t c ON b.dst = c.src AND c.dst = a.src WHERE a.src < a.dst AND a.src < b.dst AND a.dst <> b.dst AND {_falls(['a.t', 'b.t', 'c.t'])} <= 1
 UNION ALL SELECT a.src || '>' || a.dst || '>' || b.dst || '>' || c.dst, 4 FROM t a JOIN t b ON a.dst = b.src JOIN t c ON b.dst = c.src JOIN t d ON c.dst = d.src AND d.dst = a.src
   WHERE a.src < a.dst AND a.src < b.dst AND a.src < c.dst AND a.dst <> b.dst AND b.dst <> c.dst AND a.dst <> c.dst AND {_falls(['a.t', 'b.t', 'c.t', 'd.t'])} <= 1"""
-DISTANCE = f"""WITH RECURSIVE {edges(25_000)}, {_PAIRS}, un AS (SELECT src, dst FROM p UNION SELECT dst, src FROM p),
+DISTANCE = f"""WITH RECURSIVE {edges()}, {_PAIRS}, un AS (SELECT src, dst FROM p UNION SELECT dst, src FROM p),
 b AS (SELECT node, CAST(0 AS BIGINT) AS d FROM nd WHERE node IN ('n1', 'n2', 'n3') UNION SELECT un.dst, b.d + 1 FROM b JOIN un ON un.src = b.node WHERE b.d < 40)
 SELECT nd.node, coalesce(min(d), -1) AS dist FROM nd LEFT JOIN b USING (node) GROUP BY nd.node"""
 ENTITIES = """WITH RECURSIVE r AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 7 = 0 THEN 'd' || CAST(trunc(c_custkey / 49) AS INT) END AS dev, CASE WHEN c_custkey % 11 = 0 THEN 'p1' || CAST(trunc(c_custkey / 121) AS INT) || '00' END AS ph FROM customer),
@@ -223,7 +223,7 @@ APP_FRAUD = f"""WITH {TXN}, a AS (SELECT txn_id AS seq, user_id AS payer, k AS p
 b AS (SELECT *, CAST(coalesce(sum(CAST(new_payee AS INT)) OVER (PARTITION BY payee ORDER BY us, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS prior_payers FROM a)
 SELECT seq, new_payee, prior_max, prior_payers, new_payee AND amount_minor > prior_max AND prior_payers < 5 AS app_fraud FROM b"""
 COERCION = f"WITH {TXN} SELECT txn_id, 'HOLD' AS action, true AS show_warning FROM txn WHERE k % 3 = 0 AND (k % 4 = 0 OR k / 2 >= 20)"
-_LEDGER = """li AS (SELECT DISTINCT l_orderkey AS txid, 'p' || l_partkey AS a FROM lineitem WHERE l_orderkey % 100 = 0), lo AS (SELECT l_orderkey AS txid, 's' || l_suppkey AS a, CAST(round(l_extendedprice * 100) AS BIGINT) AS v FROM lineitem WHERE l_orderkey % 100 = 0),
+_LEDGER = """li AS (SELECT DISTINCT l_orderkey AS txid, 'p' || l_partkey AS a FROM lineitem), lo AS (SELECT l_orderkey AS txid, 's' || l_suppkey AS a, CAST(round(l_extendedprice * 100) AS BIGINT) AS v FROM lineitem),
 cj AS (SELECT txid, (SELECT count(*) FROM li WHERE li.txid = x.txid) >= 3 AND max(n) >= 3 AS coinjoin FROM (SELECT txid, v, count(*) AS n FROM lo GROUP BY ALL) x GROUP BY txid)"""
 LEDGER_VALUE = f"WITH {_LEDGER} SELECT txid, CAST(sum(v) AS BIGINT) AS output_minor, any_value(coinjoin) AS coinjoin FROM lo JOIN cj USING (txid) GROUP BY txid"
 ADDRESS_CLUSTERS = f"""WITH RECURSIVE {_LEDGER}, un AS (SELECT DISTINCT x.a AS a, y.a AS b FROM li x JOIN li y USING (txid) JOIN cj USING (txid) WHERE NOT coinjoin), ad AS (SELECT a FROM li UNION SELECT a FROM lo),
@@ -236,7 +236,7 @@ UNION ALL SELECT start, nxt, list_append(seen, nxt), hops + 1, list_contains(see
 SELECT start, CAST({hops} AS BIGINT) AS length FROM wk WHERE hops = {hops}"""
 
 
-PEEL, PEEL_3, PEEL_DEFAULT = _peel(0.5, 1), _peel(0.25, 3), _peel(0.8, 3)
+PEEL, PEEL_3, PEEL_DEFAULT = _peel(0.02, 1), _peel(0.015, 3), _peel(0.8, 3)
 SANCTIONS = """SELECT o_orderkey, o_custkey AS address, CAST(date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) AS INT) AS day, 'CRYPTO_SANCTIONS' AS reason_code FROM orders
 WHERE o_custkey % 5 = 0 AND o_custkey IN (SELECT c_custkey FROM customer) AND date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) >= o_custkey % 1000 AND (o_custkey % 10 <> 0 OR date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) < o_custkey % 1000 + 900)"""
 _ADDR = "'0xab' || lpad(CAST(user_id AS VARCHAR), 4, '0') || {mid} || lpad(CAST(user_id % 97 AS VARCHAR), 4, '0')"
@@ -292,11 +292,10 @@ ASOF_DECLINE = f"""WITH {TXN}, d AS (SELECT merchant, us, max(txn_id) AS txn_id,
 SELECT t.txn_id, CASE WHEN t.us - d.us <= 21600000000 THEN d.txn_id END AS asof_txn_id, CASE WHEN t.us - d.us <= 21600000000 THEN d.amount_minor END AS asof_amount_minor
 FROM txn t ASOF LEFT JOIN d ON t.merchant = d.merchant AND t.us > d.us"""
 
-_ALL = edges().replace(" WHERE amount_minor >= 15000", "")
-STRONG = f"""WITH RECURSIVE {_ALL}, p AS (SELECT DISTINCT src, dst FROM e WHERE src <> dst), nd AS (SELECT src AS node FROM e UNION SELECT dst FROM e),
+STRONG = f"""WITH RECURSIVE {edges()}, p AS (SELECT DISTINCT src, dst FROM e WHERE src <> dst), nd AS (SELECT src AS node FROM e UNION SELECT dst FROM e),
 re AS (SELECT node AS a, node AS b FROM nd UNION SELECT re.a, p.dst FROM re JOIN p ON p.src = re.b)
 SELECT x.a AS node, max(x.b) AS component FROM re x JOIN re y ON x.a = y.b AND x.b = y.a GROUP BY x.a"""
-RINGS_DAY = f"""WITH RECURSIVE {_ALL}, p AS (SELECT src, dst, max(time) AS t FROM e WHERE src <> dst GROUP BY 1, 2),
+RINGS_DAY = f"""WITH RECURSIVE {edges()}, p AS (SELECT src, dst, max(time) AS t FROM e WHERE src <> dst GROUP BY 1, 2),
 w AS (
   SELECT src AS head, dst AS tail, [src, dst] AS nodes, t AS t0, t AS last, ROW(t, src, dst) AS f, true AS least, false AS closed FROM p
   UNION ALL

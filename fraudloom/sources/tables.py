@@ -36,8 +36,8 @@ def p2p(spark: SparkSession, sf_dir: str) -> DataFrame:
     return txn(spark, sf_dir).select(F.col("txn_id").alias("seq"), F.col("user_id").alias("payer"), F.col("k").alias("payee"), "amount_minor", "us")
 
 
-def edges(spark: SparkSession, sf_dir: str, least: int | None = 15_000) -> DataFrame:
-    """Transfers of `least` or more; all of them, whatever their amount, if None."""
+def edges(spark: SparkSession, sf_dir: str, least: int | None = None) -> DataFrame:
+    """Every transfer; with `least` those of that amount or more."""
     t = txn(spark, sf_dir)
     return (t if least is None else t.filter(F.col("amount_minor") >= least)).select(
         F.concat(F.lit("n"), F.col("user_id")).alias("src"), F.concat(F.lit("n"), F.col("k")).alias("dst"), "amount_minor", F.col("us").alias("time"), F.col("txn_id").alias("seq"))
@@ -50,11 +50,9 @@ def aml(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.concat(F.lit("g"), F.col("o_orderkey") % 5).alias("geography"), F.col("o_orderdate").alias("occurred_at"), F.unix_micros(F.col("o_orderdate").cast("timestamp")).alias("us"))
 
 
-def ledger(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    """Orders as transactions: the hundredth that SQL can follow, or all."""
-    l = load(spark, sf_dir, "lineitem")
-    l = l if whole else l.filter("l_orderkey % 100 = 0")
-    return l.groupBy(F.col("l_orderkey").alias("txid")).agg(
+def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as transactions."""
+    return load(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("txid")).agg(
         F.sort_array(F.collect_set(F.concat(F.lit("p"), F.col("l_partkey")))).alias("inputs"),
         F.sort_array(F.collect_list(F.struct(F.concat(F.lit("s"), F.col("l_suppkey")).alias("address"), minor("l_extendedprice").alias("value")))).alias("outputs"))
 

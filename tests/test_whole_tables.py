@@ -29,9 +29,9 @@ def roots(pairs):
 
 
 def test_every_transfer_and_order_is_there(spark, sf_dir, pairs):
-    assert sorted((r.src, r.dst) for r in T.edges(spark, sf_dir, None).collect()) == sorted(pairs)
+    assert sorted((r.src, r.dst) for r in T.edges(spark, sf_dir).collect()) == sorted(pairs)
     orders = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey").distinct().count()
-    assert T.ledger(spark, sf_dir, whole=True).count() == orders
+    assert T.ledger(spark, sf_dir).count() == orders
 
 
 def test_components_and_distances(spark, sf_dir, pairs):
@@ -70,7 +70,7 @@ def test_every_node_is_in(spark, sf_dir, pairs, name):
 
 def test_taint_against_a_replay_unit_by_unit(spark, sf_dir):
     """Every unit of value stands for itself: a queue of (amount, taint) runs is replayed over all transfers in one go."""
-    rows = sorted((r.seq, r.src, r.dst, r.amount_minor) for r in T.edges(spark, sf_dir, None).collect())
+    rows = sorted((r.seq, r.src, r.dst, r.amount_minor) for r in T.edges(spark, sf_dir).collect())
     held, flow, bad = {}, {}, {"n1", "n2", "n3"}
     for _, a, b, value in rows:
         sent = value if a in bad else 0
