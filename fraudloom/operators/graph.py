@@ -16,7 +16,6 @@ from fraudloom.operators.ranges import number
 from fraudloom.scratch import Scratch
 
 STRONG_KINDS = ("device", "email", "phone", "ip", "national_id", "account")
-BAD_BROADCAST = 100_000
 MERGE = 16
 
 
@@ -110,7 +109,7 @@ def pagerank(e: DataFrame, weight: Column, order: str, personal: DataFrame | Non
     n, hits = nodes.agg(F.count("*"), F.sum("hit")).first()
     if not n or not hits:
         return nodes.select("node", F.lit(0.0).alias("rank"))
-    cur = nodes.select("node", (F.col("hit") / hits if personal is not None else F.lit(1.0 / n)).alias("rank"), "hit", "dangling")
+    cur, held = nodes.select("node", (F.col("hit") / hits if personal is not None else F.lit(1.0 / n)).alias("rank"), "hit", "dangling"), None
     for _ in range(rounds):
         lost = cur.filter("dangling").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
         into = cur.join(share, cur.node == share.src).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") * F.col("p")).alias("got"))
@@ -118,7 +117,9 @@ def pagerank(e: DataFrame, weight: Column, order: str, personal: DataFrame | Non
         nxt = nxt.select("node", (alpha * (F.coalesce("got", F.lit(0.0)) + lost * F.col("hit") / hits) + (1 - alpha) * F.col("hit") / hits).alias("rank"), "hit", "dangling", "was")
         nxt = s.table(nxt, "rank")
         done = tolerance is not None and nxt.agg(F.sum(F.abs(F.col("rank") - F.col("was")))).first()[0] < n * tolerance
-        cur = nxt.drop("was")
+        if held is not None:
+            s.drop(held)  # the round before: nothing reads it any more
+        cur, held = nxt.drop("was"), nxt
         if done:
             break
     else:
@@ -134,12 +135,25 @@ def hubs(e: DataFrame, least: int = 3) -> DataFrame:
     return i.join(p.select(F.col("src").alias("node")).distinct(), "node", "left_semi").select("node", "n_sources", F.concat(F.array("node"), "sources").alias("members"))
 
 
+def hub_members(e: DataFrame, least: int = 3) -> DataFrame:
+    """(node, member): the payers of each hub, a row each, so a hub of any size is rows and not one array."""
+    p = e.select("src", "dst").distinct()
+    wide = p.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("c")).filter(F.col("c") >= least).select("node").join(p.select(F.col("src").alias("node")).distinct(), "node", "left_semi")
+    return p.withColumnRenamed("dst", "node").join(wide, "node", "left_semi").select("node", F.col("src").alias("member"))
+
+
 def scatter_gather(e: DataFrame, least: int = 3) -> DataFrame:
-    """(src, sink, n_mids): `least` or more middle nodes between two different nodes."""
+    """(src, sink, n_mids): `least` or more middle nodes between two different nodes.
+
+    Payers of fewer than `least` nodes and nodes paid by fewer can't be ends
+    and go before the two sides meet; the join over a busy middle node is one
+    that AQE may split, and pairs are counted before they are shuffled.
+    """
     p = e.select("src", "dst").distinct()
     wide = p.groupBy("src").agg(F.count("*").alias("c")).filter(F.col("c") >= least).select("src")
+    deep = p.groupBy("dst").agg(F.count("*").alias("c")).filter(F.col("c") >= least).select("dst")
     a = p.join(wide, "src", "left_semi").select("src", F.col("dst").alias("mid"))
-    b = p.select(F.col("src").alias("mid"), F.col("dst").alias("sink"))
+    b = p.join(deep, "dst", "left_semi").select(F.col("src").alias("mid"), F.col("dst").alias("sink"))
     return a.join(b, "mid").filter("src <> sink").groupBy("src", "sink").agg(F.count("*").alias("n_mids")).filter(F.col("n_mids") >= least)
 
 

@@ -164,8 +164,8 @@ def decisions_rules_only(spark, sf):
 
 
 def _decided(spark, sf, status=None):
-    cols = [c for c in _featured(spark, sf).columns]
-    d = R.evaluate(_featured(spark, sf), MIX)
+    f = _featured(spark, sf)
+    cols, d = f.columns, R.evaluate(f, MIX)
     if status is not None:
         d = d.withColumn("feature_status", status)
     return D.decide(d.select(*cols, "hits", "rule_version", *(["feature_status"] if status is not None else [])), status="feature_status" if status is not None else None)
@@ -495,7 +495,7 @@ def labels_resolved(spark, sf):
     return L.resolve(_labels(spark, sf), Q.AS_OF[1]).select("txn_id", "value", "source", "available_us")
 
 
-@query()
+@query(Q.DELAYED)
 def delayed_labels(spark, sf):
     d = D.decide_rules_only(R.evaluate(T.txn(spark, sf), MIX)).select(F.concat(F.lit("txn-"), F.col("txn_id")).alias("txn_id"), "us", F.col("declined").alias("is_fraud"), "action")
     return L.delayed_labels(d)
@@ -638,6 +638,46 @@ def reject_inferred(spark, sf):
     return ML.reject_inference(d.filter("id % 3 <> 0"), d.filter("id % 3 = 0")).select("id", F.round("p", 6).alias("p"))
 
 
+@query(Q.HUB_MEMBERS)
+def hub_members(spark, sf):
+    return G.hub_members(T.edges(spark, sf))
+
+
+@query(Q.SAME_CLUSTER)
+def same_cluster(spark, sf):
+    """Each part's address with the next one's, and with one that was never seen."""
+    l = T.ledger(spark, sf)
+    p = T.load(spark, sf, "part").select(F.col("p_partkey").alias("k"))
+    pairs = p.select(F.concat(F.lit("p"), "k").alias("a"), F.when(F.col("k") % 5 == 0, "unseen").otherwise(F.concat(F.lit("p"), F.col("k") + 1)).alias("b"))
+    return X.same_cluster(X.address_clusters(l), pairs)
+
+
+@query(Q.COUNTERPARTY)
+def rule_counterparty(spark, sf):
+    t = T.txn(spark, sf).withColumn("counterparty", F.when(F.col("k") % 4 > 0, F.concat(F.lit("acct-"), F.col("k") % 30)))
+    hits = F.array_compact(F.array(*R.stateless(Rules(deny_counterparties=("acct-7", "acct-13"), high_risk_mcc=()))))
+    return t.select("txn_id", "counterparty", F.array_join(R.reason_codes(hits), ",").alias("codes")).filter("codes like '%COUNTERPARTY%'")
+
+
+@query(Q.WINDOW_MAP)
+def window_map(spark, sf):
+    d = W.six_windows(T.txn(spark, sf), "card_token").withColumn("m", W.window_map())
+    return d.select("txn_id", F.array_join(F.map_keys("m"), ",").alias("labels"), *[F.col("m")[h][f].cast("long").alias(f"{f}_{h}") for h in ("5m", "7d") for f in ("count", "sum_minor", "distinct_devices", "decline_count")])
+
+
+@query(Q.MONEY_SUMS)
+def money_sums(spark, sf):
+    ccy = lambda m: F.when(F.col("k") % m == 0, "JPY").when(F.col("k") % m == 1, "EUR").otherwise("USD")
+    big = F.when(F.col("k") == 3, F.lit(2**63 - 1)).otherwise(F.col("amount_minor"))
+    return T.txn(spark, sf).select("txn_id", S.money_add(big, ccy(3), F.col("amount_minor"), ccy(4)).alias("added"), S.money_sub(F.col("amount_minor"), ccy(3), big, ccy(4)).alias("less"))
+
+
+@query(Q.ZIPPED)
+def zipped_scores(spark, sf):
+    s = T.scored(spark, sf)
+    return L.zipped(s.select(F.col("doc_id").alias("pos"), F.concat(F.lit("s"), "doc_id").alias("subject")), s.select(F.col("doc_id").alias("pos"), F.round("score", 9).alias("p")))
+
+
 @query(Q.STRONG)
 def strong_components(spark, sf):
     return RG.strong_components(T.edges(spark, sf))

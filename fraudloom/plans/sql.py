@@ -302,3 +302,29 @@ w AS (
   SELECT head, dst, CASE WHEN dst = head THEN nodes ELSE list_append(nodes, dst) END, t0, t, f, least AND ROW(t, p.src, p.dst) > f, dst = head FROM w JOIN p ON p.src = w.tail
   WHERE NOT closed AND t >= last AND t - t0 <= 86400000000 AND (dst = head OR NOT list_contains(nodes, dst)))
 SELECT array_to_string(list_concat(nodes[k:], nodes[:k - 1]), '>') AS ring, CAST(len(nodes) AS BIGINT) AS length FROM (SELECT nodes, list_position(nodes, list_min(nodes)) AS k FROM w WHERE closed AND (last > t0 OR least))"""
+
+HUB_MEMBERS = f"""WITH {edges()}, {_PAIRS}, h AS (SELECT dst AS node FROM p GROUP BY dst HAVING count(*) >= 3)
+SELECT node, src AS member FROM h JOIN p ON dst = node WHERE node IN (SELECT src FROM p)"""
+SAME_CLUSTER = f"""WITH RECURSIVE {_LEDGER}, un AS (SELECT DISTINCT x.a AS a, y.a AS b FROM li x JOIN li y USING (txid) JOIN cj USING (txid) WHERE NOT coinjoin), ad AS (SELECT a FROM li UNION SELECT a FROM lo),
+re AS (SELECT a, a AS other FROM ad UNION SELECT re.a, un.b FROM re JOIN un ON un.a = re.other), cl AS (SELECT a, min(other) AS c FROM re GROUP BY a),
+pr AS (SELECT 'p' || p_partkey AS a, CASE WHEN p_partkey % 5 = 0 THEN 'unseen' ELSE 'p' || (p_partkey + 1) END AS b FROM part)
+SELECT pr.a, pr.b, coalesce(x.c = y.c, false) AS same FROM pr LEFT JOIN cl x ON x.a = pr.a LEFT JOIN cl y ON y.a = pr.b"""
+COUNTERPARTY = f"""WITH {TXN} SELECT txn_id, 'acct-' || (k % 30) AS counterparty,
+  array_to_string(list_filter(['BLOCKLIST_COUNTERPARTY', CASE WHEN NOT avs_match THEN 'AVS_MISMATCH' END, CASE WHEN NOT cvv_match THEN 'CVV_MISMATCH' END], lambda x: x IS NOT NULL), ',') AS codes FROM txn WHERE k % 4 > 0 AND k % 30 IN (7, 13)"""
+WINDOW_MAP = f"WITH {TXN}, w AS (SELECT txn_id, {windows('card_token')} FROM txn) SELECT txn_id, '{','.join(HORIZONS)}' AS labels, " + ", ".join(
+    f"CAST({p}_{h} AS BIGINT) AS {f}_{h}" for h in ("5m", "7d") for p, f in (("cnt", "count"), ("sum", "sum_minor"), ("dev", "distinct_devices"), ("dec", "decline_count"))) + " FROM w"
+MONEY_SUMS = f"""WITH {TXN}, m AS (SELECT txn_id, amount_minor AS a, CASE WHEN k = 3 THEN 9223372036854775807 ELSE amount_minor END AS big,
+  CASE k % 3 WHEN 0 THEN 'JPY' WHEN 1 THEN 'EUR' ELSE 'USD' END AS c, CASE k % 4 WHEN 0 THEN 'JPY' WHEN 1 THEN 'EUR' ELSE 'USD' END AS d FROM txn)
+SELECT txn_id, CASE WHEN c = d THEN TRY_CAST(CAST(big AS HUGEINT) + a AS BIGINT) END AS added, CASE WHEN c = d THEN TRY_CAST(CAST(a AS HUGEINT) - big AS BIGINT) END AS less FROM m"""
+ZIPPED = f"WITH {SCORED} SELECT 's' || doc_id AS subject, round(score, 9) AS p FROM scored"
+
+
+def _share(salt: int) -> str:
+    """FNV-1a over the id's bytes in 64 bits, begun with a salted basis; its last four decimal digits as a share."""
+    return f"""(list_reduce(list_prepend(CAST({0xCBF29CE484222325 ^ salt} AS HUGEINT), list_transform(string_split('txn-' || txn_id, ''), lambda x: CAST(ascii(x) AS HUGEINT))),
+    lambda h, b: (xor(h, b) * 1099511628211) % 18446744073709551616) % 10000) / 10000"""
+
+
+DELAYED = f"""WITH {TXN}, {_mix()}, s AS (SELECT txn_id, us, declined AS fraud, action, {_share(0x11111111)} < 0.01 AS holdout, {_share(0x22222222)} < 0.05 AS i, {_share(0x33333333)} < 0.1 AS f FROM r)
+SELECT 'txn-' || txn_id AS txn_id, CASE WHEN fraud THEN 'FRAUD' ELSE 'LEGIT' END AS value, 'CHARGEBACK' AS source, us + 3888000000000 AS available_us, holdout FROM s WHERE holdout OR action = 'APPROVE'
+UNION ALL SELECT 'txn-' || txn_id, CASE WHEN fraud <> f THEN 'FRAUD' ELSE 'LEGIT' END, 'INVESTIGATOR', us + 21600000000, holdout FROM s WHERE i"""

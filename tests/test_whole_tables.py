@@ -68,6 +68,39 @@ def test_every_node_is_in(spark, sf_dir, pairs, name):
     assert sorted(r.node for r in catalog.QUERIES[name](spark, sf_dir).select("node").collect()) == sorted({x for p in pairs for x in p})
 
 
+def iterated(rows, personal=None, directed=True):
+    """Ranks of (src, dst, weight, seq) by plain iteration until nothing moves."""
+    w = {}
+    for a, b, x, q in sorted(rows, key=lambda r: r[3]):
+        w[a, b] = float(x)
+    if not directed:
+        w = {k: max(w.get(k, 0), w.get(k[::-1], 0)) for k in {*w, *(k[::-1] for k in w)}}
+    nodes = sorted({x for k in w for x in k})
+    start = {n: float(n in personal) if personal else 1.0 for n in nodes}
+    start = {n: v / sum(start.values()) for n, v in start.items()}
+    out = {}
+    for (a, _), x in w.items():
+        out[a] = out.get(a, 0) + x
+    rank = dict(start)
+    for _ in range(400):
+        lost = sum(v for n, v in rank.items() if n not in out)
+        new = {n: 0.85 * lost * start[n] + 0.15 * start[n] for n in nodes}
+        for (a, b), x in w.items():
+            new[b] += 0.85 * rank[a] * x / out[a]
+        rank = new
+    return rank
+
+
+@pytest.mark.parametrize("name,personal,directed", [("pagerank_n_all", None, True), ("ppr_bad_n_all", {"n1", "n2", "n3"}, False)])
+def test_ranks_over_all_transfers_equal_plain_iteration(spark, sf_dir, name, personal, directed):
+    rows = [(r.src, r.dst, r.amount_minor, r.seq) for r in T.edges(spark, sf_dir).collect()]
+    want = iterated(rows, personal, directed)
+    got = {r.node: r["rank"] for r in catalog.QUERIES[name](spark, sf_dir).collect()}
+    assert got.keys() == want.keys() and sum(abs(got[n] - want[n]) for n in want) < 1e-3 and sum(got.values()) == pytest.approx(1)
+    top = lambda x: sorted(x, key=lambda n: -x[n])[:10]
+    assert top(got) == top(want)
+
+
 def test_taint_against_a_replay_unit_by_unit(spark, sf_dir):
     """Every unit of value stands for itself: a queue of (amount, taint) runs is replayed over all transfers in one go."""
     rows = sorted((r.seq, r.src, r.dst, r.amount_minor) for r in T.edges(spark, sf_dir).collect())
