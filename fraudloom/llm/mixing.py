@@ -168,7 +168,7 @@ def slots(spark: SparkSession, p: Plan, shards: int = SHARDS) -> DataFrame:
 
 def _sized(docs: DataFrame, scratch: common.Scratch, keep_text: bool) -> DataFrame:
     d = docs.select(F.col("doc_id"), _name(F.col("source")).alias("key"), n_words(F.col("text")).alias("size"), *([F.col("text")] if keep_text else []),
-                    *[F.col(c).alias(f"o_{c}") for c in docs.columns if keep_text and c not in ("doc_id", "text", "n_chars")])
+                    *[F.col(f"`{c}`").alias(f"o_{c}") for c in docs.columns if keep_text and c not in ("doc_id", "text", "n_chars")])
     d = d.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).cast("int"))
     return scratch.table(d.withColumn("rid", F.monotonically_increasing_id()), "sized")
 
@@ -201,7 +201,10 @@ def mix(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """The mixture as rows with docs' columns: one a (slot, document piece), text its words joined by blanks.
 
     Rows of a block that several slots took repeat. doc_id and the other
-    columns are the document's; n_chars, if there, is the piece's length.
+    columns are the document's, whatever their names; n_chars, if there, is
+    the piece's length. Null and empty texts have no pieces; null sources form
+    the last source; repeated rows are packed each for itself; an empty table
+    gives no rows.
     """
     spark = docs.sparkSession
     s = common.Scratch(spark, "mix")
@@ -217,7 +220,7 @@ def mix(docs: DataFrame, block: int = BLOCK) -> DataFrame:
 
     texts = F.flatten(F.transform(F.array(words), cut))  # binds the words once for all pieces
     one = full.withColumn("piece", F.explode(texts)).withColumn("text", F.col("piece.text")).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("piece.times"))))
-    cols = [F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) if c in ("doc_id", "text") else F.col(f"o_{c}").alias(c) for c in docs.columns]
+    cols = [F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) if c in ("doc_id", "text") else F.col(f"`o_{c}`").alias(c) for c in docs.columns]
     return one.select(*cols)
 
 

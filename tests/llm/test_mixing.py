@@ -87,3 +87,11 @@ def test_edge_rows(spark):
     assert sorted((str(r.doc_id), r.size, r.source_size) for r in got) == sorted([("1", 2, 4), ("1", 2, 4), ("2", 0, 4), ("3", 0, 3), ("None", 3, 3), ("5", 9000, 9000)])
     assert all(r.taken <= 3 * r.size for r in got) and mixing.account(df.limit(0)).count() == 0
     assert [r.taken for r in mixing.account(spark.createDataFrame([(1, "", "x")], "doc_id long, text string, source string")).collect()] == [0]
+
+
+def test_mixture_keeps_columns_of_any_name(spark):
+    rows = [(k, f"some words of text {k}", "a" if k % 3 else None, k, "x") for k in range(30)] + [(40, None, "a", 1, "x"), (41, "", None, 1, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, key int, `a.b` string")
+    got = mixing.mix(df, block=8)
+    assert got.columns == df.columns and {r["a.b"] for r in got.collect()} == {"x"} and not {r.doc_id for r in got.collect()} & {40, 41}
+    assert mixing.mix(df.limit(0)).collect() == []
