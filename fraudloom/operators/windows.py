@@ -103,7 +103,7 @@ def _sliding(txn: DataFrame, key: str, horizons: dict[str, int]) -> DataFrame:
     return out
 
 
-def six_windows(txn: DataFrame, key: str, seq: str = "txn_id", ties: str = "peers", horizons: dict[str, int] = HORIZONS) -> DataFrame:
+def six_windows(txn: DataFrame, key: str, seq: str = "txn_id", ties: str = "peers", horizons: dict[str, int] = HORIZONS, busy: bool | None = None) -> DataFrame:
     """Adds cnt_, sum_, sq_, dec_ and dev_ of each horizon: events of the key at most so old, itself included.
 
     sq_ is an exact decimal(38,0). ties: 'peers' counts all events of the same
@@ -114,9 +114,10 @@ def six_windows(txn: DataFrame, key: str, seq: str = "txn_id", ties: str = "peer
     first) all are running totals over the moments at which events come and
     leave: linear in a key's events however long the horizons are, and keys
     are cut in time, so a busy one is many tasks' work. Both give the same.
+    busy says which, if the caller has counted.
     """
     arrival, edges = ties == "arrival", [_edge(s) for s in horizons.values()]
-    if not arrival and busiest(txn, key) <= SLIDING:
+    if not arrival and not (busiest(txn, key) > SLIDING if busy is None else busy):
         return _sliding(txn, key, horizons)
     rows = txn.select(F.col(key).alias("key"), "us", F.col(seq).alias("seq"), "amount_minor", "device", "declined", F.struct(*txn.columns).alias("row"))
     d = _totals(_steps(_cut(rows, max(edges) + 1), edges, arrival), list(horizons), arrival, F.col("first") & F.col("own"))
@@ -171,9 +172,13 @@ def point_in_time(events: DataFrame, asof: DataFrame, key: str) -> DataFrame:
 
 def lagged(txn: DataFrame, key: str = "card_token", seq: str = "txn_id", ties: str = "peers") -> DataFrame:
     """Windows as a decision sees them: those that the key's previous event left behind, null before the first."""
-    w = six_windows(txn, key, seq, ties)
+    busy = busiest(txn, key) > SLIDING
+    w = six_windows(txn, key, seq, ties, busy=busy)
     names = [f"{p}_{h}" for h in HORIZONS for p in ("cnt", "sum", "sq", "dev", "dec")]
-    return previous(w, key, "us", [seq], names, names).select(*txn.columns, *names)
+    if busy:  # cut in time as the windows are
+        return previous(w, key, "us", [seq], names, names).select(*txn.columns, *names)
+    before = Window.partitionBy(key).orderBy("us", seq)  # the windows' own partitioning
+    return w.select(*txn.columns, *[F.lag(n).over(before).alias(n) for n in names])
 
 
 def deviations(df: DataFrame) -> DataFrame:

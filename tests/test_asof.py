@@ -67,3 +67,17 @@ def test_a_busy_key_is_many_tasks(spark):
     assert "Window" in plan and "BroadcastNestedLoopJoin" not in plan and "CartesianProduct" not in plan
     parts = out.withColumn("p", F.spark_partition_id()).groupBy("p").count().collect()
     assert len(parts) > 1 and max(x["count"] for x in parts) < n
+
+
+@pytest.mark.parametrize("limit", [0, 10**9])
+def test_lagged_windows_are_the_same_either_way(spark, sf_dir, monkeypatch, limit):
+    from fraudloom.operators import windows as W
+    from fraudloom.sources import tables as T
+
+    monkeypatch.setattr(W, "SLIDING", limit)
+    t = T.txn(spark, sf_dir).filter("txn_id < 300")
+    got = {r.txn_id: (r.cnt_24h, r.sum_30d, r.dev_7d) for r in W.lagged(t).collect()}
+    own = {}
+    for r in sorted(W.six_windows(t, "card_token").collect(), key=lambda r: (r.us, r.txn_id)):
+        assert got[r.txn_id] == own.get(r.card_token, (None, None, None))
+        own[r.card_token] = (r.cnt_24h, r.sum_30d, r.dev_7d)
