@@ -174,3 +174,25 @@ def test_one_busy_key_takes_linear_work(spark):
     d = spark.range(n).select(F.col("id").alias("txn_id"), F.lit("m").alias("merchant"), (F.lit(10**15) + F.col("id") * 1_000_000).alias("us"), F.lit(7).cast("long").alias("amount_minor"), F.concat(F.lit("d"), F.col("id") % 50).alias("device"), (F.col("id") % 4 == 0).alias("declined"))
     out = W.six_windows(d, "merchant").filter(F.col("txn_id") == n - 1).select("cnt_1m", "cnt_24h", "cnt_30d", "dev_30d", "sum_30d", "dec_24h").first()
     assert tuple(out) == (61, 86_401, n, 50, 7 * n, 21_600)
+
+
+def test_velocity_rules_without_frames_match_the_frames(spark):
+    """Null keys, null amounts, ties, chunk borders, window edges; no frame goes back over a window's events for each row."""
+    r = random.Random(5)
+    pick = lambda *v: r.choice([*v, None])
+    rows = [(k, pick(*[1_000_000 * x for x in (0, 1, 9, 10, 11, 40, 41, 79, 80, 81)], *[r.randrange(200_000_000) for _ in range(6)]), pick(50, 150, 250), pick("d1", "d2"), pick("b1", "b2"), pick("c1", "c2", "c3", "c4"), pick(True, False)) for k in range(600)]
+    t = spark.createDataFrame(rows, "txn_id long, us long, amount_minor long, device string, bin string, card_token string, declined boolean").filter("us is not null")
+    rules = Rules(card_testing=Velocity(10, 4, 200), bin_attack=Velocity(10, 2), decline_retry=Velocity(20, 2))
+    plain = t.withColumn("a", R.card_testing(rules)).withColumn("b", R.bin_attack(rules)).withColumn("c", R.decline_retry(rules))
+    quick = R.with_decline_retry(R.with_bin_attack(R.with_next_of_card(R.with_card_testing(t, rules, "a"), "n"), rules, "b", "n"), rules, "c")
+    key = lambda d: sorted((tuple(x) for x in d.select(*t.columns, "a", "b", "c").collect()), key=lambda x: x[0])
+    assert key(plain) == key(quick)
+    assert all(len(set(x[k] for x in key(plain))) == 2 for k in (-1, -2, -3))
+    full = t.selectExpr("*", "1.0D as lat", "1.0D as lon", "5411 as mcc", "true as avs_match", "true as cvv_match", "'i' as ip", "'m' as merchant", "'c' as counterparty")
+    assert "RangeFrame, -" not in R.evaluate(full, rules)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_audit_query_reads_the_events_once(spark, sf_dir):
+    from fraudloom.plans.catalog import QUERIES
+
+    assert QUERIES["audit_records"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString().count("Relation") == 1
