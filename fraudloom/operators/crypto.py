@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections import deque
+from array import array
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -47,58 +48,110 @@ def same_cluster(clusters: DataFrame, pairs: DataFrame) -> DataFrame:
     return pairs.join(x, "a", "left").join(y, "b", "left").select("a", "b", F.coalesce(F.col("ca") == F.col("cb"), F.lit(False)).alias("same"))
 
 
-def trace(rows: list[tuple[str, str, int]], bad: set[str]) -> dict[str, list]:
+class Lots:
+    """What an address holds, oldest first: values and taints of 8 bytes each, with running totals.
+
+    Lots next to each other that are all clean, or tainted to their last unit,
+    are one: however they are spent, each unit's taint is the same.
+    """
+
+    __slots__ = ("v", "t", "head", "held", "tainted")
+    FULL, TRIM = 2**62, 4_096
+
+    def __init__(self):
+        self.v, self.t, self.head, self.held, self.tainted = array("q"), array("q"), 0, 0, 0
+
+    def add(self, value: int, taint: int) -> None:
+        self.held += value
+        self.tainted += taint
+        if len(self.v) > self.head and value > 0 and 0 < self.v[-1] < self.FULL - value and (taint == self.t[-1] == 0 or (taint == value and self.t[-1] == self.v[-1])):
+            self.v[-1] += value
+            self.t[-1] += taint
+        else:
+            self.v.append(value)
+            self.t.append(taint)
+
+    def spend(self, need: int) -> int:
+        """The taint of the oldest `need` units, or of all if there are fewer."""
+        sent = 0
+        while need > 0 and self.head < len(self.v):
+            v, t = self.v[self.head], self.t[self.head]
+            whole = v <= need
+            part, used = (t, v) if whole else (t * need // v, need)
+            if whole:
+                self.head += 1
+            else:
+                self.v[self.head], self.t[self.head] = v - need, t - part
+            sent, need = sent + part, need - used
+            self.held -= used
+            self.tainted -= part
+        if self.head > self.TRIM and 2 * self.head > len(self.v):
+            del self.v[: self.head], self.t[: self.head]
+            self.head = 0
+        return sent
+
+
+def trace(rows: Iterable[tuple[str, str, int]], bad: set[str]) -> dict[str, list]:
     """FIFO over transfers in order -> address: [held, tainted, direct, indirect], taint in whole units.
 
     A bad sender emits fully tainted value and spends no lots. Others spend
     their oldest lots first, a split lot's taint is cut to whole units; what
     they don't hold comes in clean. The receiver gets one lot a transfer, with
-    the taint of all that was spent for it.
+    the taint of all that was spent for it. bad is asked row by row.
     """
-    lots: dict[str, deque] = {}
+    lots: dict[str, Lots] = {}
     flow: dict[str, list[int]] = {}
     for src, dst, value in rows:
-        sent = direct = indirect = 0
+        direct = indirect = 0
         if src in bad:
-            sent = direct = value
+            direct = value
         else:
-            need, own = value, lots.setdefault(src, deque())
-            while need > 0 and own:
-                v, t = own[0]
-                if v <= need:
-                    own.popleft()
-                    sent += t
-                    need -= v
-                else:
-                    part = t * need // v
-                    own[0] = (v - need, t - part)
-                    sent += part
-                    need = 0
-            indirect = sent
-        lots.setdefault(dst, deque()).append((value, sent))
+            if src not in lots:
+                lots[src] = Lots()
+            indirect = lots[src].spend(value)
+        if dst not in lots:
+            lots[dst] = Lots()
+        lots[dst].add(value, direct + indirect)
         f = flow.setdefault(dst, [0, 0])
         f[0] += direct
         f[1] += indirect
-    return {a: [sum(v for v, _ in q), sum(t for _, t in q), *flow.get(a, [0, 0])] for a, q in lots.items()}
+    return {a: [q.held, q.tainted, *flow.get(a, [0, 0])] for a, q in lots.items()}
 
 
 def taint(transfers: DataFrame, bad: DataFrame) -> DataFrame:
     """transfers (seq, src, dst, value) -> per address held, tainted, direct, indirect and tainted_fraction of what it holds.
 
     Order matters across addresses, so each weak component is replayed in seq
-    order; components run in parallel, one is a task's work.
+    order; components run in parallel, one is a task's work. The rows pass
+    through that task in batches, sorted by Spark; it keeps the lots only.
     """
     from fraudloom.operators.graph import components
 
     comp = components(transfers).withColumnRenamed("node", "src")
     flagged = transfers.join(bad.select(F.col("node").alias("src")).distinct().withColumn("bad", F.lit(True)), "src", "left").join(comp, "src").select("component", "seq", "src", "dst", "value", F.coalesce("bad", F.lit(False)).alias("bad"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        got = trace(list(zip(pdf.src, pdf.dst, pdf.value.astype(int).tolist())), set(pdf.src[pdf.bad]))
-        return pd.DataFrame([(a, *v) for a, v in got.items()], columns=["address", "held", "tainted", "direct", "indirect"])
-
-    t = flagged.groupBy("component").applyInPandas(run, "address string, held long, tainted long, direct long, indirect long")
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: set[str] = set()
+
+        def rows(component: str, first: pd.DataFrame) -> Iterator[tuple[str, str, int]]:
+            pdf = first
+            while pdf is not None:
+                mine = pdf[pdf.component == component]
+                known.update(mine.src[mine.bad])
+                yield from zip(mine.src, mine.dst, mine.value.astype(int).tolist())
+                ahead[0] = pdf = pdf[len(mine):] if len(mine) < len(pdf) else next(parts, None)
+                if pdf is not None and pdf.component.iloc[0] != component:
+                    return
+
+        ahead = [next(parts, None)]
+        while ahead[0] is not None:
+            if ahead[0].empty:
+                ahead[0] = next(parts, None)
+                continue
+            got = trace(rows(ahead[0].component.iloc[0], ahead[0]), known)
+            yield pd.DataFrame([(a, *v) for a, v in got.items()], columns=["address", "held", "tainted", "direct", "indirect"])
+
+    t = flagged.repartition("component").sortWithinPartitions("component", "seq").mapInPandas(run, "address string, held long, tainted long, direct long, indirect long")
     return t.withColumn("tainted_fraction", F.when(F.col("held") > 0, F.try_divide(F.col("tainted").cast("double"), F.col("held").cast("double"))).otherwise(0.0))
 
 

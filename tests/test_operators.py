@@ -222,6 +222,42 @@ def test_taint():
     assert X.trace([("a", "a", 5)], set())["a"] == [5, 0, 0, 0]
 
 
+def test_taint_keeps_few_lots_and_matches_plain_queues(spark):
+    import random
+
+    r = random.Random(3)
+    q = X.Lots()
+    for _ in range(10_000):
+        q.add(5, 0)
+    assert len(q.v) == 1 and q.spend(49_999) == 0 and q.held == 1
+
+    def plain(rows, bad):
+        lots, got = {}, {}
+        for src, dst, value in rows:
+            sent, need, own = value if src in bad else 0, value, lots.setdefault(src, [])
+            while src not in bad and need > 0 and own:
+                v, t = own.pop(0)
+                part, used = (t, v) if v <= need else (t * need // v, need)
+                if used < v:
+                    own.insert(0, (v - used, t - part))
+                sent, need = sent + part, need - used
+            lots.setdefault(dst, []).append((value, sent))
+            got.setdefault(dst, [0, 0])[src not in bad] += sent
+        return {a: [sum(v for v, _ in x), sum(t for _, t in x), *got.get(a, [0, 0])] for a, x in lots.items() if a not in bad or x}
+
+    rows = [(f"{c}{r.randrange(9)}", f"{c}{r.randrange(9)}", r.choice([0, 1, 2, 3, 7, 50])) for c in r.choices("abc", k=3_000)]
+    want = {a: v for a, v in plain(rows, {"a1", "b2"}).items()}
+    assert X.trace(iter(rows), {"a1", "b2"}) == want
+    t = spark.createDataFrame([(k, *x) for k, x in enumerate(rows)], "seq long, src string, dst string, value long")
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # components go over batches, batches over components
+    try:
+        got = {x.address: [x.held, x.tainted, x.direct, x.indirect] for x in X.taint(t, G.bad_nodes(spark, "a1", "b2")).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert got == want
+
+
 def test_taint_dataframe_and_peel(spark):
     rows = [(0, "bad", "p0", 1000)] + [x for k in range(4) for x in ((10 * k + 1, f"p{k}", f"p{k + 1}", 900 - k), (10 * k + 2, f"p{k}", f"d{k}", 50))]
     t = spark.createDataFrame(rows, "seq long, src string, dst string, value long")
