@@ -337,3 +337,25 @@ def test_psi(spark):
     assert r.psi > 0.25 and r.drift
     assert M.psi(a, a.limit(0)).first().psi == 0.0
     assert M.psi(a.select(F.lit(1.0).alias("value")), a.select(F.lit(1.0).alias("value"))).first().psi == 0.0
+
+
+def test_cases_are_sorted_before_their_alerts_are_put_in(spark, monkeypatch):
+    inputs = spark.createDataFrame([(100 - k, f"s{k % 3}", k, k * 7 % 10 / 10) for k in range(40)], "arrival long, subject_id string, acct long, risk double")
+    names = spark.createDataFrame([(f"s{k % 2}", k, f"name {k}" if k != 4 else None) for k in range(9)], "subject_id string, entry_id long, matched_name string")
+    aml = spark.createDataFrame([(k, o, f"t{o}") for k in range(0, 40, 5) for o in (2, 1)], "acct long, ord int, typology string")
+    mine = {f"s{k}": [None if e == 4 else f"sanctions:name {e}" for e in range(9) if e % 2 == k] for k in (0, 1)}
+    rows = []
+    for k in range(39, -1, -1):  # in the order of arrival
+        alerts = mine.get(f"s{k % 3}", []) + (["aml:t1", "aml:t2"] if k % 5 == 0 else [])
+        if alerts:
+            rows.append((f"case-{len(rows) + 1}", f"s{k % 3}", k * 7 % 10 / 10, alerts))
+    want = sorted(rows, key=lambda r: (-r[2], int(r[0][5:])))
+    for limit in (C.BROADCAST_BYTES, 0):
+        monkeypatch.setattr(C, "BROADCAST_BYTES", limit)
+        cases = C.open_cases(inputs, names, aml)
+        views = C.case_views(cases, ordered=True)
+        assert [(r.case_id, r.subject, r.risk, r.alerts) for r in views.collect()] == want
+        assert [r.case_id for r in C.queue_filter(cases.withColumnRenamed("subject_id", "subject"), category="aml", cap=3).collect()] == [r[0] for r in want if "aml:t1" in r[3]][:3]
+        if limit:  # names meet the cases above the sort, so that no exchange carries them
+            plan = views._jdf.queryExecution().optimizedPlan().toString()
+            assert plan.index("Join LeftOuter") < plan.index("Sort [") and plan.count("Sort [") == 1
