@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from collections import Counter
-from heapq import heapify, heappop, heappush
+from collections.abc import Iterator
 from itertools import count
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fraudloom.functions import scalars as S
 from fraudloom.operators.components import connected_components
+from fraudloom.operators.modularity import by_component
 from fraudloom.operators.ranges import number
 from fraudloom.scratch import Scratch
 
@@ -214,65 +215,33 @@ def account_activity(e: DataFrame) -> DataFrame:
                     F.floor((F.least("first_in", "first_out") - F.col("start")) / 86_400_000_000).alias("dormant_days"))
 
 
-def _cnm(pairs: set[tuple[str, str]], m: int) -> list[set[str]]:
-    """Greedy modularity of one component of a graph with m links: the merge with the largest gain until each one loses.
-
-    Gains are whole numbers (2 * m^2 times the modularity's), so ties are exact: they go to the smaller pair of
-    labels, and the larger label stays. A heap holds the gains; entries that a merge outdated are skipped.
-    """
-    names = sorted({x for p in pairs for x in p})
-    at = {n: k for k, n in enumerate(names)}
-    member = {k: {n} for n, k in at.items()}
-    link: dict[int, Counter] = {k: Counter() for k in member}
-    deg: Counter[int] = Counter()
-    for p in pairs:
-        x, y = at[p[0]], at[p[1]]
-        deg[x] += 1
-        deg[y] += 1
-        if x != y:
-            link[x][y] += 1
-            link[y][x] += 1
-    gain = lambda x, y: 2 * m * link[x][y] - deg[x] * deg[y]
-    heap = [(-gain(x, y), x, y) for x in link for y in link[x] if x < y]
-    heapify(heap)
-    while heap:
-        loss, x, y = heappop(heap)
-        if loss > 0:
-            break
-        if x not in link or y not in link[x] or loss != -gain(x, y):
-            continue
-        member[y] |= member.pop(x)
-        deg[y] += deg.pop(x)
-        for z, n in link.pop(x).items():
-            del link[z][x]
-            if z != y:
-                link[y][z] += n
-                link[z][y] += n
-        for z in link[y]:
-            heappush(heap, (-gain(y, z), min(y, z), max(y, z)))
-    return list(member.values())
-
-
 def communities(e: DataFrame) -> DataFrame:
     """(node, component, community, community_size): greedy modularity of the whole graph; communities numbered by size, ties by their smallest node.
 
     Merges join neighbours only, so weak components are merged apart, with
-    the link count of the whole graph; one component is one task's work.
-    label_propagation() is the distributed approximation.
+    the link count of the whole graph. One merge follows the other, so a
+    component is one task's work: its pairs pass in as numbers in the order of
+    the names, 8 bytes each. label_propagation() is the distributed approximation.
     """
     s = Scratch(e.sparkSession, "communities")
     pairs = s.table(e.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct(), "pairs")
     m = pairs.count()
-    comp = components(e)
-    rows = pairs.join(comp.select(F.col("node").alias("a"), "component"), "a")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        got = _cnm(set(zip(pdf.a, pdf.b)), m)
-        return pd.DataFrame([(n, pdf.component.iloc[0], min(c), len(c)) for c in got for n in c], columns=["node", "component", "first", "community_size"])
-
-    found = s.table(rows.groupBy("component").applyInPandas(run, "node string, component string, first string, community_size long"), "found")
-    firsts = number(found.filter("node = first").select("first", "community_size"), [F.desc("community_size"), F.col("first")], "community").select("first", (F.col("community") - 1).alias("community"))
-    return found.join(firsts, "first").select("node", "component", "community", "community_size")
+    nodes = s.table(number(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "node", "id"), "nodes")
+    end = lambda c: nodes.select(F.col("node").alias(c), F.col("id").alias(f"{c}_id"))
+    links = s.table(pairs.join(end("a"), "a").join(end("b"), "b").select(F.col("a_id").alias("u"), F.col("b_id").alias("v")), "links")
+    comp = connected_components(s, links).withColumnRenamed("node", "u")
+    rows = links.join(comp, "u", "left").select(F.coalesce("root", "u").alias("component"), F.col("u").alias("a"), F.col("v").alias("b"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for c, *found in by_component(batches, m):
+            for k in range(0, len(found[0]), 100_000):
+                ids, first, size = (x[k : k + 100_000] for x in found)
+                yield pa.RecordBatch.from_pydict({"id": ids.astype(np.int64), "component": np.full(len(ids), c), "first": first.astype(np.int64), "community_size": size.astype(np.int64)})
+
+    found = s.table(rows.repartition("component").sortWithinPartitions("component").mapInArrow(run, "id long, component long, first long, community_size long"), "found")
+    firsts = number(found.filter("id = first").select("first", "community_size"), [F.desc("community_size"), F.col("first")], "community").select("first", (F.col("community") - 1).alias("community"))
+    names = nodes.select(F.col("id").alias("component"), F.col("node").alias("name"))
+    return found.join(firsts, "first").join(nodes, "id").join(names, "component").select("node", F.col("name").alias("component"), "community", "community_size")
 
 
 def label_propagation(e: DataFrame, rounds: int = 5) -> DataFrame:
