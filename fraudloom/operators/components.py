@@ -41,3 +41,18 @@ def connected_components(scratch: Scratch, edges: DataFrame, max_rounds: int = 6
     else:
         raise RuntimeError("connected components did not settle")
     return cur.select(F.col("u").alias("node"), F.col("v").alias("root")).union(cur.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+def contracted(scratch: Scratch, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """edges as above, many and in any number -> (node, label) of the nodes with a smaller neighbour, the smallest one; and the edges between labels.
+
+    The smallest node of a component is a label (its own), so components of
+    those edges are the components of all. One aggregate and two joins with
+    the labels; edges between labels are few where nodes have many edges, and
+    they are made distinct before they move.
+    """
+    e = edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    low = scratch.table(e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("label")), "labels")
+    end = lambda c: low.select(F.col("node").alias(c), F.col("label").alias(f"l{c}")).hint("shuffle_hash")
+    rest = e.join(end("u"), "u").join(end("v"), "v", "left").select(F.col("lu").alias("u"), F.coalesce("lv", "v").alias("v"))
+    return low, scratch.table(rest.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "between")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fraudloom.functions import scalars as S
-from fraudloom.operators.components import connected_components
+from fraudloom.operators.components import connected_components, contracted
 from fraudloom.scratch import Scratch
 
 PEEL_RATIO, PEEL_HOPS, PEEL_BONUS = 0.8, 3, 0.25
@@ -34,15 +34,18 @@ def coinjoins(ledger: DataFrame, inputs: int = 3, equal: int = 3) -> DataFrame:
 def address_clusters(ledger: DataFrame) -> DataFrame:
     """(address, cluster): inputs of one transaction that is no CoinJoin belong together; outputs alone stay singletons."""
     s = Scratch(ledger.sparkSession, "clusters")
-    c = coinjoins(ledger)
-    star = c.filter(~F.col("coinjoin")).select(F.element_at("inputs", 1).alias("v"), F.explode("inputs").alias("u"))
-    comp = connected_components(s, star.filter("u is not null and v is not null"))
-    every = ledger.select(F.explode("inputs").alias("address")).union(ledger.select(F.explode(F.transform("outputs", lambda o: o["address"])))).filter("address is not null").distinct()
-    return every.join(comp, every.address == comp.node, "left").select("address", F.coalesce("root", "address").alias("cluster"))
+    tx = s.table(coinjoins(ledger).select("inputs", F.transform("outputs", lambda o: o["address"]).alias("paid"), "coinjoin"), "transactions")
+    star = tx.filter(~F.col("coinjoin")).select(F.element_at("inputs", 1).alias("v"), F.explode("inputs").alias("u")).filter("u is not null and v is not null")
+    labels, rest = contracted(s, star)
+    comp = connected_components(s, rest).withColumnRenamed("node", "label")
+    every = tx.select(F.explode(F.concat(F.coalesce("inputs", F.array()), F.coalesce("paid", F.array()))).alias("address")).filter("address is not null").distinct()
+    of = every.join(labels.withColumnRenamed("node", "address"), "address", "left").select("address", F.coalesce("label", "address").alias("label"))
+    return of.join(comp, "label", "left").select("address", F.coalesce("root", "label").alias("cluster"))
 
 
 def same_cluster(clusters: DataFrame, pairs: DataFrame) -> DataFrame:
     """pairs (a, b) -> same; an address that was never seen is in no cluster."""
+    clusters = Scratch(clusters.sparkSession, "same").table(clusters, "clusters")  # read for each side
     x = clusters.select(F.col("address").alias("a"), F.col("cluster").alias("ca"))
     y = clusters.select(F.col("address").alias("b"), F.col("cluster").alias("cb"))
     return pairs.join(x, "a", "left").join(y, "b", "left").select("a", "b", F.coalesce(F.col("ca") == F.col("cb"), F.lit(False)).alias("same"))
