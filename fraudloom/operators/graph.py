@@ -94,12 +94,20 @@ def pagerank(e: DataFrame, weight: Column, order: str, personal: DataFrame | Non
     round (dangling mass and change) come to the driver.
     """
     s = Scratch(e.sparkSession, "pr")
-    last = e.groupBy("src", "dst").agg(F.max_by(weight, order).cast("double").alias("w"))
+    return _ranks(s, s.table(_last(e, weight, order), "last"), personal, directed, rounds, alpha, tolerance)
+
+
+def _last(e: DataFrame, weight: Column, order: str) -> DataFrame:
+    return e.groupBy("src", "dst").agg(F.max_by(weight, order).cast("double").alias("w"))
+
+
+def _ranks(s: Scratch, last: DataFrame, personal: DataFrame | None, directed: bool, rounds: int, alpha: float, tolerance: float | None) -> DataFrame:
+    """pagerank() of pairs (src, dst, w), each there once, in a written table."""
+    nodes = last.select(F.col("src").alias("node")).union(last.select("dst")).distinct()
     if not directed:
         last = last.select("src", "dst", "w").union(last.filter("src <> dst").select("dst", "src", "w")).groupBy("src", "dst").agg(F.max("w").alias("w"))
     total = last.groupBy("src").agg(F.sum("w").alias("t"))
     share = s.table(last.join(total, "src").select("src", "dst", (F.col("w") / F.col("t")).alias("p")), "share")
-    nodes = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct()
     if personal is not None:
         hit = nodes.join(personal.select("node").distinct(), "node", "left_semi").withColumn("hit", F.lit(1.0))
         nodes = nodes.join(hit, "node", "left").withColumn("hit", F.coalesce("hit", F.lit(0.0)))
@@ -215,6 +223,14 @@ def account_activity(e: DataFrame) -> DataFrame:
                     F.floor((F.least("first_in", "first_out") - F.col("start")) / 86_400_000_000).alias("dormant_days"))
 
 
+def _numbered(s: Scratch, pairs: DataFrame, *more: str) -> tuple[DataFrame, DataFrame]:
+    """Pairs (src, dst and `more`) in a written table -> (node, id), 1, 2, 3 ... in the order of the names; the pairs with numbers for names. Null has none."""
+    names = pairs.select(F.col("src").alias("node")).union(pairs.select("dst")).filter("node is not null").distinct()
+    nodes = s.table(number(names, "node", "id"), "nodes")
+    end = lambda c: nodes.select(F.col("node").alias(c), F.col("id").alias(f"{c}_id"))
+    return nodes, s.table(pairs.join(end("src"), "src", "left").join(end("dst"), "dst", "left").select(F.col("src_id").alias("src"), F.col("dst_id").alias("dst"), *more), "links")
+
+
 def communities(e: DataFrame) -> DataFrame:
     """(node, component, community, community_size): greedy modularity of the whole graph; communities numbered by size, ties by their smallest node.
 
@@ -224,24 +240,29 @@ def communities(e: DataFrame) -> DataFrame:
     the names, 8 bytes each. label_propagation() is the distributed approximation.
     """
     s = Scratch(e.sparkSession, "communities")
-    pairs = s.table(e.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct(), "pairs")
+    nodes, links = _numbered(s, s.table(e.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct(), "pairs"))
+    name = lambda c: nodes.select(F.col("id").alias(c), F.col("node").alias(f"{c}_name"))
+    found = _communities(s, links).join(name("node"), "node").join(name("component"), "component")
+    return found.select(F.col("node_name").alias("node"), F.col("component_name").alias("component"), "community", "community_size")
+
+
+def _communities(s: Scratch, links: DataFrame) -> DataFrame:
+    """communities() of numbered pairs, where node and component are numbers."""
+    pairs = s.table(links.select(F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")).distinct(), "pairs")
     m = pairs.count()
-    nodes = s.table(number(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "node", "id"), "nodes")
-    end = lambda c: nodes.select(F.col("node").alias(c), F.col("id").alias(f"{c}_id"))
-    links = s.table(pairs.join(end("a"), "a").join(end("b"), "b").select(F.col("a_id").alias("u"), F.col("b_id").alias("v")), "links")
-    comp = connected_components(s, links).withColumnRenamed("node", "u")
-    rows = links.join(comp, "u", "left").select(F.coalesce("root", "u").alias("component"), F.col("u").alias("a"), F.col("v").alias("b"))
+    pairs = pairs.filter("u is not null")  # else neither end has a name
+    comp = connected_components(s, pairs).withColumnRenamed("node", "u")
+    rows = pairs.join(comp, "u", "left").select(F.coalesce("root", "u").alias("component"), F.col("u").alias("a"), F.col("v").alias("b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c, *found in by_component(batches, m):
             for k in range(0, len(found[0]), 100_000):
                 ids, first, size = (x[k : k + 100_000] for x in found)
-                yield pa.RecordBatch.from_pydict({"id": ids.astype(np.int64), "component": np.full(len(ids), c), "first": first.astype(np.int64), "community_size": size.astype(np.int64)})
+                yield pa.RecordBatch.from_pydict({"node": ids.astype(np.int64), "component": np.full(len(ids), c), "first": first.astype(np.int64), "community_size": size.astype(np.int64)})
 
-    found = s.table(rows.repartition("component").sortWithinPartitions("component").mapInArrow(run, "id long, component long, first long, community_size long"), "found")
-    firsts = number(found.filter("id = first").select("first", "community_size"), [F.desc("community_size"), F.col("first")], "community").select("first", (F.col("community") - 1).alias("community"))
-    names = nodes.select(F.col("id").alias("component"), F.col("node").alias("name"))
-    return found.join(firsts, "first").join(nodes, "id").join(names, "component").select("node", F.col("name").alias("component"), "community", "community_size")
+    found = s.table(rows.repartition("component").sortWithinPartitions("component").mapInArrow(run, "node long, component long, first long, community_size long"), "found")
+    firsts = number(found.filter("node = first").select("first", "community_size"), [F.desc("community_size"), F.col("first")], "community").select("first", (F.col("community") - 1).alias("community"))
+    return found.join(firsts, "first").select("node", "component", "community", "community_size")
 
 
 def label_propagation(e: DataFrame, rounds: int = 5) -> DataFrame:
@@ -257,11 +278,21 @@ def label_propagation(e: DataFrame, rounds: int = 5) -> DataFrame:
 
 
 def feature_rows(e: DataFrame, bad: DataFrame, rounds: int = 100, tolerance: float | None = 1e-6) -> DataFrame:
-    """The five graph features of a node."""
-    w = F.col("amount_minor")
-    pr = pagerank(e, w, "seq", rounds=rounds, tolerance=tolerance).withColumnRenamed("rank", "pagerank")
-    pp = pagerank(e, w, "seq", personal=bad, directed=False, rounds=rounds, tolerance=tolerance).withColumnRenamed("rank", "ppr_bad")
-    return pr.join(pp, "node").join(communities(e).select("node", "community", "community_size"), "node").join(distance_to_bad(e, bad).withColumnRenamed("dist", "dist_to_bad"), "node")
+    """The five graph features of a node.
+
+    Transfers are read once: all five come from pairs of numbers, each there
+    once, and names return at the end. Communities come first, while the
+    executors hold little beside their merging task.
+    """
+    s = Scratch(e.sparkSession, "features")
+    nodes, links = _numbered(s, s.table(_last(e, F.col("amount_minor"), "seq"), "last"), "w")
+    wrong = s.table(nodes.join(bad.select("node").distinct(), "node", "left_semi").select(F.col("id").alias("node")), "bad")
+    groups = s.table(_communities(s, links).select("node", "community", "community_size"), "communities")
+    dist = s.table(distance_to_bad(links, wrong).withColumnRenamed("dist", "dist_to_bad"), "dist")
+    pr = _ranks(s, links, None, True, rounds, 0.85, tolerance).withColumnRenamed("rank", "pagerank")
+    pp = _ranks(s, links, wrong, False, rounds, 0.85, tolerance).withColumnRenamed("rank", "ppr_bad")
+    ranks = pr.join(pp, "node").join(groups, "node").join(dist, "node").withColumnRenamed("node", "id")
+    return ranks.join(nodes, "id").select("node", "pagerank", "ppr_bad", "community", "community_size", "dist_to_bad")
 
 
 def bad_nodes(spark: SparkSession, *names: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import time
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -41,3 +42,31 @@ def test_hubs_with_many_leaves():
     start = time.process_time()
     ids, _, size = communities_of(b.astype(np.int32), (a + 100).astype(np.int32), len(a))
     assert len(ids) == 20_100 and size.min() > 100 and time.process_time() - start < 30
+
+
+def test_memory_a_link():
+    """Rows of links that a merge touched were dicts and loading copied the pairs several times: 99 bytes a link at the peak."""
+    r = np.random.default_rng(5)
+    a, b = np.nonzero(r.random((8_000, 100)) < 0.5)
+    cut = lambda k: pa.RecordBatch.from_arrays([pa.array(x[k : k + 10_000].astype(np.int64)) for x in (np.zeros(len(a)), b, a + 100)], ["component", "a", "b"])
+    batches = [cut(k) for k in range(0, len(a), 10_000)]
+    tracemalloc.start()
+    try:
+        _, ids, _, _ = next(by_component(iter(batches), len(a)))
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(ids) == 8_100 and most < 60 * len(a), most / len(a)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_rows_that_outgrow_their_place(seed):
+    """Chains and bunches of leaves whose merged nodes get more links than either had."""
+    r = random.Random(100 + seed)
+    groups = [[(g, k) for k in range(r.randrange(2, 6))] for g in range(5)]
+    names = {x: k for k, x in enumerate(x for g in groups for x in g)}
+    pairs = {tuple(sorted((names[x], names[y]))) for g in groups for x, y in zip(g, g[1:])}
+    pairs |= {tuple(sorted(r.sample(range(len(names)), 2))) for _ in range(2 * len(names))}
+    _, first, size = communities_of(*np.array(sorted(pairs), np.int32).T, len(pairs))
+    got = plain_modularity({(f"{a:02}", f"{b:02}") for a, b in pairs})
+    assert sorted(zip(first.tolist(), size.tolist())) == sorted((min(c), len(c)) for c in [[int(y) for y in got if got[y] == g] for g in got.values()])

@@ -165,6 +165,30 @@ def test_communities_against_plain_merges(spark):
     assert got == plain_modularity({(min(a, b), max(a, b)) for a, b, _ in rows}) and len(set(got.values())) > 3
 
 
+def test_graph_features_read_transfers_once_and_equal_their_parts(spark):
+    """Four operators read the transfers anew, 19 times here; repeated pairs, both directions, self-loops, two components, no name."""
+    r = random.Random(8)
+    rows = [(r.choice("abcdefgh"), r.choice("abcdefgh"), r.randrange(1, 90)) for _ in range(40)] + [("x", "y", 5), ("y", "z", 7), ("z", "z", 1), ("y", "x", 2)]
+    e = edges(spark, rows + [("q", None, 3), (None, "a", 4)]).withColumn("amount_minor", F.col("time").cast("long"))
+    passed = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            passed.add(b.num_rows)
+            yield b
+
+    bad, keep = G.bad_nodes(spark, "a", "h", "none"), ["node", "pagerank", "ppr_bad", "community", "community_size", "dist_to_bad"]
+    got = {x.node: x for x in G.feature_rows(e.mapInArrow(counted, e.schema), bad).select(keep).collect()}
+    assert passed.value == len(rows) + 2
+    ranks = {x.node: x["rank"] for x in G.pagerank(e, F.col("amount_minor"), "seq").collect()}
+    near = {x.node: x["rank"] for x in G.pagerank(e, F.col("amount_minor"), "seq", personal=bad, directed=False).collect()}
+    groups = {x.node: (x.community, x.community_size) for x in G.communities(e).collect()}
+    dist = {x.node: x.dist for x in G.distance_to_bad(e, bad).collect()}
+    assert got.keys() == {*"abcdefghxyzq"} and {n: (x.community, x.community_size) for n, x in got.items()} == {n: groups[n] for n in got}
+    assert {n: x.dist_to_bad for n, x in got.items()} == {n: dist[n] for n in got} and dist["z"] == -1
+    assert all(got[n].pagerank == pytest.approx(ranks[n], abs=1e-12) and got[n].ppr_bad == pytest.approx(near[n], abs=1e-12) for n in got)
+
+
 def test_pagerank_converges_or_says_so(spark):
     r = random.Random(6)
     rows = [(f"v{r.randrange(12)}", f"v{r.randrange(12)}", k) for k in range(30)]
