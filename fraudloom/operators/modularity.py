@@ -52,8 +52,11 @@ class Merges:
         self.m2 = 2 * m
         first = np.bincount(a, minlength=n)
         first += np.bincount(b, minlength=n)
-        if not (apart := a != b).all():
-            a, b = a[apart], b[apart]
+        if (k := np.count_nonzero(apart := a != b)) < len(a):
+            for end in (a, b):
+                end[:k] = end[apart]
+            a, b = a[:k], b[:k]
+        del apart
         order = np.argsort(first, kind="stable").astype(np.int32)
         rank = np.empty(n, np.int32)
         rank[order] = np.arange(n, dtype=np.int32)
