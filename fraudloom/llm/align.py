@@ -10,7 +10,10 @@ Fast path: an array gives each A id the B id with the same bytes. Links between
 such ids, in particular all plain one-to-one groups, are counted in a vector
 as long as A's vocabulary, one a task. Only what is left are pairs. A chunk of
 texts keeps its distinct pairs once, and its texts point at them; only a
-chunk's distinct pairs enter the shuffle, already counted by document.
+chunk's distinct pairs enter the shuffle, already counted by document. A chunk
+is a row of long arrays, so each is a row group of its own (Spark's reader
+decodes a group's rows at once), and the second pass has one chunk at a time
+with the counts of its pairs, whatever the number of chunks a task has.
 """
 
 from __future__ import annotations
@@ -216,7 +219,7 @@ def chunks(scratch: common.Scratch, docs: DataFrame, vocabularies: Vocabularies
             yield row(-1 - task, {"vector": total})
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return scratch.table(slim.mapInArrow(run, CHUNKS), "chunks")
+    return scratch.table(slim.mapInArrow(run, CHUNKS), "chunks", **{"parquet.block.row.count.limit": 1})
 
 
 def same_counts(table: DataFrame) -> DataFrame:
@@ -263,7 +266,8 @@ def align(docs: DataFrame, vocabularies: Vocabularies | None = None, limit: int
     best[[r.a for r in most]] = [r.n for r in most]
     shared = spark.sparkContext.broadcast((vector, np.maximum(vector, best)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(rows: pa.Table, found: pa.Table) -> pa.Table:
+        """A chunk's row and the counts of its pairs, in any order, each with its place in the chunk."""
         vector, best = shared.value
 
         def summed(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -271,23 +275,21 @@ def align(docs: DataFrame, vocabularies: Vocabularies | None = None, limit: int
             stop = np.cumsum(sizes)
             return total[stop] - total[stop - sizes]
 
-        for b in batches:
-            for k in range(b.num_rows):
-                col = lambda c: b.column(c)[k].values  # noqa: B023,E731
-                num = lambda c: col(c).to_numpy(zero_copy_only=False).astype(np.int64)  # noqa: B023,E731
-                found = b.column("found")[k].as_py()
-                of = num("found") if found is not None else np.zeros(0, np.int64)
-                pair_n, pair_a = of[num("pair_at")], (num("pair") >> 32)[num("pair_at")]
-                same, times, same_times = num("same"), num("times"), num("same_times")
-                total = summed(pair_n * times, num("n_pairs")) + summed(vector[same] * same_times, num("n_same"))
-                top = summed((pair_n == best[pair_a]) * times, num("n_pairs")) + summed((vector[same] == best[same]) * same_times, num("n_same"))
-                cols = [col("doc_id"), *[pa.array(num(c)) for c in ("n_a", "n_b", "n_groups", "n_links")], pa.array(top), pa.array(total), col("groups_sha256")]
-                yield pa.RecordBatch.from_arrays(cols, [c.split()[0] for c in RESULT.split(", ")])
+        b = rows.to_batches()[0]
+        col = lambda c: b.column(c)[0].values
+        num = lambda c: col(c).to_numpy(zero_copy_only=False).astype(np.int64)
+        of = np.zeros(len(col("pair")), np.int64)
+        of[found["at"].to_numpy()] = found["documents"].to_numpy()
+        pair_n, pair_a = of[num("pair_at")], (num("pair") >> 32)[num("pair_at")]
+        same, times, same_times = num("same"), num("times"), num("same_times")
+        total = summed(pair_n * times, num("n_pairs")) + summed(vector[same] * same_times, num("n_same"))
+        top = summed((pair_n == best[pair_a]) * times, num("n_pairs")) + summed((vector[same] == best[same]) * same_times, num("n_same"))
+        cols = [col("doc_id"), *[pa.array(num(c)) for c in ("n_a", "n_b", "n_groups", "n_links")], pa.array(top), pa.array(total), col("groups_sha256")]
+        return pa.Table.from_arrays(cols, [c.split()[0] for c in RESULT.split(", ")])
 
     held = table.filter("chunk >= 0")
-    each = held.select("chunk", F.posexplode("pair").alias("at", "pair")).join(counts, "pair")
-    found = each.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("at", "documents")))["documents"].alias("found"))  # as many as the chunk's row holds pairs
-    return held.drop("held", "vector").join(found, "chunk", "left").drop("chunk").mapInArrow(run, RESULT)
+    found = held.select("chunk", F.posexplode("pair").alias("at", "pair")).join(counts, "pair").select(F.col("chunk").alias("of"), "at", "documents")
+    return held.drop("held", "vector").groupBy("chunk").cogroup(found.groupBy("of")).applyInArrow(run, RESULT)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

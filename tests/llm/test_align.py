@@ -112,3 +112,17 @@ def test_empty_and_odd_tables(spark, vocabularies):
 def test_very_long_texts(spark, vocabularies, text):
     r = align.align(spark.createDataFrame([(1, text)], "doc_id long, text string"), vocabularies).first()
     assert r.n_links > 0 and len(r.groups_sha256) == 64
+
+
+def test_a_task_holds_one_chunk_at_a_time(spark, vocabularies):
+    import pyarrow.parquet as pq
+
+    from fraudloom.llm import common
+
+    docs = spark.createDataFrame([(k, f"text {k}, naïve café " * 9) for k in range(60)], "doc_id long, text string").coalesce(2)
+    table = align.chunks(common.Scratch(spark, "test"), docs, vocabularies, 200)
+    files = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in table.inputFiles()]
+    groups = [m.row_group(k).num_rows for m in files for k in range(m.num_row_groups)]
+    assert groups == [1] * table.count() and len(groups) > 50  # the reader decodes a group's rows at once
+    out = align.align(docs, vocabularies, 200)
+    assert "collect_list" not in out._jdf.queryExecution().optimizedPlan().toString() and out.count() == 60
