@@ -383,3 +383,22 @@ def test_cases_are_sorted_before_their_alerts_are_put_in(spark, monkeypatch):
         if limit:  # names meet the cases above the sort, so that no exchange carries them
             plan = views._jdf.queryExecution().optimizedPlan().toString()
             assert plan.index("Join LeftOuter") < plan.index("Sort [") and plan.count("Sort [") == 1
+
+
+def test_typologies_move_few_rows(spark):
+    """Brute force over odd times and missing values; a transaction is one row for the funnel, a debit two for the round trip."""
+    r = random.Random(4)
+    c = C.Aml(round_trip_window_secs=2, funnel_min_geographies=2, funnel_max_destinations=2)
+    rows = [(r.randrange(12), k, r.choice([0, 95, 100, 104, 105, 106, 250]), r.choice(["in", "out", "out", None]), r.choice(["a", "b", "c", None]), r.choice(["x", "y", "z", None]), r.randrange(-9, 9) * 1_000_000 + r.choice([-1, 0, 1, 499_999, 999_999])) for k in range(150)]
+    tx = spark.createDataFrame(rows, "acct long, seq long, amount_minor long, direction string, geography string, counterparty string, us long")
+    want = {}
+    for acct, seq, minor, _, _, _, us in (x for x in rows if x[3] == "out"):
+        if any(x[0] == acct and x[3] == "in" and abs(x[6] - us) // 1_000_000 <= 2 and abs(x[2] - minor) <= c.round_trip_tolerance * minor for x in rows):
+            want.setdefault(acct, (acct, minor, seq))
+    trips = C.round_trips(tx, c)
+    assert sorted(map(tuple, trips.collect())) == sorted(want.values()) and want
+    counts = {a: (len({x[4] for x in rows if x[0] == a and x[3] == "in"} - {None}), len({x[5] for x in rows if x[0] == a and x[3] == "out"} - {None})) for a in range(12)}
+    funnel = C.funnel(tx, c)
+    assert sorted(map(tuple, funnel.collect())) == sorted((a, g, d) for a, (g, d) in counts.items() if g >= 2 and 1 <= d <= 2)
+    assert "Expand" not in funnel._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode(array(" in trips._jdf.queryExecution().optimizedPlan().toString()
